@@ -81,14 +81,15 @@ def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.
 
 
 def _piece_batches(path: str, capacity: int):
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([END_ID], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = enc.encode(text or "") + end
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for d, ids in zip(b.column("doc_id").to_pylist(), enc.encode_many(texts), strict=True):
+                ids = np.append(ids, end).astype("<u4").tobytes()
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     doc.append(d)

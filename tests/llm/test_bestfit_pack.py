@@ -72,10 +72,12 @@ def best_fit_decreasing(lengths, capacity):
 
 
 def test_units_give_the_ids_of_whole_texts():
-    texts = ["a  b", " a\n\n b \t", "x   y", "it's  1 2 3", "\x1c \x1d a", "é́ ́x ΑΣ ΑΣΑ", "", "   ", "<|endoftext|> <|startoftext|>a", "don't're 's\n\n\nq\n", "w" * 100 + " " + "w" * 100]
+    texts = ["a  b", " a\n\n b \t", "x   y", "it's  1 2 3", "\x1c \x1d a", "é́ ́x ΑΣ ΑΣΑ", "", "   ", "<|endoftext|> <|startoftext|>a", "don't're 's\n\n\nq\n", "w" * 100 + " " + "w" * 100, "foo,bar baz.\nQux! ÀÉß, ÿ|x İi J\u030c, a\u0301. µ² x²,y Ⅷ.", "a×b ÷c É, È.", " ,a b,\u00a0, \u00a0  c", "'s.'S it'S,"]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         t = Tokenizer.from_file(tokenizer_path(name))
         t.encode_special_tokens = True
         enc = UnitEncoder(tokenizer_path(name), limit=3)
+        for x, ids in zip(texts * 2, enc.encode_many(texts * 2), strict=True):
+            assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, x
         for x in texts * 2:
             assert np.frombuffer(enc.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
