@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bestfit_pack import op10_best_fit_packing
 from .chat_grammar import OP8_SQL, op8_chat_grammar
+from .fm_decontam import OP5_SQL, op5_fm_decontamination
 from .png_media import op3_png_media
 from .secret_ledger import op1_secret_ledger
 from .token_store import op6_token_store
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ledger": op1_secret_ledger,
     "op3_png_media": op3_png_media,
     "op4_warc_archive": op4_warc_archive,
+    "op5_fm_decontamination": op5_fm_decontamination,
     "op6_token_store": op6_token_store,
     "op8_chat_grammar": op8_chat_grammar,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -24,5 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc_archive": OP4_SQL,
+    "op5_fm_decontamination": OP5_SQL,
     "op8_chat_grammar": OP8_SQL,
 }
