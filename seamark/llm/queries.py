@@ -10,6 +10,7 @@ from .bestfit_pack import op10_best_fit_packing
 from .chat_grammar import OP8_SQL, op8_chat_grammar
 from .fm_decontam import OP5_SQL, op5_fm_decontamination
 from .png_media import op3_png_media
+from .quality_rank import op7_bradley_terry_quality
 from .secret_ledger import op1_secret_ledger
 from .token_store import op6_token_store
 from .warc import OP4_SQL, op4_warc_archive
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_archive": op4_warc_archive,
     "op5_fm_decontamination": op5_fm_decontamination,
     "op6_token_store": op6_token_store,
+    "op7_bradley_terry_quality": op7_bradley_terry_quality,
     "op8_chat_grammar": op8_chat_grammar,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
