@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import delete_folder, new_folder, small_batches
@@ -78,36 +78,47 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return hashlib.sha256(b"\x00" + leaves[0]).digest()
 
 
-ENCODED = "segment int, doc_id long, n_tokens long, ends array<int>, hashes array<binary>, data binary"
+#: `ends` has 4 bytes and `hashes` HASH bytes for each chunk, `data` 2 bytes for each id.
+ENCODED = "segment int, doc_id long, n_tokens long, ends binary, hashes binary, data binary"
 
 
 def _encode_batches(path: str, bounds: np.ndarray):
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([END_ID], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
             n, ends, hashes, data = [], [], [], []
-            for text in b.column("text").to_pylist():
-                ids = np.frombuffer(enc.encode(text or "") + end, "<u4")
+            for ids in enc.encode_many([t or "" for t in b.column("text").to_pylist()]):
+                ids = np.append(ids, end)
                 cuts = cut_points(ids)
                 raw = ids.astype("<u2").tobytes()
                 at = [0, *(2 * cuts).tolist()]
                 n.append(len(ids))
-                ends.append(cuts.astype(np.int32))
-                hashes.append([chunk_hash(raw[a:z]) for a, z in zip(at, at[1:], strict=False)])
+                ends.append(cuts.astype("<u4").tobytes())
+                hashes.append(b"".join([chunk_hash(raw[a:z]) for a, z in zip(at, at[1:], strict=False)]))
                 data.append(raw)
             segment = np.searchsorted(bounds, b.column("doc_id").fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(segment), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ends, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.binary())), pa.array(data, pa.binary())],
+                [pa.array(segment), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ends, pa.binary()), pa.array(hashes, pa.binary()), pa.array(data, pa.binary())],
                 names=["segment", "doc_id", "n_tokens", "ends", "hashes", "data"],
             )
 
     return run
 
 
-#: `stored`: for each chunk, whether its ids are in `data`; `foreign`: hashes to look up; `shared`: own chunks that others look up.
-STORED = "segment int, doc_id long, n_tokens long, start_in_segment long, ends array<int>, hashes array<binary>, stored array<boolean>, n_foreign int, n_shared int, shared array<binary>, root binary, data binary"
+#: `stored`: a byte for each chunk, 1 if its ids are in `data` (empty: all are); `shared`: hashes of own chunks that others look up.
+STORED = "segment int, doc_id long, n_tokens long, start_in_segment long, ends binary, hashes binary, stored binary, shared binary, root binary, data binary"
+
+
+def split_hashes(hashes: bytes) -> list[bytes]:
+    return [hashes[i : i + HASH] for i in range(0, len(hashes), HASH)]
+
+
+def each_hash(hashes: Column) -> Column:
+    """array<binary> of the distinct hashes in a row of hashes."""
+    n = F.octet_length(hashes) / HASH
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring(hashes, i * HASH + 1, F.lit(HASH))))
 
 
 def _store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,35 +126,35 @@ def _store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     segment = before = doc = None
     foreign: set[bytes] = set()
     shared: set[bytes] = set()
-    schema = pa.schema(
-        [("segment", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("start_in_segment", pa.int64()), ("ends", pa.list_(pa.int32())), ("hashes", pa.list_(pa.binary())), ("stored", pa.list_(pa.bool_())), ("n_foreign", pa.int32()), ("n_shared", pa.int32()), ("shared", pa.list_(pa.binary())), ("root", pa.binary()), ("data", pa.binary())]
-    )
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+    names = ["segment", "doc_id", "n_tokens", "start_in_segment", "ends", "hashes", "stored", "shared", "root", "data"]
     for b in batches:
-        out: list[list] = [[] for _ in schema]
-        for r in b.to_pylist():
-            if r["segment"] != segment:
-                segment, before, doc = r["segment"], 0, object()
-            if r["doc_id"] != doc:
-                doc, foreign, shared = r["doc_id"], set(), set()
-            if r["kind"] == 0:
-                (foreign if r["borrowed"] else shared).add(r["hash"])
+        out = []
+        for seg, d, kind, note, borrowed, n, ends, hashes, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if seg != segment:
+                segment, before, doc = seg, 0, object()
+            if d != doc:
+                doc, foreign, shared = d, set(), set()
+            if kind == 0:
+                (foreign if borrowed else shared).add(note)
                 continue
-            hashes, at, parts, stored, kept = r["hashes"], 0, [], [], set()
-            for h, z in zip(hashes, r["ends"], strict=True):
-                own = h not in foreign and h not in kept
-                stored.append(own)
-                if own:
-                    kept.add(h)
-                    parts.append(r["data"][2 * at : 2 * z])
-                at = z
-            mine = [h for h, own in zip(hashes, stored, strict=True) if own and h in shared]
-            again = sum(not own for own in stored)  # also the chunks that a document repeats
-            row = (segment, doc, r["n_tokens"], before, r["ends"], hashes, stored, again, len(mine), mine, merkle_root(list(hashes)), b"".join(parts))
-            for column, value in zip(out, row, strict=True):
-                column.append(value)
-            before += r["n_tokens"]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            each = split_hashes(hashes)
+            stored = mine = b""
+            if foreign or len(set(each)) < len(each):  # the chunks that a document repeats are stored once too
+                kept, parts, flags, at = set(foreign), [], bytearray(), 0
+                for h, z in zip(each, np.frombuffer(ends, "<u4").tolist(), strict=True):
+                    flags.append(h not in kept)
+                    if h not in kept:
+                        kept.add(h)
+                        parts.append(data[2 * at : 2 * z])
+                    at = z
+                stored, data = bytes(flags), b"".join(parts)
+            if shared:
+                mine = b"".join(h for h in dict.fromkeys(each) if h in shared)
+            out.append((segment, doc, n, before, ends, hashes, stored, mine, merkle_root(each), data))
+            before += n
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
 
 class TokenStore:
@@ -165,7 +176,7 @@ class TokenStore:
         bounds = np.unique(np.array(bounds, np.int64))
         docs.mapInArrow(_encode_batches(self.vocabulary, bounds), ENCODED).write.option("compression", "zstd").parquet(scratch)
         encoded = spark.read.schema(ENCODED).parquet(scratch)
-        uses = encoded.select("segment", "doc_id", F.explode(F.array_distinct("hashes")).alias("hash"))
+        uses = encoded.select("segment", "doc_id", F.explode(each_hash(F.col("hashes"))).alias("hash"))
         # A chunk is owned by the least doc_id that has it. Only chunks of several documents go further.
         owners = uses.groupBy("hash").agg(F.min(F.struct("doc_id", F.col("segment").alias("of"))).alias("owner"), F.count("*").alias("n")).where("n > 1").select("hash", "owner.*")
         borrowed = uses.join(owners.withColumnRenamed("doc_id", "owner"), "hash").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
@@ -210,12 +221,14 @@ class TokenStore:
     def read(self, with_ids: bool = False) -> DataFrame:
         """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document, rebuilt from the files and checked."""
         rows = self.rows()
-        whole = rows.where("n_foreign = 0").select("segment", "doc_id", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("hash"), "n_tokens", "start_in_segment", "ends", "hashes", "stored", "root", "data")
-        lacking = rows.where("n_foreign > 0")
-        offered = rows.where("n_shared > 0").mapInArrow(_offer_batches, "hash binary, data binary")
-        wanted = lacking.select("doc_id", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("hashes", "stored"), lambda x: ~x["stored"]), lambda x: x["hashes"]))).alias("hash"))
+        columns = ["segment", "doc_id", "kind", "hash", "n_tokens", "start_in_segment", "ends", "hashes", "stored", "root", "data"]
+        kept = rows.withColumn("kind", F.lit(1)).withColumn("hash", F.lit(None).cast("binary"))
+        whole = kept.where("octet_length(stored) = 0").select(*columns)
+        lacking = kept.where("octet_length(stored) > 0")
+        offered = rows.where("octet_length(shared) > 0").mapInArrow(_offer_batches, "hash binary, data binary")
+        wanted = lacking.select("doc_id", F.explode(each_hash(F.col("hashes"))).alias("hash"))
         found = wanted.join(offered, "hash").select("doc_id", F.lit(0).alias("kind"), "hash", "data")
-        rest = found.unionByName(lacking.withColumn("kind", F.lit(1)).withColumn("hash", F.lit(None).cast("binary")), allowMissingColumns=True).select(*whole.columns)
+        rest = found.unionByName(lacking, allowMissingColumns=True).select(*columns)
         rest = rest.repartition("doc_id").sortWithinPartitions("doc_id", "kind", "start_in_segment")
         schema = "segment int, doc_id long, start_in_segment long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
         made = whole.mapInArrow(_rebuild_batches(with_ids), schema).unionByName(rest.mapInArrow(_rebuild_batches(with_ids), schema))
@@ -227,55 +240,59 @@ class TokenStore:
         return made.join(starts, "segment").select("doc_id", (F.col("_before") + F.col("start_in_segment")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
+def _parts(ends: bytes, each: list[bytes], stored: bytes, data: bytes) -> Iterator[tuple[bytes, bytes | None]]:
+    """(hash, data) of the chunks of a stored row; data is None where it is a reference."""
+    at = used = 0
+    for i, (h, z) in enumerate(zip(each, np.frombuffer(ends, "<u4").tolist(), strict=True)):
+        if stored and not stored[i]:
+            yield h, None
+        else:
+            yield h, data[used : used + 2 * (z - at)]
+            used += 2 * (z - at)
+        at = z
+
+
 def _offer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        hashes, data = [], []
-        for r in b.select(["ends", "hashes", "stored", "shared", "data"]).to_pylist():
-            shared, at, used = set(r["shared"]), 0, 0
-            for h, z, own in zip(r["hashes"], r["ends"], r["stored"], strict=True):
-                if own:
-                    if h in shared:
-                        hashes.append(h)
-                        data.append(r["data"][used : used + 2 * (z - at)])
-                    used += 2 * (z - at)
-                at = z
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(data, pa.binary())], names=["hash", "data"])
+        out = []
+        for ends, hashes, stored, shared, data in zip(*(b.column(c).to_pylist() for c in ("ends", "hashes", "stored", "shared", "data")), strict=True):
+            offered = set(split_hashes(shared))
+            out += [(h, part) for h, part in _parts(ends, split_hashes(hashes), stored, data) if part is not None and h in offered]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["hash", "data"])
 
 
 def _rebuild_batches(with_ids: bool):
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
+    names = ["segment", "doc_id", "start_in_segment", "n_tokens", "ids_crc32", "ids"][: 5 + with_ids]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc: object = object()
         known: dict[bytes, bytes] = {}
         for b in batches:
-            out: list[list] = [[] for _ in range(5 + with_ids)]
-            for r in b.to_pylist():
-                if r["doc_id"] != doc:
-                    doc, known = r["doc_id"], {}
-                if r["kind"] == 0:
-                    known[r["hash"]] = r["data"]
+            out = []
+            for segment, d, kind, hash_, n, start, ends, hashes, stored, root, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if d != doc:
+                    doc, known = d, {}
+                if kind == 0:
+                    known[hash_] = data
                     continue
-                at, used, parts = 0, 0, []
-                for h, z, own in zip(r["hashes"], r["ends"], r["stored"], strict=True):
-                    if own:
-                        part = r["data"][used : used + 2 * (z - at)]
-                        used += len(part)
-                        if False in r["stored"]:
-                            known[h] = part
-                    else:
+                each, parts = split_hashes(hashes), []
+                for h, part in _parts(ends, each, stored, data):
+                    if part is None:
                         part = known[h]
+                    elif stored:
+                        known[h] = part
                     if chunk_hash(part) != h:
                         raise ValueError(f"doc_id {doc}: a chunk differs from its hash {h.hex()}")
                     parts.append(part)
-                    at = z
-                if merkle_root(list(r["hashes"])) != r["root"]:
+                if merkle_root(each) != root:
                     raise ValueError(f"doc_id {doc}: the recipe differs from its root")
                 ids = np.frombuffer(b"".join(parts), "<u2").astype("<u4").tobytes()
-                row = (r["segment"], doc, r["start_in_segment"], len(ids) // 4, zlib.crc32(ids)) + (ids,) * with_ids
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
-            names = ["segment", "doc_id", "start_in_segment", "n_tokens", "ids_crc32", "ids"][: 5 + with_ids]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+                if len(ids) != 4 * n:
+                    raise ValueError(f"doc_id {doc}: {len(ids) // 4} ids instead of {n}")
+                out.append((segment, doc, start, n, zlib.crc32(ids)) + (ids,) * with_ids)
+            columns = zip(*out, strict=True) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return run
 

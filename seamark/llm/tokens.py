@@ -144,12 +144,8 @@ class UnitEncoder:
             if len(m.key) > MANY_UNITS:
                 self._many = m = _Many()
                 new, place = np.arange(len(found)), np.zeros(len(found), np.int64)
-            ends = np.append(at[1:], len(raw))
-            got = []
-            for u in first[new].tolist():
-                unit = raw[at[u] : ends[u]]
-                got.append(self._memo.make((unit if self.spaced else unit.rstrip(_BLANKS)).decode()))
-            m.add(found[new], check[first[new]], got, place[new])
+            ids, counts = self._make_many(raw, at, np.append(at[1:], len(raw)), first[new].tolist())
+            m.add(found[new], check[first[new]], ids, counts, place[new])
             place = np.searchsorted(m.key, found)
         unit = place[which]
         if (m.check[unit] != check).any():
@@ -159,6 +155,29 @@ class UnitEncoder:
         return counts, m.pool[index]
 
 
+    def _make_many(self, raw: bytes, at: np.ndarray, ends: np.ndarray, which: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        model, make, blank = self._memo.model, self._memo.make, self._memo.letters[32]
+        ids, counts = array("I"), []
+        for start, end in zip(at[which].tolist(), ends[which].tolist(), strict=True):
+            unit = raw[start:end]
+            if not self.spaced:
+                unit = unit.rstrip(_BLANKS)
+                if unit.isalpha():  # of bytes: ASCII letters only
+                    got = [x.id for x in model(unit.lower().decode())]
+                    ids.extend(got)
+                    counts.append(len(got))
+                    continue
+            elif unit[0] == 32 and unit[1:].isalpha():
+                got = [x.id for x in model(blank + unit[1:].decode())]
+                ids.extend(got)
+                counts.append(len(got))
+                continue
+            got = make(unit.decode())
+            ids.frombytes(got)
+            counts.append(len(got) // 4)
+        return np.frombuffer(ids, np.uint32), np.array(counts, np.int64)
+
+
 class _Many:
     """Units in order of their hash, with a place in the pool of ids."""
 
@@ -167,8 +186,7 @@ class _Many:
         self.offset, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def add(self, key: np.ndarray, check: np.ndarray, got: list[bytes], place: np.ndarray) -> None:
-        ids, counts = np.frombuffer(b"".join(got), "<u4"), np.array([len(x) // 4 for x in got], np.int64)
+    def add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, counts: np.ndarray, place: np.ndarray) -> None:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
@@ -179,7 +197,7 @@ class _Many:
 
 
 #: Bytes of text that go through numpy at once, and units that are known at once.
-BATCH_BYTES, MANY_UNITS = 1 << 20, 600_000
+BATCH_BYTES, MANY_UNITS = 1 << 20, 1_000_000
 _BLANKS = b" \t\n\x0b\x0c\r"
 _OTHER_KIND, _BLANK, _LETTER, _MARK, _BEYOND = range(5)
 _KIND = np.array([_BLANK if bytes([b]) in _BLANKS else _LETTER if 65 <= b <= 90 or 97 <= b <= 122 or 0x80 <= b <= 0xBF or b == 0xC3 else _MARK if chr(b) in _MARKS[1:-1] else _BEYOND if b >= 0xC0 else _OTHER_KIND for b in range(256)], np.uint8)
