@@ -163,16 +163,21 @@ def merge_runs(runs: Column) -> Column:
     return F.aggregate(F.sort_array(runs), F.array().cast(kind), step)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def text_key(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int | None = None, with_key: bool = False) -> DataFrame:
     """(doc_id, n_words, hits, items, spans) for every row of `docs`: merged runs of hit words (end exclusive), the items found, and
-    the runs in code points of the text."""
+    the runs in code points of the text. `with_key`: also the text's key, as `_text`."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    keyed = docs.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    parts = blocks(benchmark, block_bytes)
+    keyed = docs.withColumn("_text", text_key(F.col("text")))
+    parts = blocks(benchmark, block_bytes or BLOCK_BYTES)
     first, second = next(parts, []), next(parts, None)
     if second is None:
-        return docs.mapInArrow(_hit_batches(Windows(first, size), SHARD_WORDS, False), f"doc_id long, {HITS}")
+        rows, names = (keyed, "doc_id long, _text string") if with_key else (docs, "doc_id long")
+        return rows.mapInArrow(_hit_batches(Windows(first, size), SHARD_WORDS, False), f"{names}, {HITS}")
     made = keyed.mapInArrow(_hit_batches(Windows(first, size), SHARD_WORDS, False), f"doc_id long, _text string, {HITS}")
     more = None  # of further blocks, what is found in each text that has something
     for part in chain([second], parts):
@@ -185,7 +190,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_b
     def with_more(c: str) -> Column:
         return F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.concat(c, f"_{c}"))
 
-    return both.select("doc_id", "n_words", merge_runs(with_more("hits")).alias("hits"), F.array_sort(F.array_distinct(with_more("items"))).alias("items"), merge_runs(with_more("spans")).alias("spans"))
+    return both.select("doc_id", *["_text"] * with_key, "n_words", merge_runs(with_more("hits")).alias("hits"), F.array_sort(F.array_distinct(with_more("items"))).alias("items"), merge_runs(with_more("spans")).alias("spans"))
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -194,6 +199,12 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` that are not contaminated, with their columns. A text decides for all rows that have it."""
+    bad = judged(find_hits(docs, benchmark, with_key=True)).where("contaminated").select(F.col("_text").alias("_bad")).distinct()
+    return docs.join(bad, text_key(docs["text"]) == F.col("_bad"), "left_anti")
+
+
 def digest_columns(found: DataFrame) -> DataFrame:
     return judged(found).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bestfit_pack import op10_best_fit_packing
 from .chat_grammar import OP8_SQL, op8_chat_grammar
 from .fm_decontam import OP5_SQL, op5_fm_decontamination
+from .label_shards import op9_label_shards
 from .near_dedup import OP2_SQL, op2_minhash_near_dedup
 from .png_media import op3_png_media
 from .quality_rank import op7_bradley_terry_quality
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_store": op6_token_store,
     "op7_bradley_terry_quality": op7_bradley_terry_quality,
     "op8_chat_grammar": op8_chat_grammar,
+    "op9_label_shards": op9_label_shards,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

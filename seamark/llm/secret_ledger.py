@@ -139,13 +139,17 @@ class SecretLedger:
         seen = self.seen().where(F.col("rules_version") == self.version).select("blob_id", "findings")
         return rows.join(seen, "blob_id", "left").select(key, "blob_id", "findings")
 
-    def redact(self, docs: DataFrame, content: str = "text") -> DataFrame:
-        """`docs` with every found span replaced by [REDACTED:kind]; overlapping spans become one. Columns are unchanged."""
+    def redact(self, docs: DataFrame, content: str = "text", length: str = "n_chars") -> DataFrame:
+        """`docs` with every found span replaced by [REDACTED:kind]; overlapping spans become one. The columns stay the same; one
+        named as in `length`, if there is one, gets the new length of a changed text."""
         self.update(docs, content)
         hits = self.seen().where((F.col("rules_version") == self.version) & (F.size("findings") > 0)).select(F.col("blob_id").alias("_blob"), F.col("findings").alias("_found"))
         names = docs.columns
         joined = docs.withColumn("_blob", F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256)).join(hits, "_blob", "left")
-        return joined.withColumn(content, redacted(F.col(content), F.col("_found"))).select(*[F.col(f"`{c}`") for c in names])
+        joined = joined.withColumn(content, redacted(F.col(content), F.col("_found")))
+        if length in names:
+            joined = joined.withColumn(length, F.when(F.col("_found").isNull(), F.col(length)).otherwise(F.length(content)).cast(docs.schema[length].dataType))
+        return joined.select(*[F.col(f"`{c}`") for c in names])
 
 
 def redacted(text, found):

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from seamark.llm import fm_decontam
-from seamark.llm.fm_decontam import Windows, digest_columns, find_hits, occurrences, words
+from seamark.llm.fm_decontam import Windows, digest_columns, find_hits, keep_clean, occurrences, words
 from seamark.llm.fm_index import FMIndex, WaveletRanks, suffix_order
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -53,6 +53,11 @@ def test_odd_rows(spark, monkeypatch):
         assert found(find_hits(docs, items, block_bytes=block)) == brute(DOCS, ITEMS)
     assert found(find_hits(docs, items.where("false"))) == brute(DOCS, [])
     assert find_hits(docs.where("false"), items).count() == 0
+    for block in (1 << 20, 20):
+        monkeypatch.setattr(fm_decontam, "BLOCK_BYTES", block)
+        clean = keep_clean(docs, items)
+        assert clean.columns == docs.columns
+        assert Counter(r["doc_id"] for r in clean.collect()) == Counter({k[0]: 0 for k in brute(DOCS, ITEMS)}) + sum((Counter({k[0]: n}) for k, n in brute(DOCS, ITEMS).items() if not k[-1]), Counter())
     r = find_hits(docs, items).where("doc_id = 5").first()
     assert DOCS[6][1][r["spans"][0]["start"] : r["spans"][0]["end"]] == "a b c d e f g h i j k l m n"
 
