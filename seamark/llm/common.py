@@ -41,9 +41,14 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, codec: str = "lz4_raw") -> DataFrame:
-    """Write to the shared folder and read back: lineage ends at files that survive the loss of executors."""
+def materialise(df: DataFrame, label: str, codec: str = "zstd", narrow: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: lineage ends at files that survive the loss of executors.
+
+    `narrow`: rows of a few numbers; they are written by as many tasks as the cluster has cores, at most twice that.
+    """
     path = new_folder(df.sparkSession, label)
+    if narrow:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -58,6 +63,28 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bits of a sieve: at most 4 MB are broadcast, however many keys there are (with very many it lets more through).
+SIEVE_BITS = 1 << 25
+
+
+def sieve(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """Rows whose key may be in `keys` (one column): surely those that are, and few others. Null keys don't pass.
+
+    Put before a join it keeps the other rows from being shuffled. The bits are made where the keys are and are of bounded size.
+    """
+
+    def spot(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+
+    marked = keys.select(spot(F.col(f"`{keys.columns[0]}`")).alias("_spot"))
+    bits = marked.groupBy(F.bitmap_bucket_number("_spot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
+    names = rows.columns
+    at = F.bitmap_bit_position("_spot")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    tested = rows.where(key.isNotNull()).withColumn("_spot", spot(key)).withColumn("_bucket", F.bitmap_bucket_number("_spot")).join(F.broadcast(bits), "_bucket")
+    return tested.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*[F.col(f"`{c}`") for c in names])
+
+
 def global_index(df: DataFrame, keys: list[Column], name: str, label: str = "indexed") -> DataFrame:
     """Add a gapless 0-based position in the order of `keys`, without ever sorting in one task.
 

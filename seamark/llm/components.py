@@ -17,12 +17,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", narrow=True)
         sent = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least", narrow=True)
         sent = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return materialise(sent.where("u != v").distinct(), "edges")
+    return materialise(sent.where("u != v").distinct(), "edges", narrow=True)
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(id, component): the least id that can be reached, for every node with an edge. `edges`: (a, b) in any order; loops and
     repeated edges are allowed, edges with a null end are not edges."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u != v")
-    now = materialise(pairs.distinct(), "edges")
+    now = materialise(pairs.distinct(), "edges", narrow=True)
     state = _state(now)
     for _ in range(most):
         if not state[0]:

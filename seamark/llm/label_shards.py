@@ -40,8 +40,8 @@ def node_table(docs: DataFrame) -> DataFrame:
 def equal_text_links(nodes: DataFrame) -> DataFrame:
     """(a, b): each copy of a text with the least node that has it."""
     first = nodes.where("content is not null").groupBy("content").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("content", "b")
-    copies = nodes.select(F.col("node").alias("a"), "content").join(materialise(first, "first"), "content").where("a != b")
-    return materialise(copies.select("a", "b"), "links")
+    copies = nodes.select(F.col("node").alias("a"), "content").join(materialise(first, "first", narrow=True), "content").where("a != b")
+    return materialise(copies.select("a", "b"), "links", narrow=True)
 
 
 def quotas(n: int, shards: int) -> np.ndarray:
@@ -65,13 +65,13 @@ def accepted(asked: np.ndarray, free: np.ndarray) -> np.ndarray:
 def propagate(links: DataFrame, quota: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
     """(node, label, inside, near) of every linked node: neighbours with the same label, and the least of the node and its neighbours."""
     shards = len(quota)
-    ends = materialise(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ends")
-    nodes = materialise(ends.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("near")), "linked")
-    labels = materialise(nodes.select("node", start_label(F.col("node"), shards).alias("label")), "labels")
+    ends = materialise(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ends", narrow=True)
+    nodes = materialise(ends.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("near")), "linked", narrow=True)
+    labels = materialise(nodes.select("node", start_label(F.col("node"), shards).alias("label")), "labels", narrow=True)
     for at in range(rounds):
-        votes = materialise(_votes(ends, labels), "votes")
+        votes = materialise(_votes(ends, labels), "votes", narrow=True)
         asks = labels.join(votes, "node").join(nodes, "node").where((F.col("best") != F.col("label")) & (F.col("most") > F.col("own")) & ((F.col("near") < F.col("node")) if at % 2 == 0 else (F.col("near") == F.col("node"))))
-        asks = materialise(asks.select("node", "label", "best"), "asks")
+        asks = materialise(asks.select("node", "label", "best"), "asks", narrow=True)
         asked, held = np.zeros((shards, shards)), np.zeros(shards)
         for r in asks.groupBy("label", "best").count().collect():  # at most shards * shards rows
             asked[r["label"], r["best"]] = r["count"]
@@ -84,7 +84,7 @@ def propagate(links: DataFrame, quota: np.ndarray, rounds: int = ROUNDS) -> Data
         share = np.rint(accepted(asked, quota - held) * _SHARES).astype(int)
         limit = F.element_at(F.array(*[F.lit(int(x)) for x in share.ravel()]), F.col("label") * shards + F.col("best") + 1)
         moves = asks.where(F.pmod(F.xxhash64("node", F.lit(at)), F.lit(_SHARES)) < limit).select("node", F.col("best").alias("to"))
-        labels = materialise(labels.join(moves, "node", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        labels = materialise(labels.join(moves, "node", "left").select("node", F.coalesce("to", "label").alias("label")), "labels", narrow=True)
     inside = _votes(ends, labels).select("node", F.col("own").alias("inside"))
     return labels.join(nodes, "node").join(inside, "node").select("node", "label", "inside", "near")
 
@@ -125,10 +125,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     joined = links(nodes)
     if joined.isEmpty():
         none = nodes.select("node", start_label(F.col("node"), shards).alias("label"), F.lit(0).cast("long").alias("inside"), F.col("node").alias("near"))
-        return nodes.join(balance(materialise(none, "labelled"), quota), "node")
-    linked = materialise(propagate(joined, quota, rounds), "linked")
+        return nodes.join(balance(materialise(none, "labelled", narrow=True), quota), "node")
+    linked = materialise(propagate(joined, quota, rounds), "linked", narrow=True)
     alone = nodes.select("node").join(linked.select("node"), "node", "left_anti").select("node", start_label(F.col("node"), shards).alias("label"), F.lit(0).cast("long").alias("inside"), F.col("node").alias("near"))
-    return nodes.join(balance(materialise(linked.unionByName(alone), "labelled"), quota), "node")
+    return nodes.join(balance(materialise(linked.unionByName(alone), "labelled", narrow=True), quota), "node")
 
 
 def op9_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

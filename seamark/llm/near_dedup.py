@@ -4,8 +4,7 @@ A document is the set of its distinct shingles (2 words; a shorter text is one s
 of which the least doc_id goes on. HASHES universal hash minima make a signature, BANDS bands of it make bucket keys.
 
 Candidates come in rounds, none of which lists all pairs of a bucket:
-1. every member of a bucket with the bucket's least member, thinned by set sizes and by the signatures' agreement; of these first
-   one for each document, then only those that still join two components,
+1. every member of a bucket with the bucket's least member, thinned by set sizes and by the signatures' agreement,
 2. in buckets that still hold several components and up to SMALL members, each member with those of other components, thinned
    in the same way (so the pairs are at most SMALL times the members),
 3. in larger ones, by blocks: documents that share such buckets are a family; all outside its main component meet all of it, a
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, sieve, small_batches
 from .components import connected_components
 from .tokens import _powers
 
@@ -213,7 +212,7 @@ class NearDuplicates:
     def classes(self) -> DataFrame:
         """(set_id, id): the least doc_id of each set."""
         known = self.sketch.where("set_id is not null and doc_id is not null")
-        return materialise(known.groupBy("set_id").agg(F.min("doc_id").alias("id")), "classes")
+        return materialise(known.groupBy("set_id").agg(F.min("doc_id").alias("id")), "classes", narrow=True)
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) for every row."""
@@ -222,7 +221,7 @@ class NearDuplicates:
         self.nodes = materialise(one, "nodes")
         self.members = self.nodes.select("id", "n_shingles", F.explode("keys").alias("key"))
         buckets = self.members.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        self.buckets = materialise(buckets.select("key", F.col("first.id").alias("pivot"), F.col("first.n_shingles").alias("pivot_n")), "buckets")
+        self.buckets = materialise(buckets.select("key", F.col("first.id").alias("pivot"), F.col("first.n_shingles").alias("pivot_n")), "buckets", narrow=True)
         components = self._links()
         rows = self.sketch.select("doc_id", "n_shingles", "set_id").join(self.set_ids, "set_id", "left").join(components, "id", "left")
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
@@ -230,39 +229,35 @@ class NearDuplicates:
 
     def _links(self) -> DataFrame:
         sizes = F.least("n_shingles", "pivot_n") * 100 >= F.greatest("n_shingles", "pivot_n") * PERCENT
-        first = self.members.join(self.buckets, "key").where("id != pivot").where(sizes).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+        # Most keys are of one document: a sieve drops them before the shuffle.
+        shared = materialise(sieve(self.members, F.col("key"), self.buckets.select("key")).join(self.buckets, "key"), "shared", narrow=True)
+        first = shared.where("id != pivot").where(sizes).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
         star = self._agreeing(first)
         self.sets = self._full_sets(star)
-        best = star.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
-        links = self._confirmed(best.select("a", "b"))
-        components = materialise(connected_components(links), "components")
-        # The other pairs with a first member, where they would still join two components.
-        rest = self._across(star.join(best, ["a", "b"], "left_anti").select("a", "b"), components)
-        links, components = self._more(links, rest, components)
+        components = materialise(connected_components(self._confirmed(star.select("a", "b"))), "components", narrow=True)
         # What a first member does not show: members of other components in the same bucket.
-        labelled = self.members.join(self.buckets.select("key"), "key").join(components, "id", "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("of"))
-        labelled = materialise(labelled, "labelled")
+        labelled = shared.join(components, "id", "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("of"))
+        labelled = materialise(labelled, "labelled", narrow=True)
         mixed = labelled.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("n")).where("low != high").select("key", "n")
-        mixed = materialise(mixed, "mixed")
-        left = materialise(labelled.join(mixed.where(F.col("n") <= SMALL), "key"), "left")
+        mixed = materialise(mixed, "mixed", narrow=True)
+        left = materialise(labelled.join(mixed.where(F.col("n") <= SMALL), "key"), "left", narrow=True)
         right = left.select("key", F.col("id").alias("b"), F.col("n_shingles").alias("pivot_n"), F.col("of").alias("other"))
         pairs = left.join(right, "key").where("id < b and of != other").where(sizes).select(F.col("id").alias("a"), "b").distinct()
         pairs = pairs.join(star.select("a", "b"), ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         more = self._agreeing(pairs)
         self.sets = self._full_sets(more)
-        links, components = self._more(links, more.select("a", "b"), components)
-        large = materialise(labelled.join(mixed.where(F.col("n") > SMALL), "key").select("key", "id", "n_shingles"), "large")
-        if large.isEmpty():
-            return components
-        found = self._in_families(large, components)
-        return components if found.isEmpty() else materialise(connected_components(links.unionByName(found)), "components")
+        found = self._confirmed(more.select("a", "b"))
+        large = materialise(labelled.join(mixed.where(F.col("n") > SMALL), "key").select("key", "id", "n_shingles"), "large", narrow=True)
+        if not large.isEmpty():
+            found = found.unionByName(self._in_families(large, components))
+        return components if found.isEmpty() else self._joined(components, found)
 
     def _in_families(self, large: DataFrame, components: DataFrame) -> DataFrame:
         """Links between components of each family of documents that share large buckets."""
-        first = materialise(large.groupBy("key").agg(F.min("id").alias("b")), "first")
+        first = materialise(large.groupBy("key").agg(F.min("id").alias("b")), "first", narrow=True)
         families = connected_components(large.join(first, "key").select(F.col("id").alias("a"), "b").distinct()).withColumnRenamed("component", "family")
         ids = large.select("id", "n_shingles").distinct().join(families, "id").join(components, "id", "left").select("id", "n_shingles", "family", F.coalesce("component", "id").alias("of"))
-        ids = materialise(ids, "family")
+        ids = materialise(ids, "family", narrow=True)
         parts = ids.groupBy("family", "of").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
         parts = parts.groupBy("family").agg(F.max_by("of", F.struct("n", -F.col("of"))).alias("main"), F.max("n").alias("most"), F.max_by("size", F.struct("n", -F.col("of"))).alias("most_size"), F.sum("n").alias("n"), F.sum("size").alias("size"))
 
@@ -270,7 +265,7 @@ class NearDuplicates:
             return F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
 
         parts = parts.where("n > most").select("family", "main", blocks(F.col("n"), F.col("size")).alias("all_blocks"), blocks(F.col("n") - F.col("most"), F.col("size") - F.col("most_size")).alias("out_blocks"))
-        ids = ids.join(materialise(parts, "parts"), "family")
+        ids = ids.join(materialise(parts, "parts", narrow=True), "family")
         out = F.pmod(F.xxhash64("id"), F.col("out_blocks")).cast("int")
         every = F.pmod(F.xxhash64("id"), F.col("all_blocks")).cast("int")
         outside = ids.where("of != main").select("family", out.alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("outside"), "id", "of")
@@ -279,34 +274,32 @@ class NearDuplicates:
         rows = outside.unionByName(inside).join(sets, "id")
         return materialise(rows.groupBy("family", "i", "j").applyInArrow(_block_links, "a long, b long"), "links")
 
-    def _more(self, links: DataFrame, pairs: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
-        found = self._confirmed(pairs)
-        if found.isEmpty():
-            return links, components
-        links = links.unionByName(found)
-        return links, materialise(connected_components(links), "components")
+    def _joined(self, components: DataFrame, links: DataFrame) -> DataFrame:
+        """Components joined by further links: components of the graph whose nodes are the components."""
+        a, b = (components.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+        between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        joined = materialise(connected_components(between), "joined", narrow=True)
+        known = components.join(joined.select(F.col("id").alias("component"), F.col("component").alias("final")), "component", "left").select("id", F.coalesce("final", "component").alias("component"))
+        alone = joined.join(components.select("id"), "id", "left_anti").select("id", "component")
+        return materialise(known.unionByName(alone), "components", narrow=True)
 
     def _agreeing(self, pairs: DataFrame) -> DataFrame:
         """(a, b, agree): the pairs whose signatures agree in AGREE of their places."""
-        pairs = materialise(pairs, "pairs")
+        pairs = materialise(pairs, "pairs", narrow=True)
         s = self.nodes.select("id", "signature")
         both = pairs.join(s.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
         return materialise(both.select("a", "b", "sa", "sb").mapInArrow(_agree_batches, "a long, b long, agree double"), "star")
 
     def _full_sets(self, pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = self.docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+        ids = materialise(ids, "ids", narrow=True)
+        texts = sieve(self.docs.withColumnRenamed("doc_id", "id"), F.col("id"), ids).join(ids, "id", "left_semi")
         return materialise(texts.mapInArrow(_set_batches, "id long, shingles binary"), "sets")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         both = pairs.join(self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
         return materialise(both.select("a", "b", "xa", "xb").mapInArrow(_confirm_batches, "a long, b long"), "links")
 
-    def _across(self, pairs: DataFrame, components: DataFrame) -> DataFrame:
-        a, b = (components.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-        kept = pairs.join(a, "a", "left").join(b, "b", "left").where(~F.coalesce("of_a", "a").eqNullSafe(F.coalesce("of_b", "b")))
-        return kept.select("a", "b")
-
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     return NearDuplicates(docs).run()
