@@ -117,8 +117,8 @@ def format_bytes(n: Column) -> Column:
     """B below 1024, then one decimal of KB, MB, GB, TB."""
     out = F.when(n < 1024, F.format_string("%d B", n.cast("long")))
     for i, unit in enumerate(("KB", "MB", "GB")):
-        out = out.when(n < 1024 ** (i + 2), F.format_string(f"%.1f {unit}", n / float(1024 ** (i + 1))))
-    return out.otherwise(F.format_string("%.1f TB", n / float(1024**4)))
+        out = out.when(n < 1024 ** (i + 2), F.format_string(f"%.1f {unit}", F.bround(n / float(1024 ** (i + 1)), 1)))
+    return out.otherwise(F.format_string("%.1f TB", F.bround(n / float(1024**4), 1)))
 
 
 def pattern_words(query: Column) -> Column:

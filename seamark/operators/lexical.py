@@ -69,5 +69,5 @@ def _phrase_counts(phrases: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def bm25_top(terms: DataFrame, tokens: DataFrame, k: int, require_all: bool = False) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("bm25", "id")
+    order = Window.partitionBy("query_id").orderBy(F.round("bm25", 9), "id")  # sums of one set of terms may differ in their last bits
     return bm25(terms, tokens, require_all).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import vector_queries
+from . import eval_queries, text_queries, vector_queries
 
-_MODULES = [vector_queries]
+_MODULES = [vector_queries, text_queries, eval_queries]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 FLAGSHIP = "knn_exact"

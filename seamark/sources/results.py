@@ -56,7 +56,7 @@ def grep(files: DataFrame, patterns: DataFrame, k: int) -> DataFrame:
 
     Patterns (query_id, ord, pattern) are a short list that is joined with all files.
     """
-    hits = files.join(patterns, F.col("content").rlike(F.col("pattern"))).select("query_id", "ord", "file_path")
+    hits = files.join(patterns, F.rlike("content", "pattern")).select("query_id", "ord", "file_path")
     first = hits.groupBy("query_id", "file_path").agg(F.min("ord").alias("ord"))
     before = F.coalesce(F.sum(F.lit(1)).over(Window.partitionBy("query_id").orderBy("ord").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = first.withColumn("before", before).where(F.col("before") < k)
