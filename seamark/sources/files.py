@@ -14,11 +14,14 @@ def read_ignore_patterns(spark: SparkSession, root: str) -> list[str]:
     """The defaults, then the lines of the root's ignore files, without blank lines and comments (a few lines on the driver)."""
     out = list(P.IGNORED)
     for name in IGNORE_FILES:
-        path = f"{root.rstrip('/')}/{name}"
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            lines = spark.read.text(path).select(F.trim("value").alias("v")).where("v != '' and not startswith(v, '#')")
-            out += [r["v"] for r in lines.collect()]
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(at):  # hidden files are none to Spark's readers
+            stream = fs.open(at)
+            lines = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            stream.close()
+            out += [x.strip() for x in lines if x.strip() and not x.strip().startswith("#")]
     return out
 
 
