@@ -46,12 +46,12 @@ def bm25(terms: DataFrame, tokens: DataFrame, require_all: bool = False) -> Data
     """
     wanted = terms.select("query_id", "term", F.array_join(T.tokens(F.col("term")), " ").alias("phrase")).where("phrase != ''").dropDuplicates(["query_id", "phrase"])
     single, several = wanted.where(~F.col("phrase").contains(" ")), wanted.where(F.col("phrase").contains(" "))
-    found = postings(tokens).withColumnRenamed("term", "phrase").join(single.select("phrase").distinct(), "phrase", "left_semi").select("phrase", "id", "tf")
+    terms_at = tokens.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("phrase"))
+    found = terms_at.join(single.select("phrase").distinct(), "phrase", "left_semi").groupBy("phrase", "id", "dl").agg(F.count("*").alias("tf"))
     found = found.unionByName(_phrase_counts(several.select("phrase").distinct(), tokens))
     df = found.groupBy("phrase").agg(F.count("*").alias("df"))
-    stats = doc_stats(tokens)
     # One row of corpus statistics goes to every task.
-    scored = wanted.join(found, "phrase").join(df, "phrase").join(stats, "id").join(F.broadcast(corpus_stats(stats)), F.lit(True))
+    scored = wanted.join(found, "phrase").join(df, "phrase").join(F.broadcast(corpus_stats(doc_stats(tokens))), F.lit(True))
     part = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     out = scored.groupBy("query_id", "id").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("matched"))
     if require_all:
@@ -59,13 +59,22 @@ def bm25(terms: DataFrame, tokens: DataFrame, require_all: bool = False) -> Data
     return out.drop("matched")
 
 
+def _runs(tokens: Column, n: int) -> Column:
+    """All runs of n tokens, by zipping the tokens with themselves moved on."""
+    out = tokens
+    for k in range(1, n):
+        out = F.zip_with(F.slice(out, 1, F.size(tokens) - k), F.slice(tokens, k + 1, F.size(tokens) - k), lambda a, b: F.concat_ws(" ", a, b))
+    return out
+
+
 def _phrase_counts(phrases: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(phrase, id, tf): only documents with the phrase's first token are looked at."""
-    heads = phrases.withColumn("head", F.element_at(F.split("phrase", " "), 1))
-    at = tokens.select("id", F.posexplode("tokens").alias("pos", "head"), "tokens").join(heads, "head")
-    n = F.size(F.split("phrase", " "))
-    same = F.array_join(F.slice("tokens", F.col("pos") + 1, n), " ") == F.col("phrase")
-    return at.where(same).groupBy("phrase", "id").agg(F.count("*").alias("tf"))
+    """(phrase, id, dl, tf): runs of as many tokens as a phrase has. The phrases' lengths, a few numbers, reach the driver."""
+    out = None
+    for n in sorted(r[0] for r in phrases.select(F.size(F.split("phrase", " "))).distinct().collect()):
+        runs = tokens.where(F.size("tokens") >= n).select("id", F.size("tokens").cast("long").alias("dl"), F.explode(_runs(F.col("tokens"), n)).alias("phrase"))
+        one = runs.join(phrases, "phrase", "left_semi").groupBy("phrase", "id", "dl").agg(F.count("*").alias("tf"))
+        out = one if out is None else out.unionByName(one)
+    return tokens.sparkSession.createDataFrame([], f"phrase string, id {tokens.schema['id'].dataType.simpleString()}, dl long, tf long") if out is None else out
 
 
 def bm25_top(terms: DataFrame, tokens: DataFrame, k: int, require_all: bool = False) -> DataFrame:
