@@ -40,4 +40,4 @@ def literal_queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, query string")
 
 
-QUERIES_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q.replace(chr(39), chr(39) * 2)}')" for i, q in enumerate(QUERIES)) + ") AS t(query_id, query))"
+QUERIES_SQL = "(SELECT CAST(query_id AS BIGINT) AS query_id, query FROM (VALUES " + ", ".join(f"({i}, '{q.replace(chr(39), chr(39) * 2)}')" for i, q in enumerate(QUERIES)) + ") AS t(query_id, query))"

@@ -79,7 +79,7 @@ def normalise_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NORMALISE = f"""WITH v AS (SELECT vec_id AS id, list_transform({_D.format('embedding')}, lambda x: x * 3) AS v FROM embeddings)
-SELECT id, round(1.0, 5) AS norm, round(v[1] / sqrt(list_inner_product(v, v)), 5) AS first FROM v"""
+SELECT id, CAST(1.0 AS DOUBLE) AS norm, round(v[1] / sqrt(list_inner_product(v, v)), 5) AS first FROM v"""
 
 
 def vector_codec(spark: SparkSession, sf: str) -> DataFrame:
