@@ -75,6 +75,27 @@ def diversity(files: Column) -> Column:
     return F.when(F.size(files) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(files)) / F.size(files))
 
 
+def compare(results: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(query_id, tool, returned, relevant, found, precision over what was returned, recall, tokens): tools side by side.
+
+    results: (tool, query_id, file); qrels: (query_id, file, rel). Output is estimated at 10 tokens a result.
+    """
+    good = qrels.where("rel > 0").select("query_id", "file").distinct()
+    totals = good.groupBy("query_id").agg(F.count("*").alias("relevant"))
+    hits = results.select("tool", "query_id", "file").distinct().join(good.withColumn("hit", F.lit(1)), ["query_id", "file"], "left")
+    out = hits.groupBy("query_id", "tool").agg(F.count("*").alias("returned"), F.count("hit").alias("found")).join(totals, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
+    precision = F.col("found") / F.col("returned")
+    recall = F.when(F.col("relevant") > 0, F.col("found") / F.col("relevant")).otherwise(F.lit(0.0))
+    return out.select("query_id", "tool", "returned", "relevant", "found", precision.alias("precision"), recall.alias("recall"), (F.col("returned") * 10).alias("tokens"))
+
+
+def overlap(results: DataFrame, a: str, b: str) -> DataFrame:
+    """(query_id, overlap): files that two tools have in common for a query."""
+    files = results.select("tool", "query_id", "file").distinct()
+    left, right = files.where(F.col("tool") == a), files.where(F.col("tool") == b)
+    return left.join(right.select("query_id", "file", F.lit(1).alias("hit")), ["query_id", "file"], "left").groupBy("query_id").agg(F.count("hit").alias("overlap"))
+
+
 def nearest_rank(rows: DataFrame, by: str, value: str) -> DataFrame:
     """p50 = sorted[n / 2] and p95 = sorted[min(int(0.95 n), n - 1)] of groups of 2 or more, by rank (no group is gathered)."""
     w = Window.partitionBy(by)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import knn, metrics
+from ..sources import qrels as C
 from ..sources import results as R
 from ..sources import store as S
 from ..streaming import watch
@@ -248,9 +249,56 @@ PREFIX = f"""WITH {_Q}, d AS (SELECT query_id, vec_id AS id, {_COS.format('qv',
 r AS (SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM c JOIN documents ON doc_id = id WHERE n <= 50 AND starts_with({PATH_SQL}, 'pkg/'))
 SELECT query_id, id, round(d, 6) + 0.0 AS distance, rank FROM r WHERE rank <= 5"""
 
-QUERIES = {f.__name__: f for f in (ir_metrics, ir_binary_metrics, tool_summary, jaccard_diversity, latency_percentiles, nearest_rank_percentiles, stage_timing, token_savings, result_lines, result_ranges, grep_baseline, index_stats, upsert_delete, paged_chunks, ids_to_documents, semi_anti_sets, debounce_sessions, latest_events, printed_results, path_prefix_filter)}
+def _two_tools(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Ten nearest by cosine, and five nearest among even ids; judged by label."""
+    rows, q = vectors(spark, sf).select("id", "embedding"), query_vectors(spark, sf)
+    a, b = knn.exact(q, rows, 10), knn.exact(q, rows.where("id % 2 = 0"), 5)
+    both = a.select(F.lit("all").alias("tool"), "query_id", F.col("id").alias("file")).unionByName(b.select(F.lit("even").alias("tool"), "query_id", F.col("id").alias("file")))
+    judged = q.select("query_id", F.col("label").alias("ql")).join(vectors(spark, sf).select(F.col("id").alias("file"), "label"), F.col("ql") == F.col("label")).select("query_id", "file", F.lit(1).alias("rel"))
+    return both, judged
+
+
+def paired_tools(spark: SparkSession, sf: str) -> DataFrame:
+    both, judged = _two_tools(spark, sf)
+    c = metrics.compare(both, judged).join(metrics.overlap(both, "even", "all"), "query_id")
+    return c.select("query_id", "tool", "returned", "relevant", "found", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "tokens", "overlap")
+
+
+_TWO = f"""{_Q}, d AS (SELECT query_id, ql, vec_id AS id, label, {_COS.format('qv', 'embedding')} AS d FROM q, embeddings),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS n FROM d), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS n FROM d WHERE id % 2 = 0),
+r AS (SELECT 'all' AS tool, query_id, id, ql, label FROM a WHERE n <= 10 UNION ALL SELECT 'even', query_id, id, ql, label FROM b WHERE n <= 5), t AS (SELECT query_id, count(*) FILTER (ql = label) AS relevant FROM d GROUP BY query_id),
+o AS (SELECT x.query_id, count(y.id) AS overlap FROM r x LEFT JOIN r y ON y.query_id = x.query_id AND y.id = x.id AND y.tool = 'all' WHERE x.tool = 'even' GROUP BY x.query_id)"""
+PAIRED_TOOLS = f"""WITH {_TWO} SELECT r.query_id, tool, count(*) AS returned, relevant, count(*) FILTER (ql = label) AS found, round(count(*) FILTER (ql = label) / count(*), 6) AS precision, round(count(*) FILTER (ql = label) / relevant, 6) AS recall, count(*) * 10 AS tokens, overlap
+FROM r JOIN t ON r.query_id = t.query_id JOIN o ON o.query_id = r.query_id GROUP BY r.query_id, tool, relevant, overlap"""
+
+
+def mean_tool_quality(spark: SparkSession, sf: str) -> DataFrame:
+    both, judged = _two_tools(spark, sf)
+    s = metrics.summary(metrics.compare(both, judged), "tool", ["precision", "recall"], ["tokens"])
+    return s.select("tool", "queries", "total_tokens", F.round(metrics.f1(F.col("avg_precision"), F.col("avg_recall")), 6).alias("f1_of_means"))
+
+
+MEAN_TOOL = f"""WITH {_TWO}, m AS (SELECT r.query_id, tool, count(*) FILTER (ql = label) / count(*) AS p, count(*) FILTER (ql = label) / max(relevant) AS rc, count(*) * 10 AS tokens FROM r JOIN t ON r.query_id = t.query_id GROUP BY r.query_id, tool)
+SELECT tool, count(*) AS queries, CAST(sum(tokens) AS BIGINT) AS total_tokens, round(2 * avg(p) * avg(rc) / (avg(p) + avg(rc)), 6) AS f1_of_means FROM m GROUP BY tool"""
+
+
+def benchmark_corpora(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of the corpora of a run, by language; the judgments are good documents as answers to their own texts."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    queries, own = C.self_retrieval(docs)
+    judged = own.join(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("query_id", "doc_id", "rel")
+    fast = C.corpus(docs, judged).groupBy("lang").agg(F.count("*").alias("fast"))
+    asked = C.judged_queries(queries, judged).select("query_id").join(docs.withColumnRenamed("doc_id", "query_id"), "query_id").groupBy("lang").agg(F.count("*").alias("asked"))
+    full = C.corpus(docs, judged, "full").groupBy("lang").agg(F.count("*").alias("full"))
+    return full.join(fast, "lang").join(asked, "lang")
+
+
+CORPORA = """WITH j AS (SELECT doc_id FROM documents WHERE length(text) > 10 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
+SELECT lang, count(*) AS full, count(*) FILTER (doc_id IN (SELECT doc_id FROM j)) AS fast, count(*) FILTER (doc_id IN (SELECT doc_id FROM j)) AS asked FROM documents GROUP BY lang HAVING fast > 0"""
+
+QUERIES = {f.__name__: f for f in (ir_metrics, ir_binary_metrics, tool_summary, jaccard_diversity, latency_percentiles, nearest_rank_percentiles, stage_timing, token_savings, result_lines, result_ranges, grep_baseline, index_stats, upsert_delete, paged_chunks, ids_to_documents, semi_anti_sets, debounce_sessions, latest_events, printed_results, path_prefix_filter, paired_tools, mean_tool_quality, benchmark_corpora)}
 ORACLE_SQL = {
     "ir_metrics": IR_METRICS, "ir_binary_metrics": IR_BINARY, "tool_summary": TOOL_SUMMARY, "jaccard_diversity": JACCARD, "latency_percentiles": LATENCY, "nearest_rank_percentiles": NEAREST_RANK, "stage_timing": STAGE_TIMING,
     "token_savings": TOKEN_SAVINGS, "result_lines": RESULT_LINES, "result_ranges": RESULT_RANGES, "grep_baseline": GREP, "index_stats": INDEX_STATS, "upsert_delete": UPSERT_DELETE, "paged_chunks": PAGED, "ids_to_documents": IDS_TO_DOCS,
-    "semi_anti_sets": SEMI_ANTI, "debounce_sessions": DEBOUNCE, "latest_events": LATEST, "printed_results": PRINTED, "path_prefix_filter": PREFIX,
+    "semi_anti_sets": SEMI_ANTI, "debounce_sessions": DEBOUNCE, "latest_events": LATEST, "printed_results": PRINTED, "path_prefix_filter": PREFIX, "paired_tools": PAIRED_TOOLS, "mean_tool_quality": MEAN_TOOL, "benchmark_corpora": CORPORA,
 }
