@@ -34,20 +34,24 @@ RANGE_DOCS, MOST_RANGES = 4_000, 4_096
 HASH = 16
 
 
-def cut_points(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one document: where the rolling hash of the last WINDOW ids has its top bits clear."""
-    n = len(ids)
-    if n <= 2 * LEAST:
-        return np.array([n], np.int64)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end: where the rolling hash of the last WINDOW ids has its top bits clear."""
     h = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
     h ^= h >> np.uint32(15)
     step, factor = 1, 0x01000193
     while step < WINDOW:  # the hash of 2 * step ids from two of step ids
         h[step:] = h[step:] + h[:-step] * np.uint32(factor)
         step, factor = 2 * step, factor * factor & 0xFFFFFFFF
-    marks = np.flatnonzero(((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - (MEAN.bit_length() - 1))) == 0) + 1
+    return np.flatnonzero(((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - (MEAN.bit_length() - 1))) == 0) + 1
+
+
+def cut_points(n: int, places: list[int]) -> list[int]:
+    """Ends of the chunks of a document of n ids, from its marks. Marks before LEAST don't count, so the ids of the document before it,
+    which the hash of its first WINDOW ids may hold, make no difference."""
+    if n <= 2 * LEAST:
+        return [n]
     ends, last = [], 0
-    for m in marks.tolist():
+    for m in places:
         if m - last < LEAST:
             continue
         while m - last > MOST:
@@ -61,7 +65,7 @@ def cut_points(ids: np.ndarray) -> np.ndarray:
         ends.append(last)
     if last < n:
         ends.append(n)
-    return np.array(ends, np.int64)
+    return ends
 
 
 def chunk_hash(data: bytes) -> bytes:
@@ -88,16 +92,20 @@ def _encode_batches(path: str, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            n, ends, hashes, data = [], [], [], []
-            for ids in enc.encode_many([t or "" for t in b.column("text").to_pylist()]):
-                ids = np.append(ids, end)
-                cuts = cut_points(ids)
-                raw = ids.astype("<u2").tobytes()
-                at = [0, *(2 * cuts).tolist()]
-                n.append(len(ids))
-                ends.append(cuts.astype("<u4").tobytes())
-                hashes.append(b"".join([chunk_hash(raw[a:z]) for a, z in zip(at, at[1:], strict=False)]))
-                data.append(raw)
+            ends, hashes, data = [], [], []
+            texts = enc.encode_many([t or "" for t in b.column("text").to_pylist()])
+            ids = np.concatenate([x for one in texts for x in (one, end)])
+            n = [len(one) + 1 for one in texts]
+            raw, found, begin = ids.astype("<u2").tobytes(), marks(ids), 0
+            borders = np.searchsorted(found, np.cumsum([0, *n]), "right").tolist()
+            for size, low, high in zip(n, borders, borders[1:], strict=False):
+                cuts = cut_points(size, (found[low:high] - begin).tolist() if high > low else [])
+                part = raw[2 * begin : 2 * (begin + size)]
+                at = [0, *(2 * c for c in cuts)]
+                ends.append(np.array(cuts, "<u4").tobytes())
+                hashes.append(b"".join([chunk_hash(part[a:z]) for a, z in zip(at, at[1:], strict=False)]))
+                data.append(part)
+                begin += size
             segment = np.searchsorted(bounds, b.column("doc_id").fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(segment), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ends, pa.binary()), pa.array(hashes, pa.binary()), pa.array(data, pa.binary())],

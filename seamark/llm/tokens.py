@@ -156,7 +156,8 @@ class UnitEncoder:
 
 
     def _make_many(self, raw: bytes, at: np.ndarray, ends: np.ndarray, which: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        model, make, blank = self._memo.model, self._memo.make, self._memo.letters[32]
+        model, make, letters = self._memo.model, self._memo.make, self._memo.letters
+        blank = letters[32]
         ids, counts = array("I"), []
         for start, end in zip(at[which].tolist(), ends[which].tolist(), strict=True):
             unit = raw[start:end]
@@ -172,7 +173,13 @@ class UnitEncoder:
                 ids.extend(got)
                 counts.append(len(got))
                 continue
-            got = make(unit.decode())
+            text = unit.decode()
+            if self.spaced and text[0] == " " and text[1:].isalpha():  # Latin-1 letters here
+                got = [x.id for x in model(unit.decode("latin-1").translate(letters))]
+                ids.extend(got)
+                counts.append(len(got))
+                continue
+            got = make(text)
             ids.frombytes(got)
             counts.append(len(got) // 4)
         return np.frombuffer(ids, np.uint32), np.array(counts, np.int64)

@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from seamark.llm import token_store
-from seamark.llm.token_store import TokenStore, cut_points, merkle_root, op6_token_store
+from seamark.llm.token_store import TokenStore, cut_points, marks, merkle_root, op6_token_store
 from seamark.llm.tokens import tokenizer_path
 
 
@@ -61,9 +61,12 @@ def test_damage_is_found(spark):
 
 def test_cut_points_and_root():
     ids = np.random.default_rng(1).integers(0, 50_000, 20_000)
-    cuts = cut_points(ids)
+    cuts = np.array(cut_points(len(ids), marks(ids).tolist()))
     sizes = np.diff(np.concatenate([[0], cuts]))
     assert cuts[-1] == len(ids) and sizes.max() <= token_store.MOST and sizes[:-1].min() >= token_store.LEAST
-    moved = cut_points(np.concatenate([ids[:777], ids]))
+    both = np.concatenate([ids[:777], ids])
+    after = marks(both) - 777
+    assert cut_points(len(ids), after[after > 0].tolist()) == cuts.tolist(), "what stands before a document doesn't matter"
+    moved = np.array(cut_points(len(both), marks(both).tolist()))
     assert len(set((moved - 777).tolist()) & set(cuts.tolist())) > len(cuts) // 2, "cuts follow the content"
     assert merkle_root([b"a", b"b", b"c"]) != merkle_root([b"a", b"c", b"b"])
