@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from .pq import kmeans
 
-#: Queries of a block, and how many more candidates an approximate index gives for each result.
-BLOCK, OVER, AT_LEAST = 1024, 5, 30
+#: Queries of a block.
+BLOCK = 1024
 
 
 def query_blocks(queries: DataFrame, id_col: str, vec_col: str, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -50,7 +51,7 @@ def distances(kind: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(size == 0, V.FAR, 1 - products / np.where(size == 0, 1, size))
 
 
-def _best(ids: np.ndarray, q: np.ndarray, k: int, threshold: float | None, kind: str, id_type: pa.DataType):
+def _best(ids: np.ndarray, q: np.ndarray, k: int, threshold: float | None, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, rows = _matrix(b.column("_vec"), q.shape[1])
@@ -79,7 +80,7 @@ def exact(queries: DataFrame, rows: DataFrame, k: int, threshold: float | None =
     source = rows.select(F.col(row[0]).alias("_id"), F.col(row[1]).alias("_vec")).where("_vec is not null")
     found = None
     for ids, q in query_blocks(queries, *query, block):
-        one = source.mapInArrow(_best(ids, q, k, threshold, kind, None), f"query_id long, _id {id_type}, distance double")
+        one = source.mapInArrow(_best(ids, q, k, threshold, kind), f"query_id long, _id {id_type}, distance double")
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = source.sparkSession.createDataFrame([], f"query_id long, _id {id_type}, distance double")
@@ -105,8 +106,6 @@ class ListIndex:
         some = rows.where(F.col(vec_col).isNotNull())
         if n > sample:
             some = some.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-        from .pq import kmeans
-
         x = np.array([r[0] for r in some.select(vec_col).collect()], np.float64)
         self.centres = kmeans(x, min(lists, max(1, len(x))), rounds, seed)
         self.rows = self.assign(rows.where(F.col(vec_col).isNotNull()), vec_col, 1).withColumn("list", F.explode("lists")).drop("lists")

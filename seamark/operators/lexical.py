@@ -49,7 +49,7 @@ def bm25(terms: DataFrame, tokens: DataFrame, require_all: bool = False) -> Data
     terms_at = tokens.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("phrase"))
     found = terms_at.join(single.select("phrase").distinct(), "phrase", "left_semi").groupBy("phrase", "id", "dl").agg(F.count("*").alias("tf"))
     found = found.unionByName(_phrase_counts(several.select("phrase").distinct(), tokens))
-    df = found.groupBy("phrase").agg(F.count("*").alias("df"))
+    df = found.groupBy("phrase").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads what `found` has, so that its exchange is used again
     # One row of corpus statistics goes to every task.
     scored = wanted.join(found, "phrase").join(df, "phrase").join(F.broadcast(corpus_stats(doc_stats(tokens))), F.lit(True))
     part = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -71,7 +71,8 @@ def search(queries: DataFrame, index: Index, opts: SearchOptions = SearchOptions
     """
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     rows = candidates(queries, index, opts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= opts.fetched)
-    rows = rows.join(index.chunks.select("id", "file_path", "content", "start_line", "end_line", "is_test"), "id").join(queries.select("query_id", "query"), "query_id")
+    # Contents are joined to what is left at the end, and to the few rows that the cross-encoder reads.
+    rows = rows.join(index.chunks.select("id", "file_path", "start_line", "end_line", "is_test"), "id").join(queries.select("query_id", "query"), "query_id")
     late = opts.use_late and terms is not None and index.segments is not None
     cross = opts.use_rerank and reranker is not None
     if late or cross:
@@ -83,7 +84,8 @@ def search(queries: DataFrame, index: Index, opts: SearchOptions = SearchOptions
         if cross:
             by = Window.partitionBy("query_id").orderBy(F.col("maxsim").desc_nulls_last() if late else F.col("rank"), F.col("rank"))
             top = rows.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= fusion.CROSS_CANDIDATES)
-            logits = reranker.score(top.select("query_id", "id", "query", "content")).select("query_id", "id", "logit")
+            read = top.select("query_id", "id", "query").join(index.chunks.select("id", "content"), "id").select("query_id", "id", "query", "content")
+            logits = reranker.score(read).select("query_id", "id", "logit")
             rows = rows.drop("logit").join(logits, ["query_id", "id"], "left")
         rows = fusion.fuse(rows, opts.use_hybrid, cross, late, opts.limit, opts.keep_fused_order, opts.rerank_weight, opts.late_weight)
         rows = rows.withColumn("score", F.col("final_order"))
@@ -94,8 +96,8 @@ def search(queries: DataFrame, index: Index, opts: SearchOptions = SearchOptions
     if not opts.use_hybrid and 0 < opts.boost_impl < 1:
         rows = rows.withColumn("score", F.when(F.col("is_test"), F.col("score")).otherwise(F.col("score") * opts.boost_impl))
     if opts.deduplicate:
-        kept = dedup.dedup_intervals(rows).select("query_id", "id")
-        rows = rows.join(kept, ["query_id", "id"], "left_semi")
+        rows = dedup.dedup_intervals(rows)
     final = Window.partitionBy("query_id").orderBy("score", "id")
-    out = rows.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= opts.limit)
+    out = rows.select("query_id", "id", "file_path", "start_line", "end_line", "score").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= opts.limit)
+    out = out.join(index.chunks.select("id", "content", "is_test"), "id")
     return out.select("query_id", "rank", F.col("file_path").alias("file"), F.col("start_line").alias("start"), F.col("end_line").alias("end"), "score", "content", "is_test")
