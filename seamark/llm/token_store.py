@@ -30,7 +30,7 @@ VOCABULARY, END_ID = "byte_bpe_50k.json", 0
 #: Chunks: window of the rolling hash (a power of two), mean, least and most ids.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 2048
 #: Documents of one range of the store, and the most ranges (then they grow): a range is sorted and written by one task, row by row.
-RANGE_DOCS, MOST_RANGES = 4_000, 4_096
+RANGE_DOCS, MOST_RANGES = 4_000, 65_536
 HASH = 16
 
 
@@ -180,7 +180,7 @@ class TokenStore:
         docs = docs.select(F.col("doc_id").cast("long"), "text")
         ranges = max(1, min(MOST_RANGES, -(-docs.count() // RANGE_DOCS)))
         shares = [(i + 1) / ranges for i in range(ranges - 1)]
-        bounds = (docs.agg(F.percentile_approx("doc_id", shares, 100 * ranges)).first()[0] or []) if shares else []
+        bounds = (docs.agg(F.percentile_approx("doc_id", shares, min(100 * ranges, 2_000_000))).first()[0] or []) if shares else []
         bounds = np.unique(np.array(bounds, np.int64))
         docs.mapInArrow(_encode_batches(self.vocabulary, bounds), ENCODED).write.option("compression", "zstd").parquet(scratch)
         encoded = spark.read.schema(ENCODED).parquet(scratch)
@@ -195,7 +195,7 @@ class TokenStore:
         notes = borrowed.select("segment", "doc_id", "hash", F.lit(True).alias("borrowed")).unionByName(lent.withColumn("borrowed", F.lit(False)))
         both = encoded.withColumn("kind", F.lit(1)).unionByName(notes.withColumn("kind", F.lit(0)), allowMissingColumns=True)
         both = both.select("segment", "doc_id", "kind", "hash", "borrowed", "n_tokens", "ends", "hashes", "data")
-        rows = both.repartition(ranges, "segment").sortWithinPartitions("segment", "doc_id", "kind").mapInArrow(_store_batches, STORED)
+        rows = both.repartitionById(ranges, F.col("segment")).sortWithinPartitions("segment", "doc_id", "kind").mapInArrow(_store_batches, STORED)
         rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/rows")
         delete_folder(spark, scratch)
         delete_folder(spark, borrowed_at)
