@@ -139,7 +139,7 @@ class WarcArchive:
         again = pages.where(F.col("n") >= REVISIT_BYTES).select("page_id", "digest").join(groups.select("digest", "refers_to"), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
         both = pages.withColumn("kind", F.lit(1)).unionByName(again.distinct().withColumn("kind", F.lit(0)), allowMissingColumns=True)
         both = both.select(shard.cast("int").alias("shard"), "page_id", "kind", "digest", "refers_to", "url", "html")
-        written = both.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "kind", "digest").mapInArrow(_write_batches(self.path, self.file_bytes), MANIFEST)
+        written = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "digest").mapInArrow(_write_batches(self.path, self.file_bytes), MANIFEST)
         written.write.mode("overwrite").json(f"{self.path}/_manifest-new")
         self._commit()
 
