@@ -75,11 +75,11 @@ SELECT id, round(list_inner_product(a, b), 6) + 0.0 AS dot, round(1 - list_inner
 
 def normalise_vectors(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf).select("id", V.normalise(F.transform("embedding", lambda x: (x * 3).cast("float"))).alias("v"))
-    return v.select("id", F.round(V.norm(F.col("v")), 5).alias("norm"), F.round(F.element_at("v", 1).cast("double"), 5).alias("first"))
+    return v.select("id", F.round(V.norm(F.col("v")), 4).alias("norm"), F.round(F.element_at("v", 1).cast("double"), 4).alias("first"))
 
 
 NORMALISE = f"""WITH v AS (SELECT vec_id AS id, list_transform({_D.format('embedding')}, lambda x: x * 3) AS v FROM embeddings)
-SELECT id, CAST(1.0 AS DOUBLE) AS norm, round(v[1] / sqrt(list_inner_product(v, v)), 5) AS first FROM v"""
+SELECT id, CAST(1.0 AS DOUBLE) AS norm, round(v[1] / sqrt(list_inner_product(v, v)), 4) AS first FROM v"""
 
 
 def vector_codec(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,36 +94,36 @@ SELECT id, CAST(len(v) AS INTEGER) AS dims, v[2] AS second, CAST(list_position(l
 
 def file_mean_pool(spark: SparkSession, sf: str) -> DataFrame:
     pooled = pooling.mean_vectors(vectors(spark, sf), "label", "embedding", F.col("id").cast("int"))
-    return pooled.select("label", F.posexplode("embedding").alias("pos", "x"), "chunk_count", "total_lines").select("label", "pos", F.round(F.col("x").cast("double"), 5).alias("x"), "chunk_count", "total_lines")
+    return pooled.select("label", F.posexplode("embedding").alias("pos", "x"), "chunk_count", "total_lines").select("label", "pos", F.round(F.col("x").cast("double"), 4).alias("x"), "chunk_count", "total_lines")
 
 
 _MEANS = """m AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos),
 u AS (SELECT label, pos, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM m)"""
 FILE_MEAN_POOL = f"""WITH {_MEANS}, c AS (SELECT label, count(*) AS chunk_count, max(vec_id) AS total_lines FROM embeddings GROUP BY label)
-SELECT u.label, CAST(pos AS INTEGER) AS pos, round(x, 5) AS x, chunk_count, CAST(total_lines AS INTEGER) AS total_lines FROM u JOIN c ON u.label = c.label"""
+SELECT u.label, CAST(pos AS INTEGER) AS pos, round(x, 4) AS x, chunk_count, CAST(total_lines AS INTEGER) AS total_lines FROM u JOIN c ON u.label = c.label"""
 
 
 def file_level_search(spark: SparkSession, sf: str) -> DataFrame:
     files = pooling.mean_vectors(vectors(spark, sf), "label", "embedding").withColumn("file", F.col("label").cast("long"))
     found = knn.exact(query_vectors(spark, sf), files, 3, row=("file", "embedding"))
-    return found.select("query_id", "file", F.round("distance", 5).alias("distance"), "rank")
+    return found.select("query_id", "file", F.round("distance", 4).alias("distance"), "rank")
 
 
 _FILE_SEARCH = f"""{_MEANS}, f AS (SELECT CAST(label AS BIGINT) AS file, list(x ORDER BY pos) AS fv FROM u GROUP BY label), {_Q},
 fd AS (SELECT query_id, file, {_COS.format('qv', 'fv')} AS d FROM q, f), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, file) AS rank FROM fd)"""
-FILE_LEVEL_SEARCH = f"WITH {_FILE_SEARCH} SELECT query_id, file, round(d, 5) AS distance, rank FROM fr WHERE rank <= 3"
+FILE_LEVEL_SEARCH = f"WITH {_FILE_SEARCH} SELECT query_id, file, round(d, 4) AS distance, rank FROM fr WHERE rank <= 3"
 
 
 def meta_query_search(spark: SparkSession, sf: str) -> DataFrame:
     files = pooling.mean_vectors(vectors(spark, sf), "label", "embedding").withColumn("file", F.col("label").cast("string"))
     found = knn.exact(query_vectors(spark, sf), files, 10, row=("file", "embedding")).withColumnRenamed("file", "file_path")
     chunks = vectors(spark, sf).select(F.col("label").cast("string").alias("file_path"), "id", F.col("id").alias("start_line"))
-    return pooling.first_chunks(found, chunks, 4).select("query_id", "file_path", "id", "nth", F.round("distance", 5).alias("distance"))
+    return pooling.first_chunks(found, chunks, 4).select("query_id", "file_path", "id", "nth", F.round("distance", 4).alias("distance"))
 
 
 META_QUERY_SEARCH = f"""WITH {_FILE_SEARCH}, c AS (SELECT CAST(label AS BIGINT) AS file, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS nth FROM embeddings),
 p AS (SELECT query_id, fr.file, c.id, nth, d, coalesce(sum(1) OVER (PARTITION BY query_id ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fr JOIN c ON fr.file = c.file WHERE nth <= 2)
-SELECT query_id, CAST(file AS VARCHAR) AS file_path, id, CAST(nth AS INTEGER) AS nth, round(d, 5) AS distance FROM p WHERE before < 8"""
+SELECT query_id, CAST(file AS VARCHAR) AS file_path, id, CAST(nth AS INTEGER) AS nth, round(d, 4) AS distance FROM p WHERE before < 8"""
 
 
 def quantise_minmax(spark: SparkSession, sf: str) -> DataFrame:
