@@ -139,12 +139,12 @@ SELECT doc_id, sha256(array_to_string(l[2:3], chr(10))) AS part, regexp_replace(
 
 def grep_baseline(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark")
-    patterns = b.where("item_id < 10").select(F.col("item_id").alias("query_id"), F.posexplode(F.slice(T.pattern_words(F.col("text")), 1, 3)).alias("ord", "pattern"))
+    patterns = b.select(F.col("item_id").alias("query_id"), F.posexplode(T.pattern_words(F.col("text"))).alias("ord", "pattern"))
     files = table(spark, sf, "documents").select(F.format_string("%08d", "doc_id").alias("file_path"), F.col("text").alias("content"))
     return R.grep(files, patterns, 10)
 
 
-GREP = """WITH w AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(text, '[ ?.,;]+'), lambda w: strlen(w) >= 3)[1:3] AS w FROM benchmark WHERE item_id < 10), p AS (SELECT query_id, i AS ord, w[i] AS pattern FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)),
+GREP = """WITH w AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(text, '[ ?.,;]+'), lambda w: strlen(w) >= 3) AS w FROM benchmark), p AS (SELECT query_id, i AS ord, w[i] AS pattern FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)),
 h AS (SELECT query_id, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS file_path, min(ord) AS ord FROM p JOIN documents ON regexp_matches(text, pattern) GROUP BY query_id, doc_id),
 b AS (SELECT *, coalesce(sum(1) OVER (PARTITION BY query_id ORDER BY ord RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord, file_path) AS rank FROM b WHERE before < 10)
 SELECT query_id, file_path, rank FROM r WHERE rank <= 10"""

@@ -29,7 +29,7 @@ TOKEN_ESTIMATE = f"SELECT doc_id, {_ESTIMATE.format('text')} AS tokens, CAST(flo
 
 def _bench_terms(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.explode(F.slice(T.tokens(F.col("text")), 1, 6)).alias("term"))
+    return b.select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term"))
 
 
 def _doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +57,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.bm25_top(_bench_terms(spark, sf), _doc_tokens(spark, sf), 10).select("query_id", "id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
-_BM25 = f"""{_TOK}, qt AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format('text')}[1:6]) AS term FROM benchmark), p AS (SELECT id, unnest(t) AS term FROM tok),
+_BM25 = f"""{_TOK}, qt AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark), p AS (SELECT id, unnest(t) AS term FROM tok),
 tf AS (SELECT id, term, count(*) AS f FROM p GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), dl AS (SELECT id, len(t) AS dl FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 w AS (SELECT query_id, tf.id, -sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25, count(*) AS matched
  FROM qt JOIN tf ON qt.term = tf.term JOIN df ON df.term = tf.term JOIN dl ON dl.id = tf.id, st GROUP BY query_id, tf.id)"""
@@ -72,11 +72,13 @@ BM25_ALL = f"WITH {_BM25}, asked AS (SELECT query_id, count(*) AS asked FROM qt
 
 
 def bm25_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens(F.col("text")), 2, 2), "-").alias("term"))
+    t = T.tokens(F.col("text"))
+    runs = F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat_ws("-", a, b))
+    pairs = table(spark, sf, "benchmark").where(F.size(t) > 1).select(F.col("item_id").alias("query_id"), F.explode(runs).alias("term"))
     return lexical.bm25(pairs, _doc_tokens(spark, sf)).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
 
 
-BM25_PHRASES = f"""WITH {_TOK}, q AS (SELECT item_id AS query_id, array_to_string({_TOKENS.format('text')}[2:3], ' ') AS term FROM benchmark), u AS (SELECT DISTINCT term FROM q),
+BM25_PHRASES = f"""WITH {_TOK}, b AS (SELECT item_id AS query_id, {_TOKENS.format('text')} AS t FROM benchmark), q AS (SELECT DISTINCT query_id, t[i] || ' ' || t[i + 1] AS term FROM (SELECT *, unnest(range(1, len(t))) AS i FROM b)), u AS (SELECT DISTINCT term FROM q),
 p AS (SELECT id, t, unnest(range(1, len(t))) AS i FROM tok), tf AS (SELECT p.id, term, count(*) AS f FROM p JOIN u ON t[i] || ' ' || t[i + 1] = term GROUP BY p.id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 dl AS (SELECT id, len(t) AS dl FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)
 SELECT query_id, tf.id, round(-sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25
@@ -85,13 +87,14 @@ FROM q JOIN tf ON q.term = tf.term JOIN df ON df.term = tf.term JOIN dl ON dl.id
 
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     q = query_vectors(spark, sf)
-    terms = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.explode(F.slice(T.tokens(F.col("text")), 1, 4)).alias("term")).join(q.select("query_id"), "query_id", "left_semi")
+    texts = table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), F.explode(T.tokens(F.col("text"))).alias("term"))
+    terms = q.select("query_id", F.pmod(F.floor(F.col("query_id") / 50), F.lit(40)).alias("item")).join(texts, "item").select("query_id", "term")
     semantic = knn.exact(q, vectors(spark, sf), hybrid.candidates(10), 1.0)
     return hybrid.combine(semantic, lexical.bm25(terms, _doc_tokens(spark, sf)), 10, 1.0).select("query_id", "id", F.round("distance", 6).alias("distance"), F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"), "rank")
 
 
 HYBRID_TOPK = f"""WITH {_Q}, d AS (SELECT query_id, vec_id AS id, {_COS.format('qv', 'embedding')} AS d FROM q, embeddings), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS n FROM d WHERE d <= 1.0),
-{_BM25.replace('item_id AS query_id', 'doc_id AS query_id').replace('[1:6]', '[1:4]').replace('FROM benchmark)', 'FROM documents WHERE doc_id IN (SELECT query_id FROM q))')},
+{_BM25.replace("SELECT DISTINCT item_id AS query_id, unnest", "SELECT DISTINCT query_id, unnest").replace("FROM benchmark)", "FROM q JOIN benchmark ON item_id = (query_id // 50) % 40)")},
 s AS (SELECT c.query_id, c.id, d, coalesce(bm25, 0.0) AS bm25, 0.6 * d + 0.4 * coalesce(bm25, 0.0) AS score FROM c LEFT JOIN w ON w.query_id = c.query_id AND w.id = c.id WHERE n <= 50),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM s)
 SELECT query_id, id, round(d, 6) AS distance, round(bm25, 6) AS bm25, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
@@ -109,12 +112,12 @@ SELECT query_id, array_to_string({_BARE}, ' OR ') AS any_of, array_to_string({_B
 
 
 def query_terms(spark: SparkSession, sf: str) -> DataFrame:
-    b = table(spark, sf, "benchmark").select((F.col("item_id") + 1000).alias("query_id"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 5), " ").alias("query"))
+    b = table(spark, sf, "benchmark").select((F.col("item_id") + 1000).alias("query_id"), F.col("text").alias("query"))
     q = literal_queries(spark).unionByName(b)
     return q.select("query_id", F.posexplode(T.query_terms(F.col("query"))).alias("term_idx", "term"))
 
 
-QUERY_TERMS = f"""WITH b AS (SELECT * FROM {QUERIES_SQL} UNION ALL SELECT item_id + 1000, array_to_string({_TOKENS.format('text')}[1:5], ' ') FROM benchmark),
+QUERY_TERMS = f"""WITH b AS (SELECT * FROM {QUERIES_SQL} UNION ALL SELECT item_id + 1000, text FROM benchmark),
 w AS (SELECT query_id, trim(query) AS q, {_TOKENS.format('query')} AS w FROM b WHERE trim(query) <> ''),
 a AS (SELECT query_id, q AS term, 0 AS ord FROM w
  UNION ALL SELECT query_id, w[i], i FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) <= 3) WHERE strlen(w[i]) > 2 AND NOT list_contains([{_TERM_STOPS}], w[i])
@@ -160,7 +163,7 @@ SELECT doc_id, file_path, ext IN {_in(P.CODE_EXTENSIONS)} AS is_code, {_suffix('
 
 
 def path_boost(spark: SparkSession, sf: str) -> DataFrame:
-    rows = documents(spark, sf).select("doc_id", "file_path").join(literal_queries(spark).where("query_id < 8"), F.lit(True))
+    rows = documents(spark, sf).select("doc_id", "file_path").join(literal_queries(spark), F.lit(True))
     return rows.select("doc_id", "query_id", F.round(P.path_boost(F.col("file_path"), T.intent(F.col("query"))), 6).alias("boost"))
 
 
@@ -170,7 +173,7 @@ _BOOST = """CASE WHEN intent = 'conceptual' AND p IN ('readme.md', 'readme', 're
  * CASE WHEN intent = 'example' AND (contains(p, 'example') OR contains(p, 'demo')) THEN 1.3 ELSE 1.0 END
  * CASE WHEN ends_with(p, '_test.go') OR contains(p, '/test/') THEN 0.8 ELSE 1.0 END * CASE WHEN contains(p, '.worktrees/') THEN 0.5 ELSE 1.0 END
  * CASE WHEN contains(p, '.generated.') OR contains(p, '.pb.go') THEN 0.6 ELSE 1.0 END"""
-PATH_BOOST = f"WITH r AS (SELECT doc_id, query_id, lower({PATH_SQL}) AS p, {_INTENT} AS intent FROM documents, {QUERIES_SQL} WHERE query_id < 8) SELECT doc_id, query_id, CAST(round(CAST({_BOOST} AS DOUBLE), 6) AS DOUBLE) AS boost FROM r"
+PATH_BOOST = f"WITH r AS (SELECT doc_id, query_id, lower({PATH_SQL}) AS p, {_INTENT} AS intent FROM documents, {QUERIES_SQL}) SELECT doc_id, query_id, CAST(round(CAST({_BOOST} AS DOUBLE), 6) AS DOUBLE) AS boost FROM r"
 
 
 def fusion_weights(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,14 +216,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, rank
 def _ranges(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf)
     start = F.pmod(F.col("doc_id") * 7, F.lit(60)).cast("int") + 1
-    return d.select(F.pmod(F.col("doc_id"), F.lit(5)).alias("query_id"), F.format_string("%08d", "doc_id").alias("id"), F.concat(F.when(F.col("doc_id") % 3 == 0, ".worktrees/w/").otherwise(""), F.lit("pkg/"), F.col("source"), F.lit(".go")).alias("file_path"), start.alias("start_line"), (start + F.pmod(F.col("doc_id"), F.lit(9)).cast("int") * 5).alias("end_line"), (F.pmod(F.col("doc_id") * 13, F.lit(101)) / 100.0).alias("score")).where("doc_id < 400")
+    return d.select(F.pmod(F.col("doc_id"), F.lit(5)).alias("query_id"), F.format_string("%08d", "doc_id").alias("id"), F.concat(F.when(F.col("doc_id") % 3 == 0, ".worktrees/w/").otherwise(""), F.lit("pkg/"), F.col("source"), F.lit(".go")).alias("file_path"), start.alias("start_line"), (start + F.pmod(F.col("doc_id"), F.lit(9)).cast("int") * 5).alias("end_line"), (F.pmod(F.col("doc_id") * 13, F.lit(101)) / 100.0).alias("score"))
 
 
 def dedup_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.dedup_intervals(_ranges(spark, sf)).select("query_id", "id", "canonical", "start_line", "end_line", F.round("score", 6).alias("score"))
 
 
-DEDUP_INTERVALS = """WITH RECURSIVE r AS (SELECT doc_id % 5 AS query_id, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, doc_id % 3 = 0 AS wt, 'pkg/' || source || '.go' AS canonical, CAST(doc_id * 7 % 60 + 1 AS INTEGER) AS s, CAST(doc_id * 7 % 60 + 1 + doc_id % 9 * 5 AS INTEGER) AS e, (doc_id * 13 % 101) / 100.0 AS score FROM documents WHERE doc_id < 400),
+DEDUP_INTERVALS = """WITH RECURSIVE r AS (SELECT doc_id % 5 AS query_id, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, doc_id % 3 = 0 AS wt, 'pkg/' || source || '.go' AS canonical, CAST(doc_id * 7 % 60 + 1 AS INTEGER) AS s, CAST(doc_id * 7 % 60 + 1 + doc_id % 9 * 5 AS INTEGER) AS e, (doc_id * 13 % 101) / 100.0 AS score FROM documents),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id, canonical ORDER BY score, wt, id) AS n FROM r),
 f(query_id, canonical, n, kept) AS (SELECT query_id, canonical, n, [{'id': id, 'wt': wt, 's': s, 'e': e, 'score': score}] FROM o WHERE n = 1
  UNION ALL SELECT o.query_id, o.canonical, o.n, CASE WHEN len(list_filter(kept, lambda k: (least(k.e, o.e) - greatest(k.s, o.s) + 1 > 0 AND ((least(k.e, o.e) - greatest(k.s, o.s) + 1) / (k.e - k.s + 1) > 0.5 OR (least(k.e, o.e) - greatest(k.s, o.s) + 1) / (o.e - o.s + 1) > 0.5)) OR (o.wt AND NOT k.wt))) > 0 THEN kept

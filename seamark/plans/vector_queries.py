@@ -32,11 +32,10 @@ SELECT query_id, r.id, round(d, 6) + 0.0 AS distance, rank, lang FROM r LEFT JOI
 
 
 def knn_bruteforce(spark: SparkSession, sf: str) -> DataFrame:
-    few = query_vectors(spark, sf).where("query_id % 100 = 0")
-    return knn.brute_force(few, vectors(spark, sf), 5, 0.95).select("query_id", "id", r6(F.col("distance")).alias("distance"), "rank")
+    return knn.brute_force(query_vectors(spark, sf), vectors(spark, sf), 5, 0.95).select("query_id", "id", r6(F.col("distance")).alias("distance"), "rank")
 
 
-KNN_BRUTE = f"""WITH {_Q}, d AS (SELECT query_id, vec_id AS id, {_COS.format('qv', 'embedding')} AS d FROM q, embeddings WHERE query_id % 100 = 0),
+KNN_BRUTE = f"""WITH {_Q}, d AS (SELECT query_id, vec_id AS id, {_COS.format('qv', 'embedding')} AS d FROM q, embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM d WHERE d <= 0.95)
 SELECT query_id, id, round(d, 6) + 0.0 AS distance, rank FROM r WHERE rank <= 5"""
 
@@ -237,9 +236,12 @@ def lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
 def pq_adc_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Table distances over product codes: candidates, ranked exactly afterwards."""
     rows = vectors(spark, sf).select("id", "embedding")
-    pq = ProductQuantiser.train(rows)
-    queries = [(r["query_id"], r["embedding"]) for r in query_vectors(spark, sf).select("query_id", "embedding").limit(knn.BLOCK).collect()]
-    return pq.search(queries, pq.encode_rows(rows), 10)
+    pq, out = ProductQuantiser.train(rows), None
+    coded = pq.encode_rows(rows)
+    for ids, q in knn.query_blocks(query_vectors(spark, sf), "query_id", "embedding"):
+        one = pq.search(list(zip(ids.tolist(), q, strict=True)), coded, 10)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def pq_codes(spark: SparkSession, sf: str) -> DataFrame:
