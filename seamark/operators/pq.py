@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Candidates of a batch for each result asked for, and the share of a batch's rows that are candidates at least.
+WIDTH, SHARE = 10, 0.05
+
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7) -> np.ndarray:
     """Centres by Lloyd's rounds from k-means++ starts; an empty cluster keeps its centre."""
@@ -104,20 +107,26 @@ class ProductQuantiser:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != vec_col)
         return rows.where(F.col(vec_col).isNotNull()).mapInArrow(run, f"{fields}, codes array<smallint>")
 
-    def search(self, queries: list[tuple[int, list[float]]], coded: DataFrame, k: int, id_col: str = "id") -> DataFrame:
-        """(query_id, id, score, rank) by table products; the tables of a block of queries go with the task."""
-        tables = [(int(i), self.table(np.array(q, np.float64))) for i, q in queries]
+    def search(self, queries: list[tuple[int, list[float]]], coded: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+        """(query_id, id, score, rank) by exact products with the vectors in `vec_col`, of candidates by table products: of each batch
+        the best WIDTH * k rows, or SHARE of its rows if that is more. The tables of a block of queries go with the task."""
+        tables = [(int(i), np.array(q, np.float64), self.table(np.array(q, np.float64))) for i, q in queries]
         id_type = coded.schema[id_col].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                codes = np.asarray(b.column("codes").flatten().to_numpy(zero_copy_only=False), np.int64).reshape(b.num_rows, -1)
-                for i, t in tables:
-                    s = self.dot(t, codes)
-                    least = np.partition(s, len(s) - k)[len(s) - k] if k < len(s) else -np.inf
-                    at = np.flatnonzero(s >= least)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i), pa.int64()), b.column(id_col).take(pa.array(at)), pa.array(s[at])], names=["query_id", id_col, "score"])
-
-        best = coded.select(id_col, "codes").mapInArrow(run, f"query_id long, {id_col} {id_type}, score double")
+                codes, x = (np.asarray(b.column(c).flatten().to_numpy(zero_copy_only=False), t).reshape(b.num_rows, -1) for c, t in (("codes", np.int64), (vec_col, np.float64)))
+                for i, q, t in tables:
+                    at = _largest(self.dot(t, codes), max(WIDTH * k, int(np.ceil(SHARE * b.num_rows))))
+                    s = x[at] @ q
+                    best = _largest(s, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), i), pa.int64()), b.column(id_col).take(pa.array(at[best])), pa.array(s[best])], names=["query_id", id_col, "score"])
+
+        best = coded.select(id_col, "codes", vec_col).mapInArrow(run, f"query_id long, {id_col} {id_type}, score double")
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _largest(s: np.ndarray, k: int) -> np.ndarray:
+    """Where the k largest are; ties at the limit stay."""
+    return np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if k < len(s) else np.arange(len(s))

@@ -234,16 +234,22 @@ def lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pq_adc_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Table distances over product codes: candidates, ranked exactly afterwards."""
+    """Table products over product codes: candidates, ranked exactly afterwards."""
     rows = vectors(spark, sf).select("id", "embedding")
     pq, out = ProductQuantiser.train(rows), None
-    coded = pq.encode_rows(rows)
+    coded = pq.encode_rows(rows.withColumn("vector", F.col("embedding")))
     for ids, q in knn.query_blocks(query_vectors(spark, sf), "query_id", "embedding"):
-        one = pq.search(list(zip(ids.tolist(), q, strict=True)), coded, 10)
+        one = pq.search(list(zip(ids.tolist(), q, strict=True)), coded, 10, vec_col="vector")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def pq_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall at 10 of the product codes against exact products, by query."""
+    rows = vectors(spark, sf).select("id", "embedding")
+    return _recall(pq_adc_topk(spark, sf), knn.exact(query_vectors(spark, sf), rows, 10, kind="dot"))
+
+
 def pq_codes(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark, sf).select("id", "embedding")
     pq = ProductQuantiser.train(rows)
@@ -257,7 +263,7 @@ def segment_pool(spark: SparkSession, sf: str) -> DataFrame:
     return pooled.select("chunk_id", "segment_idx", "text", F.round(F.element_at("segment_vec", 1), 6).alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (knn_exact, knn_bruteforce, knn_threshold, knn_l2, vector_distances, normalise_vectors, vector_codec, file_mean_pool, file_level_search, meta_query_search, quantise_minmax, quantise_unit, quantise_binary, hamming_topk, int8_dot_topk, maxsim_topk, maxsim_int8, ivf_recall, lsh_recall, pq_adc_topk, pq_codes, segment_pool)}
+QUERIES = {f.__name__: f for f in (knn_exact, knn_bruteforce, knn_threshold, knn_l2, vector_distances, normalise_vectors, vector_codec, file_mean_pool, file_level_search, meta_query_search, quantise_minmax, quantise_unit, quantise_binary, hamming_topk, int8_dot_topk, maxsim_topk, maxsim_int8, ivf_recall, lsh_recall, pq_adc_topk, pq_recall, pq_codes, segment_pool)}
 ORACLE_SQL = {
     "knn_exact": KNN_EXACT, "knn_bruteforce": KNN_BRUTE, "knn_threshold": KNN_THRESHOLD, "knn_l2": KNN_L2, "vector_distances": VECTOR_DISTANCES, "normalise_vectors": NORMALISE, "vector_codec": VECTOR_CODEC,
     "file_mean_pool": FILE_MEAN_POOL, "file_level_search": FILE_LEVEL_SEARCH, "meta_query_search": META_QUERY_SEARCH, "quantise_minmax": QUANTISE_MINMAX, "quantise_unit": QUANTISE_UNIT, "quantise_binary": QUANTISE_BINARY,

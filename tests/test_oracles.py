@@ -25,6 +25,16 @@ def test_approximate_indexes_find_nine_of_ten(spark):
         assert sum(r["found"] for r in rows) >= 0.9 * sum(r["k"] for r in rows), name
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_product_codes_find_nine_of_ten(spark, size):
+    rows = catalog.QUERIES["pq_recall"](spark, f"/root/testdata/{size}").collect()
+    assert len(rows) >= 10 and sum(r["found"] for r in rows) >= 0.9 * sum(r["k"] for r in rows)
+    # scores are exact products, in order
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").collect()}
+    for r in catalog.QUERIES["pq_adc_topk"](spark, f"/root/testdata/{size}").where("rank <= 2").collect():
+        assert abs(r["score"] - sum(x * y for x, y in zip(vectors[r["query_id"]], vectors[r["id"]], strict=True))) < 1e-9
+
+
 def test_driver_contract(spark):
     import __spark_entry__ as entry
 
