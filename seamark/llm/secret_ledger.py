@@ -25,7 +25,14 @@ from .common import new_folder, small_batches
 ASSIGN = r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: A whole key block: up to the END line of the same label or, where the next five dashes are no such line, header fields and
+#: base64 lines with a short last one (line breaks may be written as \n).
+PEM = (
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:[^-]*(?:-(?!----)[^-]*)*-----END \1PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nrt])*(?:Proc-Type|DEK-Info):[^\n\\]*)*"
+    r"(?:(?:\s|\\[nrt])*[A-Za-z0-9+/=]{16,}(?:(?:\s|\\[nrt])+[A-Za-z0-9+/=]{16,})*"
+    r"(?:[^\S\n]*(?:\n|\\r\\n|\\n)[^\S\n]*[A-Za-z0-9+/=]+(?=[^\S\n]*(?:[\n\\]|\Z)))?)?)"
+)
 JWT = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 
 

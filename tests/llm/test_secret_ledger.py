@@ -62,3 +62,25 @@ def test_overlapping_spans_and_unicode_letters():
     s = Scanner()
     assert [x[1] for x in s.spans("token=" + "ab" * 12)] == [0, 2]
     assert s.spans("toKen=abcdef") == []  # the Kelvin sign is no ASCII letter
+
+
+def test_whole_key_blocks_are_redacted(spark):
+    body = ["MIIEpAIBAAKCAQEA7bq" + "Zz0+/" * 9, "q" * 64, "Rk9PQkFS" * 8, "c2hvcnQ="]
+    lines = "\n".join(body)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    mark = "[REDACTED:pem]"
+    cases = [
+        (f"a\n{begin}\n{lines}\n{end}\nb", f"a\n{mark}\nb"),
+        (f"a {begin} {' '.join(body)} {end} b", f"a {mark} b"),
+        (f'"{begin}{chr(92)}n{(chr(92) + "n").join(body)}{chr(92)}n{end}{chr(92)}n"', f'"{mark}{chr(92)}n"'),
+        (f"{begin}\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-256-CBC,00FF\r\n\r\n{lines}\r\n{end}", mark),
+        (f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,00FF\n\n{lines}\n\nprose goes on", f"{mark}\n\nprose goes on"),  # no END line
+        (f"{begin}\n{lines}", mark),
+        (f"{begin}\n{lines}\nprose goes on\n-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----\nb", f"{mark}\nprose goes on\n{mark}\nb"),
+        (f"{begin}\n{lines}\n{end}\n{begin}\n{lines}\n{end}", f"{mark}\n{mark}"),
+        (f"the line {begin} opens a key", f"the line {mark} opens a key"),
+    ]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, (t, _) in enumerate(cases)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in SecretLedger(spark).redact(docs).collect()}
+    assert got == {i: (want, len(want)) for i, (_, want) in enumerate(cases)}
+    assert len(Scanner().spans(f"{begin}\n" * 20_000)) == 20_000  # headers alone take no quadratic time
