@@ -1,8 +1,8 @@
 """Document quality from preferences: a Bradley-Terry model.
 
 Of two documents with different labels the one with label 1 is preferred, with probability sigmoid(w . (x - y)) for feature
-vectors x and y. The weights minimise the mean logistic loss over pairs plus a ridge term, by Newton's steps. A quantile of the
-training scores is the threshold between the labels; scores are shifted so that it falls on CUT.
+vectors x and y. The weights minimise the mean logistic loss over pairs plus a ridge term, by Newton's steps. The threshold
+between the labels lies between two of the training scores, whichever part them best; scores are shifted so that it falls on CUT.
 
 Features are shares and ratios of bytes, words and lines of the whole text. The model is fitted on the driver from a bounded sample
 of the labelled rows (MAX_LABELLED, by a hash of doc_id); every document is then scored.
@@ -121,9 +121,10 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = RID
         w -= step * min(1.0, 3.0 / (np.abs(step).max() + 1e-12))
     model.weights = w
     r = model.raw(x)
-    q = np.linspace(0.002, 0.6, 300)
-    cuts = np.quantile(r, q)
-    gain = np.array([(r[good] >= c).mean() - (r[bad] >= c).mean() for c in cuts])
+    # Cuts lie between neighbouring distinct scores, all of them: whatever the share of bad labels, the best cut is among them.
+    distinct = np.unique(r)
+    cuts = np.concatenate([distinct[:1], (distinct[:-1] + distinct[1:]) / 2])
+    gain = np.searchsorted(np.sort(r[bad]), cuts) / len(bad) - np.searchsorted(np.sort(r[good]), cuts) / len(good)
     lowest = int(np.argmax(gain >= gain.max() - 0.002))  # of cuts about as good, the one that keeps most
     model.threshold, model.spread = float(cuts[lowest]), float(r.std() / 2 + 1e-9)
     return model

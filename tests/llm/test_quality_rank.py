@@ -52,6 +52,17 @@ def test_pairs_order_the_documents():
     assert s[y[300:] == 1].mean() > s[y[300:] == 0].mean() + 0.2
 
 
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.9, 0.998])
+def test_threshold_parts_the_labels_at_any_share_of_bad_ones(share):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, N_FEATURES)) * 0.1
+    x[:, 95] = 8
+    y = (np.arange(3000) >= 3000 * share).astype(int)
+    x[:, 0] += 3 * y
+    predicted = fit(x, y).score(x) >= CUT
+    assert predicted[y == 1].mean() > 0.99 and predicted[y == 0].mean() < 0.01
+
+
 def test_model_is_bounded(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     assert learn(docs, labels, most=100).weights.shape == (N_FEATURES,)
