@@ -4,8 +4,11 @@ Every historical version of every path is reduced to the SHA-256 of its content.
 (blob, rule version) pairs were scanned and what was found; a scan reads only blobs whose pair is not in the ledger, and
 findings are joined back to all paths and versions that hold the blob.
 
+Which blobs repeat is found on their ids alone. A text whose blob surely stands once is scanned where it is read; only the others
+are shuffled, to be one for each blob.
+
 Defined results: a null content is the empty text; a null path keeps its row; repeated versions share a blob and each get its
-findings; an empty table gives no rows; other columns are ignored (`scan`) or kept (`redact`).
+findings; an empty table gives no rows; other columns are ignored (`scan`) or kept (`redact`), whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, small_batches
+from .common import dealt, free_name, handed_out, join_dealt, kept, materialise, new_folder, scratch, sieve, sieve_flag, small_batches
 
 #: The base kinds' patterns, in the order in which ties at one start are listed. Then what this method adds.
 ASSIGN = r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -113,65 +116,101 @@ class SecretLedger:
         self.path = path or new_folder(spark, "secret-ledger")
         small_batches(spark)
 
+    def _exists(self) -> bool:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
     def seen(self) -> DataFrame:
         """All ledger rows, of any rule version. A pair that two lost-and-repeated scans both wrote counts once."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return self.spark.createDataFrame([], FINDINGS)
+        if not self._exists():
+            return self.spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {kind}) AS {name}" for name, kind in (x.split(" ", 1) for x in FINDINGS.split(", "))) + " WHERE false")
         return self.spark.read.schema(FINDINGS).parquet(self.path).dropDuplicates(["blob_id", "rules_version"])
 
     @staticmethod
     def blobs(versions: DataFrame, content: str = "content") -> DataFrame:
+        """(blob_id, content) of every row."""
         text = F.coalesce(F.col(content), F.lit(""))
-        return versions.withColumn("_content", text).withColumn("blob_id", F.sha2(text.cast("binary"), 256))
-
-    def unseen(self, versions: DataFrame, content: str = "content") -> DataFrame:
-        """One row for each blob of `versions` that this rule version has not scanned."""
-        blobs = self.blobs(versions, content).select("blob_id", F.col("_content").alias("content"))
-        seen = self.seen().where(F.col("rules_version") == self.version).select("blob_id")
-        if not seen.isEmpty():
-            blobs = blobs.join(seen, "blob_id", "left_anti")
-        return blobs.dropDuplicates(["blob_id"])
-
-    def update(self, versions: DataFrame, content: str = "content") -> None:
+        return versions.select(F.sha2(text.cast("binary"), 256).alias("blob_id"), text.alias("content"))
+
+    def unseen(self, versions: DataFrame, content: str = "content", counts: DataFrame | None = None) -> DataFrame:
+        """One row for each blob of `versions` that this rule version has not scanned. `counts`: (blob_id, n) of `versions`, if known."""
+        blobs = self.blobs(versions, content)
+        if self._exists():
+            ids = blobs.select("blob_id").distinct().join(self.seen().where(F.col("rules_version") == self.version), "blob_id", "left_anti")
+            ids = materialise(ids, "unseen")
+            return sieve(blobs, F.col("blob_id"), ids).join(ids, "blob_id", "left_semi").dropDuplicates(["blob_id"])
+        if counts is None:
+            counts = blobs.groupBy("blob_id").agg(F.count("*").alias("n")).where("n > 1")
+        marked = sieve_flag(blobs, F.col("blob_id"), materialise(counts.where("n > 1").select("blob_id"), "repeated"), "again")
+        return marked.where("not again").drop("again").unionByName(marked.where("again").drop("again").dropDuplicates(["blob_id"]))
+
+    def update(self, versions: DataFrame, content: str = "content", counts: DataFrame | None = None) -> None:
         """Scan what is unseen and add it to the ledger. Files appear by the writer's commit, so a failed scan leaves no rows."""
-        found = self.unseen(versions, content).mapInArrow(_scan_batches(self.rules, self.version), FINDINGS)
-        found.write.mode("append").parquet(self.path)
+        with scratch(self.spark):
+            found = self.unseen(versions, content, counts).mapInArrow(_scan_batches(self.rules, self.version), FINDINGS)
+            found.write.mode("append").parquet(self.path)
 
     def scan(self, versions: DataFrame, key: str, content: str = "content") -> DataFrame:
         """(key, blob_id, findings) for every row of `versions`, findings in order of start."""
-        self.update(versions, content)
-        rows = self.blobs(versions, content).select(F.col(key), "blob_id")
-        seen = self.seen().where(F.col("rules_version") == self.version).select("blob_id", "findings")
-        return rows.join(seen, "blob_id", "left").select(key, "blob_id", "findings")
+        with scratch(self.spark):
+            rows = versions.select(F.col(f"`{key}`").alias("_key"), F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256).alias("blob_id"))
+            rows = materialise(rows, "versions")
+            counts = materialise(rows.groupBy("blob_id").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+            self.update(versions, content, counts)
+            found = self.seen().where(F.col("rules_version") == self.version).select("blob_id", "findings")
+            out = join_dealt(rows, found, "blob_id", F.col("_key"), "left", counts=counts)
+            return kept(out.select(F.col("_key").alias(key), "blob_id", "findings"), "found")
 
     def redact(self, docs: DataFrame, content: str = "text", length: str = "n_chars") -> DataFrame:
         """`docs` with every found span replaced by [REDACTED:kind]; overlapping spans become one. The columns stay the same; one
-        named as in `length`, if there is one, gets the new length of a changed text."""
-        self.update(docs, content)
-        hits = self.seen().where((F.col("rules_version") == self.version) & (F.size("findings") > 0)).select(F.col("blob_id").alias("_blob"), F.col("findings").alias("_found"))
-        names = docs.columns
-        joined = docs.withColumn("_blob", F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256)).join(hits, "_blob", "left")
-        joined = joined.withColumn(content, redacted(F.col(content), F.col("_found")))
-        if length in names:
-            joined = joined.withColumn(length, F.when(F.col("_found").isNull(), F.col(length)).otherwise(F.length(content)).cast(docs.schema[length].dataType))
-        return joined.select(*[F.col(f"`{c}`") for c in names])
-
+        named as in `length`, if there is one, gets the new length of a changed text.
 
-def redacted(text, found):
-    """Native: rebuild the text from the gaps between spans."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").cast("string").alias("out"))
-
-    def step(acc, x):
-        gap = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        mark = F.when(x["start"] >= acc["at"], F.concat(F.lit("[REDACTED:"), x["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
-
-    def finish(acc):
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+        Texts without a finding stay where they are: only rows whose blob may have one are joined with the findings.
+        """
+        names = docs.columns
+        self.update(docs, content)
+        found = self.seen().where((F.col("rules_version") == self.version) & (F.size("findings") > 0)).select("blob_id", "findings")
+        blob, spans, flag, part = (free_name(names, n) for n in ("_blob", "_found", "_hit", "_part"))
+        found = materialise(found.withColumnsRenamed({"blob_id": blob, "findings": spans}), "hits")
+        id_ = F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256)
+        marked = sieve_flag(docs.withColumn(blob, id_), F.col(blob), found.select(blob), flag)
+        hit = marked.where(F.col(flag)).drop(flag)
+        rows, many = dealt(hit, blob, F.monotonically_increasing_id(), HIT_ROWS, hit.groupBy(blob).agg(F.count("*").alias("n")), part)
+        joined = rows.join(handed_out(found, blob, many, part), [blob, part], "left").select(*[F.col(f"`{c}`") for c in names], spans)
+        changed = joined.mapInArrow(_redact_batches(names, content, length if length in names else None, spans), docs.schema)
+        return marked.where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in names]).unionByName(changed)
+
+
+#: Rows with one text that one task joins with its findings.
+HIT_ROWS = 2_000
+
+
+def redacted(text: str | None, found: list[dict] | None) -> str | None:
+    """The gaps between spans, and a mark for each run of overlapping ones, named by its first."""
+    if text is None or not found:
+        return text
+    parts, at = [], 0
+    for x in found:
+        if x["start"] >= at:
+            parts += (text[at : x["start"]], f"[REDACTED:{x['kind']}]")
+        at = max(at, x["end"])
+    return "".join([*parts, text[at:]])
+
+
+def _redact_batches(names: list[str], content: str, length: str | None, spans: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = b.column(spans).to_pylist()
+            texts = [redacted(t, f) for t, f in zip(b.column(content).to_pylist(), found, strict=True)]
+            columns = {c: b.column(c) for c in names}
+            columns[content] = pa.array(texts, columns[content].type)
+            if length:
+                old = columns[length]
+                now = [len(t) if f and t is not None else n for t, f, n in zip(texts, found, old.to_pylist(), strict=True)]
+                columns[length] = pa.array(now, pa.int64()).cast(old.type) if pa.types.is_integer(old.type) else old
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    return F.when(found.isNull(), text).otherwise(F.aggregate(found, start, step, finish))
+    return run
 
 
 def digest_columns(found: DataFrame, key: str = "doc_id") -> DataFrame:
