@@ -9,7 +9,7 @@ from .common import materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step. Edges are (u, v) with u > v.
+    """One step. Edges are (u, v) with u > v, written before and after.
 
     large: every node sends its larger neighbours to its least neighbour (or itself). small: every node sends its smaller
     neighbours, and itself, to the least of them. The least neighbours are a table of their own, so that both sides of the join
@@ -32,7 +32,10 @@ def _state(edges: DataFrame) -> tuple:
 
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(id, component): the least id that can be reached, for every node with an edge. `edges`: (a, b) in any order; loops and
-    repeated edges are allowed, edges with a null end are not edges."""
+    repeated edges are allowed, edges with a null end are not edges; no edges give no rows; other columns are ignored.
+
+    The tables of all rounds but the last stay until the `scratch` around the call ends; each is at most as large as the edges.
+    """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u != v")
     now = materialise(pairs.distinct(), "edges", narrow=True)
     state = _state(now)

@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash, banding, signature and full-set verification, connected components.
 
-A document is the set of its distinct shingles (2 words; a shorter text is one shingle). Documents with equal sets are one class,
-of which the least doc_id goes on. HASHES universal hash minima make a signature, BANDS bands of it make bucket keys.
+A document is the set of its distinct shingles of `size` words (a shorter text is one shingle); sets are linked from `percent` on.
+Documents with equal sets are one class, of which the least doc_id goes on. HASHES universal hash minima make a signature, BANDS bands of it make bucket keys.
 
 Candidates come in rounds, none of which lists all pairs of a bucket:
 1. every member of a bucket with the bucket's least member, thinned by set sizes and by the signatures' agreement,
@@ -10,14 +10,17 @@ Candidates come in rounds, none of which lists all pairs of a bucket:
 3. in larger ones, by blocks: documents that share such buckets are a family; all outside its main component meet all of it, a
    block of bounded size with a block, and a task multiplies the two blocks' incidence matrices. Only links come out of a task, one
    for each document and component. Nothing is capped: a family of any size is so many more blocks.
-Every candidate is confirmed on the full sets: 100 * common >= 80 * union.
+Every candidate is confirmed on the full sets: 100 * common >= percent * union.
 
-Two sets at exactly the limit share no band with probability (1 - 0.8 ** 5) ** 40, about 1e-7; their signatures agree in less
-than AGREE of the places with probability below 1e-6.
+No step gives all rows of one bucket, pivot or family to one task: a key with more rows than a task takes is dealt to several, and
+what belongs to the key (a pivot's signature or set, a bucket's label) is handed to each of them once.
+
+Two sets at exactly the limit of 80 share no band with probability (1 - 0.8 ** 5) ** 40, about 1e-7; their signatures agree in
+less than AGREE of the places with probability below 1e-6. For other limits choose BANDS and ROWS anew.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; rows that share a doc_id are one
 document to be reached (their sets are looked at one by one); a null doc_id is linked with nothing, has a null component and is
-kept; an empty table gives no rows; other columns are ignored.
+kept; an empty table gives no rows; other columns are ignored (`near_duplicates`) or kept (`keep_one`), whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, sieve, small_batches
+from .common import dealt, handed_out, join_dealt, kept, materialise, scratch, sieve, small_batches, without
 from .components import connected_components
 from .tokens import _powers
 
@@ -40,6 +43,10 @@ AGREE = 0.65
 PERCENT = 80
 #: Members of a bucket that are paired by a join; bytes of sets and rows of a block of a family; shingles multiplied at once.
 SMALL, BLOCK_BYTES, BLOCK_ROWS, COLUMNS = 64, 512 << 10, 256, 8_192
+#: Partners of a pivot that one task compares with it.
+PARTNERS = 4_096
+#: Words of a shingle: as op 2's contract has it, and for all other uses.
+PAIRS_OF_WORDS, SHINGLE = 2, 5
 
 _RNG = np.random.default_rng(2024)
 #: Universal hashing x -> (a * x + b) mod 2 ** 64 with odd a, of which the upper 32 bits count.
@@ -58,7 +65,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], size: int = 2) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
     out: list[np.ndarray] = []
     part: list[bytes] = []
@@ -123,48 +130,69 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 SKETCH = "doc_id long, n_shingles long, set_id binary, keys array<long>, signature binary"
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = shingle_sets(b.column("text").to_pylist())
-        signatures = np.array([signature(s) for s in sets]).reshape(-1, HASHES)
-        full = [len(s) > 0 for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [
-                b.column("doc_id"),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if ok else None for s, ok in zip(sets, full, strict=True)], pa.binary()),
-                pa.array([k if ok else None for k, ok in zip(band_keys(signatures), full, strict=True)], pa.list_(pa.int64())),
-                pa.array([(x & np.uint32(0xFFFF)).astype(np.uint16).tobytes() if ok else None for x, ok in zip(signatures, full, strict=True)], pa.binary()),
-            ],
-            names=["doc_id", "n_shingles", "set_id", "keys", "signature"],
-        )
-
-
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [s.tobytes() for s in shingle_sets(b.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
-
-
-def _agree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in ("sa", "sb"))
-        agree = (x == y).mean(1)
-        keep = agree >= AGREE
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(agree, pa.float64())], names=["a", "b", "agree"]).filter(pa.array(keep))
-
-
-def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column("xa").to_pylist(), b.column("xb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(x) + len(y) - len(np.union1d(x, y))
-            keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _block_links(rows: pa.Table) -> pa.Table:
+def _sketch_batches(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets(b.column("text").to_pylist(), size)
+            signatures = np.array([signature(s) for s in sets]).reshape(-1, HASHES)
+            full = [len(s) > 0 for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if ok else None for s, ok in zip(sets, full, strict=True)], pa.binary()),
+                    pa.array([k if ok else None for k, ok in zip(band_keys(signatures), full, strict=True)], pa.list_(pa.int64())),
+                    pa.array([(x & np.uint32(0xFFFF)).astype(np.uint16).tobytes() if ok else None for x, ok in zip(signatures, full, strict=True)], pa.binary()),
+                ],
+                names=["doc_id", "n_shingles", "set_id", "keys", "signature"],
+            )
+
+    return run
+
+
+def _set_batches(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [s.tobytes() for s in shingle_sets(b.column("text").to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    return run
+
+
+def _agree(a: bytes, b: bytes) -> bool:
+    return float((np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)).mean()) >= AGREE
+
+
+def _linked(percent: int):
+    def test(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        common = len(x) + len(y) - len(np.union1d(x, y))
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
+    return test
+
+
+def _pair_batches(test):
+    """Rows by b, part and a with nulls first: values of `b` (rows without `a`) come before those of its partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, []
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for b, part, a, value in zip(*(batch.column(c).to_pylist() for c in ("b", "_part", "a", "value")), strict=True):
+                if (b, part) != at:
+                    at, own = (b, part), []
+                if a is None:
+                    own.append(value)
+                elif any(test(value, x) for x in own):
+                    found[0].append(a)
+                    found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+    return run
+
+
+def _block_links(rows: pa.Table, percent: int) -> pa.Table:
     """Links of documents outside the main component (rows marked so) with the block's others, one for each component reached."""
     outside = np.array(rows.column("outside").to_pylist(), bool)
     ids, of = (np.array(rows.column(c).to_pylist(), np.int64) for c in ("id", "of"))
@@ -172,7 +200,7 @@ def _block_links(rows: pa.Table) -> pa.Table:
     x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
     n = np.array([len(s) for s in sets], np.int64)
     small, large = np.minimum(n[x][:, None], n[y][None, :]), np.maximum(n[x][:, None], n[y][None, :])
-    open_ = (of[x][:, None] != of[y][None, :]) & (small * 100 >= large * PERCENT)
+    open_ = (of[x][:, None] != of[y][None, :]) & (small * 100 >= large * percent)
     a, b = [], []
     if open_.any():
         x, y, open_ = x[open_.any(1)], y[open_.any(0)], open_[np.ix_(open_.any(1), open_.any(0))]
@@ -182,7 +210,7 @@ def _block_links(rows: pa.Table) -> pa.Table:
         for at in range(0, len(both), COLUMNS):
             some = both[at : at + COLUMNS]
             common += np.rint(_incidence(xs, n[x], some) @ _incidence(ys, n[y], some).T).astype(np.int64)
-        linked = open_ & (100 * common >= PERCENT * (n[x][:, None] + n[y][None, :] - common))
+        linked = open_ & (100 * common >= percent * (n[x][:, None] + n[y][None, :] - common))
         for i, row in zip(x.tolist(), linked, strict=True):
             seen: set[int] = set()
             for j in y[row].tolist():
@@ -203,38 +231,36 @@ def _incidence(values: np.ndarray, sizes: np.ndarray, some: np.ndarray) -> np.nd
 
 
 class NearDuplicates:
-    def __init__(self, docs: DataFrame):
-        self.spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT):
+        self.spark, self.size, self.percent = docs.sparkSession, size, percent
         small_batches(self.spark, 64)  # rows of full sets are large
         self.docs = docs.select(F.col("doc_id").cast("long"), "text")
-        self.sketch = materialise(self.docs.mapInArrow(_sketch_batches, SKETCH), "sketch")
-
-    def classes(self) -> DataFrame:
-        """(set_id, id): the least doc_id of each set."""
-        known = self.sketch.where("set_id is not null and doc_id is not null")
-        return materialise(known.groupBy("set_id").agg(F.min("doc_id").alias("id")), "classes", narrow=True)
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) for every row."""
-        self.set_ids = self.classes()
-        one = self.sketch.join(self.set_ids, "set_id").where("doc_id = id").select("id", "n_shingles", "keys", "signature")
-        self.nodes = materialise(one, "nodes")
-        self.members = self.nodes.select("id", "n_shingles", F.explode("keys").alias("key"))
-        buckets = self.members.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        self.buckets = materialise(buckets.select("key", F.col("first.id").alias("pivot"), F.col("first.n_shingles").alias("pivot_n")), "buckets", narrow=True)
-        components = self._links()
-        rows = self.sketch.select("doc_id", "n_shingles", "set_id").join(self.set_ids, "set_id", "left").join(components, "id", "left")
-        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
-        return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        with scratch(self.spark):
+            sketch = materialise(self.docs.mapInArrow(_sketch_batches(self.size), SKETCH), "sketch")
+            known = sketch.where("set_id is not null and doc_id is not null")
+            classes = materialise(known.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes", narrow=True)
+            counts = classes.where("n > 1").select("set_id", "n")
+            of = join_dealt(sketch.select("doc_id", "n_shingles", "set_id", "keys", "signature"), classes.drop("n"), "set_id", F.col("doc_id"), counts=counts)
+            self.nodes = materialise(of.where("doc_id = id").dropDuplicates(["set_id"]).select("id", "n_shingles", "keys", "signature"), "nodes")
+            self.members = self.nodes.select("id", "n_shingles", F.explode("keys").alias("key"))
+            buckets = self.members.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("first"), F.count("*").alias("n")).where("n > 1")
+            self.buckets = materialise(buckets.select("key", F.col("first.id").alias("pivot"), F.col("first.n_shingles").alias("pivot_n"), "n"), "buckets", narrow=True)
+            components = self._links()
+            rows = join_dealt(sketch.select("doc_id", "n_shingles", "set_id"), classes.join(components, "id", "left").select("set_id", F.coalesce("component", "id").alias("of")), "set_id", F.col("doc_id"), "left", counts=counts)
+            component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
+            out = rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+            return kept(out, "near-duplicates", narrow=True)
 
     def _links(self) -> DataFrame:
-        sizes = F.least("n_shingles", "pivot_n") * 100 >= F.greatest("n_shingles", "pivot_n") * PERCENT
+        sizes = F.least("n_shingles", "pivot_n") * 100 >= F.greatest("n_shingles", "pivot_n") * self.percent
         # Most keys are of one document: a sieve drops them before the shuffle.
-        shared = materialise(sieve(self.members, F.col("key"), self.buckets.select("key")).join(self.buckets, "key"), "shared", narrow=True)
-        first = shared.where("id != pivot").where(sizes).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-        star = self._agreeing(first)
-        self.sets = self._full_sets(star)
-        components = materialise(connected_components(self._confirmed(star.select("a", "b"))), "components", narrow=True)
+        shared = sieve(self.members, F.col("key"), self.buckets.select("key"))
+        shared = materialise(join_dealt(shared, self.buckets.drop("n"), "key", F.col("id"), counts=self.buckets.select("key", "n")), "shared", narrow=True)
+        star = self._agreeing(shared.where("id != pivot").where(sizes).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
+        components = materialise(connected_components(self._confirmed(star)), "components", narrow=True)
         # What a first member does not show: members of other components in the same bucket.
         labelled = shared.join(components, "id", "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("of"))
         labelled = materialise(labelled, "labelled", narrow=True)
@@ -243,19 +269,18 @@ class NearDuplicates:
         left = materialise(labelled.join(mixed.where(F.col("n") <= SMALL), "key"), "left", narrow=True)
         right = left.select("key", F.col("id").alias("b"), F.col("n_shingles").alias("pivot_n"), F.col("of").alias("other"))
         pairs = left.join(right, "key").where("id < b and of != other").where(sizes).select(F.col("id").alias("a"), "b").distinct()
-        pairs = pairs.join(star.select("a", "b"), ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        more = self._agreeing(pairs)
-        self.sets = self._full_sets(more)
-        found = self._confirmed(more.select("a", "b"))
-        large = materialise(labelled.join(mixed.where(F.col("n") > SMALL), "key").select("key", "id", "n_shingles"), "large", narrow=True)
-        if not large.isEmpty():
-            found = found.unionByName(self._in_families(large, components))
+        pairs = pairs.join(star, ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        found = self._confirmed(self._agreeing(pairs))
+        counts = mixed.where(F.col("n") > SMALL)
+        if not counts.isEmpty():
+            large = join_dealt(labelled.drop("of"), counts.select("key", F.lit(True).alias("large")), "key", F.col("id"), counts=counts)
+            found = found.unionByName(self._in_families(materialise(large.drop("large"), "large", narrow=True), counts, components))
         return components if found.isEmpty() else self._joined(components, found)
 
-    def _in_families(self, large: DataFrame, components: DataFrame) -> DataFrame:
+    def _in_families(self, large: DataFrame, counts: DataFrame, components: DataFrame) -> DataFrame:
         """Links between components of each family of documents that share large buckets."""
         first = materialise(large.groupBy("key").agg(F.min("id").alias("b")), "first", narrow=True)
-        families = connected_components(large.join(first, "key").select(F.col("id").alias("a"), "b").distinct()).withColumnRenamed("component", "family")
+        families = connected_components(join_dealt(large, first, "key", F.col("id"), counts=counts).select(F.col("id").alias("a"), "b").distinct()).withColumnRenamed("component", "family")
         ids = large.select("id", "n_shingles").distinct().join(families, "id").join(components, "id", "left").select("id", "n_shingles", "family", F.coalesce("component", "id").alias("of"))
         ids = materialise(ids, "family", narrow=True)
         parts = ids.groupBy("family", "of").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
@@ -264,55 +289,64 @@ class NearDuplicates:
         def blocks(n, size):
             return F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
 
-        parts = parts.where("n > most").select("family", "main", blocks(F.col("n"), F.col("size")).alias("all_blocks"), blocks(F.col("n") - F.col("most"), F.col("size") - F.col("most_size")).alias("out_blocks"))
-        ids = ids.join(materialise(parts, "parts", narrow=True), "family")
+        parts = parts.where("n > most").select("family", "n", "main", blocks(F.col("n"), F.col("size")).alias("all_blocks"), blocks(F.col("n") - F.col("most"), F.col("size") - F.col("most_size")).alias("out_blocks"))
+        parts = materialise(parts, "parts", narrow=True)
+        ids = join_dealt(ids, parts.drop("n"), "family", F.col("id"), counts=parts.select("family", "n"))
         out = F.pmod(F.xxhash64("id"), F.col("out_blocks")).cast("int")
         every = F.pmod(F.xxhash64("id"), F.col("all_blocks")).cast("int")
         outside = ids.where("of != main").select("family", out.alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("outside"), "id", "of")
         inside = ids.select("family", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("i"), every.alias("j"), F.lit(False).alias("outside"), "id", "of")
-        sets = self._full_sets(ids.select(F.col("id").alias("a"), F.col("id").alias("b")))
-        rows = outside.unionByName(inside).join(sets, "id")
-        return materialise(rows.groupBy("family", "i", "j").applyInArrow(_block_links, "a long, b long"), "links")
+        rows = outside.unionByName(inside).join(self._full_sets(ids.select("id").distinct()), "id")
+        percent = self.percent
+        return materialise(rows.groupBy("family", "i", "j").applyInArrow(lambda t: _block_links(t, percent), "a long, b long"), "links")
 
     def _joined(self, components: DataFrame, links: DataFrame) -> DataFrame:
         """Components joined by further links: components of the graph whose nodes are the components."""
         a, b = (components.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
         between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
         joined = materialise(connected_components(between), "joined", narrow=True)
-        known = components.join(joined.select(F.col("id").alias("component"), F.col("component").alias("final")), "component", "left").select("id", F.coalesce("final", "component").alias("component"))
+        members = components.groupBy("component").agg(F.count("*").alias("n"))
+        final = joined.select(F.col("id").alias("component"), F.col("component").alias("final"))
+        known = join_dealt(components, final, "component", F.col("id"), "left", counts=members).select("id", F.coalesce("final", "component").alias("component"))
         alone = joined.join(components.select("id"), "id", "left_anti").select("id", "component")
         return materialise(known.unionByName(alone), "components", narrow=True)
 
-    def _agreeing(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, agree): the pairs whose signatures agree in AGREE of their places."""
-        pairs = materialise(pairs, "pairs", narrow=True)
-        s = self.nodes.select("id", "signature")
-        both = pairs.join(s.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
-        return materialise(both.select("a", "b", "sa", "sb").mapInArrow(_agree_batches, "a long, b long, agree double"), "star")
-
-    def _full_sets(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    def _full_sets(self, ids: DataFrame) -> DataFrame:
+        """(id, shingles) of the given documents, from their texts."""
         ids = materialise(ids, "ids", narrow=True)
         texts = sieve(self.docs.withColumnRenamed("doc_id", "id"), F.col("id"), ids).join(ids, "id", "left_semi")
-        return materialise(texts.mapInArrow(_set_batches, "id long, shingles binary"), "sets")
+        return materialise(texts.mapInArrow(_set_batches(self.size), "id long, shingles binary"), "sets")
+
+    def _tested(self, pairs: DataFrame, values: DataFrame, test, label: str) -> DataFrame:
+        """The pairs (a, b) whose values (id, value) pass `test`. The value of b goes to its partners once for each PARTNERS of them."""
+        given, many = dealt(pairs, "b", F.col("a"), PARTNERS)
+        partners = given.join(values.withColumnRenamed("id", "a"), "a").select("b", "_part", "a", "value")
+        pivots = handed_out(pairs.select("b").distinct(), "b", many).join(values.withColumnRenamed("id", "b"), "b").select("b", "_part", F.lit(None).cast("long").alias("a"), "value")
+        both = pivots.unionByName(partners).repartition("b", "_part").sortWithinPartitions("b", "_part", F.col("a").asc_nulls_first())
+        return materialise(both.mapInArrow(_pair_batches(test), "a long, b long"), label)
+
+    def _agreeing(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose signatures agree in AGREE of their places."""
+        return self._tested(materialise(pairs, "pairs", narrow=True), self.nodes.select("id", F.col("signature").alias("value")), _agree, "star")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
-        both = pairs.join(self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
-        return materialise(both.select("a", "b", "xa", "xb").mapInArrow(_confirm_batches, "a long, b long"), "links")
+        """The pairs whose full sets are alike enough."""
+        sets = self._full_sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+        return self._tested(pairs, sets.withColumnRenamed("shingles", "value"), _linked(self.percent), "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    return NearDuplicates(docs).run()
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    return NearDuplicates(docs, size, percent).run()
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """`docs` with one document of each group of near duplicates: the one with the least doc_id."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, size, percent).where("not kept").select("doc_id").distinct()
+    return without(docs, F.col("doc_id"), gone)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), PAIRS_OF_WORDS)
 
 
 OP2_SQL = r"""
