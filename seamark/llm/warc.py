@@ -1,7 +1,7 @@
 """A deterministic sharded WARC writer, and its reader.
 
-Pages are range-partitioned and sorted by page_id; one shard is one range. A shard's records go, each a gzip member of its own,
-to files that roll by compressed size. Headers and digests are made anew from the payload; dates and record ids follow from the
+Pages are range-partitioned and sorted by page_id; one shard is one range, and there are as many as SHARD_BYTES asks for. A shard's
+records go, each a gzip member of its own, to files that roll by compressed size. Headers and digests are made anew from the payload; dates and record ids follow from the
 input alone, so a task that runs again writes the same bytes. A file is written under a temporary name and moved when whole; the
 list of files is a manifest, itself moved into place last. Only what the manifest names is read.
 
@@ -24,10 +24,10 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_folder, new_folder, small_batches
+from .common import Ranges, delete_folder, join_dealt, new_folder, small_batches
 
-#: Payload bytes of a shard, most shards (then they grow), compressed bytes of a file, least payload of a revisit, zlib level.
-SHARD_BYTES, MOST_SHARDS, FILE_BYTES, REVISIT_BYTES, LEVEL = 24 << 20, 4_096, 8 << 20, 1_000, 6
+#: Payload bytes of a shard, compressed bytes of a file and of what one task reads, least payload of a revisit, zlib level.
+SHARD_BYTES, FILE_BYTES, READ_BYTES, REVISIT_BYTES, LEVEL = 24 << 20, 8 << 20, 64 << 20, 1_000, 6
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed by the format
 MANIFEST = "name string, shard int, part int, records long, bytes long, sha256 string"
@@ -129,17 +129,13 @@ class WarcArchive:
         payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
         pages = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
         total, rows = pages.agg(F.sum("n"), F.count("*")).first()
-        shards = max(1, min(MOST_SHARDS, -(-(total or 0) // self.shard_bytes), rows))
-        shares = [(i + 1) / shards for i in range(shards - 1)]
-        bounds = sorted(set(pages.agg(F.percentile_approx("page_id", shares, 100 * shards)).first()[0] or [])) if shares else []
-        shard = F.lit(0)
-        if bounds:
-            shard = F.coalesce(F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda x: x <= F.col("page_id"))), F.lit(0))
+        ranges = Ranges(pages, "page_id", rows, max(1, min(-(-(total or 0) // self.shard_bytes), rows)))
         groups = pages.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1 and refers_to is not null")
-        again = pages.where(F.col("n") >= REVISIT_BYTES).select("page_id", "digest").join(groups.select("digest", "refers_to"), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+        large = pages.where(F.col("n") >= REVISIT_BYTES).select("page_id", "digest")
+        again = join_dealt(large, groups.select("digest", "refers_to"), "digest", F.col("page_id"), counts=groups.select("digest", F.col("copies").alias("n"))).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
         both = pages.withColumn("kind", F.lit(1)).unionByName(again.distinct().withColumn("kind", F.lit(0)), allowMissingColumns=True)
-        both = both.select(shard.cast("int").alias("shard"), "page_id", "kind", "digest", "refers_to", "url", "html")
-        written = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "digest").mapInArrow(_write_batches(self.path, self.file_bytes), MANIFEST)
+        both = both.select(ranges.column().alias("shard"), "page_id", "kind", "digest", "refers_to", "url", "html")
+        written = both.repartitionById(ranges.n, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "digest").mapInArrow(_write_batches(self.path, self.file_bytes), MANIFEST)
         written.write.mode("overwrite").json(f"{self.path}/_manifest-new")
         self._commit()
 
@@ -158,7 +154,9 @@ class WarcArchive:
 
     def read(self, with_payload: bool = False) -> DataFrame:
         """One row a record: page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload (null for revisits)]."""
-        names = self.manifest().select("name", "sha256").repartition("name")
+        files, size = self.manifest().agg(F.count("*"), F.sum("bytes")).first()
+        tasks = max(min(files, 2 * self.spark.sparkContext.defaultParallelism), -(-(size or 0) // READ_BYTES), 1)
+        names = self.manifest().select("name", "sha256").repartition(tasks, "name")
         schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
         return names.mapInArrow(_read_batches(self.path, with_payload), schema + ", payload binary" * with_payload)
 

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from seamark.llm import common
 from seamark.llm.warc import WarcArchive, make_record, op4_warc_archive, parse_record
 
 SCHEMA = "page_id long, url string, html string, shard int, digest string, kind int, name string"
@@ -67,6 +68,17 @@ def test_files_are_deterministic_gzip_with_sums(spark, pages):
     assert names[0] == names[1] and len(names[0]) > 3
 
 
+def test_any_number_of_shards_and_several_readers(spark, pages, monkeypatch):
+    monkeypatch.setattr(common, "MOST_BOUNDS", 3)
+    rows = [(i * i % 977 - 300, f"http://x/{i}", f"{i % 50}" * 700) for i in range(300)]
+    archive = WarcArchive(spark, file_bytes=3_000, shard_bytes=10_000)
+    archive.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert found(archive.read()) == brute([(p, h) for p, _, h in rows])
+    shards = sorted((r["shard"], r["records"]) for r in archive.manifest().groupBy("shard").agg({"records": "sum"}).withColumnRenamed("sum(records)", "records").collect())
+    assert len(shards) > 20 and max(n for _, n in shards) < 60
+    assert archive.read().rdd.getNumPartitions() == 8
+
+
 def test_payloads_come_back(spark, pages):
     archive = WarcArchive(spark)
     archive.write(pages)
