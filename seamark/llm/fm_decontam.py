@@ -7,10 +7,13 @@ Occurrences are located by sampled suffix positions and merged into removal span
 Words that no window holds cannot be part of an occurrence: they all become separators, and a run between separators that is
 shorter than the shortest window is left out of the index. That changes no result and keeps the index small.
 
-The benchmark goes to the executors in blocks of bounded size; each block is a pass over the training texts.
+The benchmark goes to the executors in blocks of at most BLOCK_WORDS words; each block is a pass over the training texts. A block
+is the words as one array of numbers, and for each distinct window where it starts in it and which items have it, so its size is a
+few arrays as long as the block and the block's distinct words. A longer item is cut, with WINDOW - 1 words in both parts.
 
 Defined results: null or empty texts have no words and no hits; a null item_id is the empty string; repeated items count once by
-item_id; repeated documents are judged each; an empty benchmark leaves every document clean; other columns are ignored.
+item_id; repeated documents are judged each; an empty benchmark leaves every document clean; other columns are ignored
+(`find_hits`) or kept (`keep_clean`), whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import join_dealt, materialise, small_batches, without
 from .fm_index import FMIndex
 
 WINDOW = 13
-#: Words of a shard of the index, and bytes of benchmark text of a block.
-SHARD_WORDS, BLOCK_BYTES = 1_000_000, 16 << 20
+#: Words of a shard of the index, words of a block of the benchmark, and windows that are searched at once.
+SHARD_WORDS, BLOCK_WORDS, AT_ONCE = 1_000_000, 500_000, 1 << 16
 #: Lower case for A to Z, a space for all other ASCII but a to z and 0 to 9; what is left between spaces is a word.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -40,21 +43,48 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of a block of items, as rows of word numbers by length, and the items of each."""
+    """The distinct windows of a block of items: where each starts in the block's words, by length, and the items of each.
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
+    `items`: (name, words). `starts[n]` has a place in `stream` for each window of n words; window k's items are
+    `numbers[n][offsets[n][k] : offsets[n][k + 1]]`, in order.
+    """
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], size: int = WINDOW):
         self.codes: dict[bytes, int] = {}
         self.items = sorted({i for i, _ in items})
         number = {i: k for k, i in enumerate(self.items)}
-        found: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        for item, text in items:
-            w = [self.codes.setdefault(x, len(self.codes) + 1) for x in words(text)]
-            n = min(size, len(w))
-            for i in range(len(w) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(w[i : i + n]), set()).add(number[item])
-        self.phrases = {n: np.array(list(by), np.int64) for n, by in sorted(found.items())}
-        self.of = {n: [np.array(sorted(x), np.int64) for x in by.values()] for n, by in sorted(found.items())}
-        self.least = min(found, default=1)
+        parts, by_length, held = [np.zeros(0, np.int32)], {}, 0
+        for item, said in items:
+            if said:
+                n = min(size, len(said))
+                parts.append(np.array([self.codes.setdefault(x, len(self.codes) + 1) for x in said], np.int32))
+                by_length.setdefault(n, []).append((held, len(said) - n + 1, number[item]))
+                held += len(said)
+        self.stream = np.concatenate(parts)
+        self.starts, self.offsets, self.numbers = {}, {}, {}
+        for n, runs in sorted(by_length.items()):
+            first, count, item = np.array(runs, np.int64).T
+            at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            _, at_first, which = np.unique(self._rows(at, n), axis=0, return_index=True, return_inverse=True)
+            both = np.unique(np.stack([which.ravel(), np.repeat(item, count)]), axis=1)
+            self.starts[n] = at[at_first]
+            self.offsets[n] = np.searchsorted(both[0], np.arange(len(at_first) + 1))
+            self.numbers[n] = both[1].astype(np.int32)
+        self.least = min(self.starts, default=1)
+
+    def _rows(self, at: np.ndarray, n: int) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(self.stream, n)[at]
+
+    def phrases(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the first, rows of words) of the windows of n words, AT_ONCE at a time."""
+        for i in range(0, len(self.starts[n]), AT_ONCE):
+            yield i, self._rows(self.starts[n][i : i + AT_ONCE], n).astype(np.int64)
+
+    def of(self, n: int, k: np.ndarray) -> np.ndarray:
+        """Numbers of the items that have any of the windows k of n words."""
+        low, high = self.offsets[n][k], self.offsets[n][k + 1]
+        count = high - low
+        return np.unique(self.numbers[n][np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())])
 
 
 def occurrences(codes: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +94,7 @@ def occurrences(codes: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.nda
     starts, ends = edges[::2], edges[1::2]
     long = ends - starts >= windows.least
     starts, ends = starts[long], ends[long]
-    if not len(starts) or not windows.phrases:
+    if not len(starts) or not windows.starts:
         return none, none, none
     sizes = ends - starts + 1  # with a separator after each run
     first = np.cumsum(sizes) - sizes
@@ -74,14 +104,15 @@ def occurrences(codes: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.nda
     index = FMIndex(text)
     at, length, number = [], [], []
     known = 1 << index.bits
-    for n, phrases in windows.phrases.items():
-        usable = np.flatnonzero((phrases < known).all(axis=1))  # a window with a word above all of the shard's can't occur
-        low, high = index.search(phrases[usable])
-        count = high - low
-        rows = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        at.append(place[index.locate(rows)])
-        length.append(np.full(len(rows), n, np.int64))
-        number.append(np.repeat(usable, count))
+    for n in windows.starts:
+        for first_number, phrases in windows.phrases(n):
+            usable = np.flatnonzero((phrases < known).all(axis=1))  # a window with a word above all of the shard's can't occur
+            low, high = index.search(phrases[usable])
+            count = high - low
+            rows = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            at.append(place[index.locate(rows)])
+            length.append(np.full(len(rows), n, np.int64))
+            number.append(first_number + np.repeat(usable, count))
     return np.concatenate(at), np.concatenate(length), np.concatenate(number)
 
 
@@ -109,8 +140,10 @@ def _hit_batches(windows: Windows, shard_words: int, only_hits: bool):
         items: dict[int, set] = {}
         if len(at):
             doc = np.searchsorted(begins, at, "right") - 1
-            for d, n, k in np.unique(np.stack([doc, length, number]), axis=1).T.tolist():
-                items.setdefault(d, set()).update(windows.of[n][k].tolist())
+            for n in windows.starts:
+                some = np.unique(np.stack([doc[length == n], number[length == n]]), axis=1)
+                for d in np.unique(some[0]).tolist():
+                    items.setdefault(d, set()).update(windows.of(n, some[1][some[0] == d]).tolist())
         for d, (row, part) in enumerate(zip(rows, parts, strict=True)):
             found = hits.get(d, [])
             places = [(m.start(), m.end()) for m in _WORD.finditer(texts[d])] if found else []
@@ -138,17 +171,24 @@ def _hit_batches(windows: Windows, shard_words: int, only_hits: bool):
     return run
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
-    """The items, as many at a time as `block_bytes` of text hold: all that the driver has of the benchmark at once."""
-    held, size = [], 0
+def blocks(benchmark: DataFrame, size: int = WINDOW, block_words: int | None = None) -> Iterator[Windows]:
+    """The windows of the items, block by block: all that the driver has of the benchmark at once."""
+    most, held, n = max(block_words or BLOCK_WORDS, size), [], 0
     for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").toLocalIterator():
-        held.append((r["item_id"], r["text"]))
-        size += len(r["text"] or "")
-        if size >= block_bytes:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        said, at = words(r["text"]), 0
+        while at < len(said):
+            part = said[at : at + most - n]
+            if len(part) < min(size, len(said)):  # too little room for a window
+                part = []
+            held.append((r["item_id"], part))
+            n += len(part)
+            ends = at + len(part) == len(said)
+            at = len(said) if ends else at + len(part) - (size - 1 if part else 0)
+            if not ends or n >= most:
+                yield Windows(held, size)
+                held, n = [], 0
+    if n:
+        yield Windows(held, size)
 
 
 def merge_runs(runs: Column) -> Column:
@@ -167,25 +207,25 @@ def text_key(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int | None = None, with_key: bool = False) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int | None = None, with_key: bool = False) -> DataFrame:
     """(doc_id, n_words, hits, items, spans) for every row of `docs`: merged runs of hit words (end exclusive), the items found, and
     the runs in code points of the text. `with_key`: also the text's key, as `_text`."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     keyed = docs.withColumn("_text", text_key(F.col("text")))
-    parts = blocks(benchmark, block_bytes or BLOCK_BYTES)
-    first, second = next(parts, []), next(parts, None)
+    parts = blocks(benchmark, size, block_words)
+    first, second = next(parts, Windows([], size)), next(parts, None)
     if second is None:
         rows, names = (keyed, "doc_id long, _text string") if with_key else (docs, "doc_id long")
-        return rows.mapInArrow(_hit_batches(Windows(first, size), SHARD_WORDS, False), f"{names}, {HITS}")
-    made = keyed.mapInArrow(_hit_batches(Windows(first, size), SHARD_WORDS, False), f"doc_id long, _text string, {HITS}")
+        return rows.mapInArrow(_hit_batches(first, SHARD_WORDS, False), f"{names}, {HITS}")
+    made = materialise(keyed.mapInArrow(_hit_batches(first, SHARD_WORDS, False), f"doc_id long, _text string, {HITS}"), "first-hits")
     more = None  # of further blocks, what is found in each text that has something
     for part in chain([second], parts):
-        one = keyed.mapInArrow(_hit_batches(Windows(part, size), SHARD_WORDS, True), f"doc_id long, _text string, {HITS}").select("_text", "hits", "items", "spans").dropDuplicates(["_text"])
+        one = keyed.mapInArrow(_hit_batches(part, SHARD_WORDS, True), f"doc_id long, _text string, {HITS}").select("_text", "hits", "items", "spans").dropDuplicates(["_text"])
         one = materialise(one, "hits")
         more = one if more is None else more.unionByName(one)
     more = more.groupBy("_text").agg(*[F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("hits", "items", "spans")])
-    both = made.join(more, "_text", "left")
+    both = join_dealt(made, more, "_text", F.col("doc_id"), "left")
 
     def with_more(c: str) -> Column:
         return F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.concat(c, f"_{c}"))
@@ -201,8 +241,8 @@ def judged(found: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that are not contaminated, with their columns. A text decides for all rows that have it."""
-    bad = judged(find_hits(docs, benchmark, with_key=True)).where("contaminated").select(F.col("_text").alias("_bad")).distinct()
-    return docs.join(bad, text_key(docs["text"]) == F.col("_bad"), "left_anti")
+    bad = judged(find_hits(docs, benchmark, with_key=True)).where("contaminated").select("_text").distinct()
+    return without(docs, text_key(F.col("text")), materialise(bad, "contaminated"))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """An FM-index over integer symbols: suffix order, wavelet ranks, backward search and sampled positions, all in numpy.
 
-Symbol 0 separates texts and never matches: each separator is unlike any other in the suffix order.
+Symbol 0 separates texts and never matches: each separator is unlike any other in the suffix order. The last symbol must be one, so
+an index of nothing is that of [0]. Repeated texts are found at each of their places; a phrase that isn't there has an empty range.
 """
 
 from __future__ import annotations
