@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from seamark.llm import token_store
+from seamark.llm import common, token_store, tokens
 from seamark.llm.token_store import TokenStore, cut_points, marks, merkle_root, op6_token_store
 from seamark.llm.tokens import tokenizer_path
 
@@ -39,6 +39,35 @@ def test_several_ranges_share_chunks(spark, documents, monkeypatch):
     assert len(parts) > 5 and len(root) == 64
 
 
+def test_four_byte_ids_and_any_number_of_ranges(spark, documents, monkeypatch):
+    monkeypatch.setattr(token_store, "RANGE_DOCS", 10)
+    monkeypatch.setattr(token_store, "BLOCK_RANGES", 4)
+    monkeypatch.setattr(token_store, "BORROWERS", 5)
+    monkeypatch.setattr(token_store, "id_width", lambda path: 4)
+    monkeypatch.setattr(common, "MOST_BOUNDS", 3)
+    rows = documents[:60] + [(d + 10_000, t) for d, t in documents[:60]] + [(50_000 + i, documents[3][1]) for i in range(40)]
+    store = TokenStore(spark)
+    store.write(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], zlib.crc32(bytes(r["ids"]))) for r in store.read(True).collect())
+    assert got == [(*x, x[3]) for x in brute(rows)]
+    assert {r["width"] for r in store._manifest().collect()} == {4} and len(store.manifest()[0]) > 8
+
+
+def test_width_follows_the_vocabulary(tmp_path):
+    from tokenizers import models
+
+    for n, width in ((10, 2), (65_536, 2), (65_537, 4)):
+        Tokenizer(models.WordLevel({f"w{i}": i for i in range(n)}, "w0")).save(str(tmp_path / "v.json"))
+        assert token_store.id_width(str(tmp_path / "v.json")) == width
+
+
+def test_units_with_one_hash_are_encoded_one_by_one(documents, monkeypatch):
+    monkeypatch.setattr(tokens, "_HASHES", np.stack([np.ones(256, np.uint64), tokens._HASHES[1]]))
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    said = ["ab ba", "some other words", ""]
+    assert [x.tolist() for x in tokens.UnitEncoder(tokenizer_path("byte_bpe_50k.json")).encode_many(said)] == [t.encode(x, add_special_tokens=False).ids for x in said]
+
+
 def test_odd_rows(spark, odd, odd_rows, none):
     store = TokenStore(spark)
     store.write(odd)
