@@ -5,7 +5,8 @@ vectors x and y. The weights minimise the mean logistic loss over pairs plus a r
 between the labels lies between two of the training scores, whichever part them best; scores are shifted so that it falls on CUT.
 
 Features are shares and ratios of bytes, words and lines of the whole text. The model is fitted on the driver from a bounded sample
-of the labelled rows (MAX_LABELLED, by a hash of doc_id); every document is then scored.
+of the labelled rows (MAX_LABELLED, by a hash of doc_id); every document is then scored. The sample is put in order first, so that
+the same rows give the same model however they are partitioned.
 
 Defined results: a null text is empty and gets a score; a null doc_id is never learnt from; of repeated labels the larger counts,
 null labels don't; without both labels every score is 0.5; repeated documents are scored each; an empty table gives no rows; other
@@ -137,7 +138,7 @@ def held_out(doc_id):
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [features(t).astype(np.float32) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(x, pa.list_(pa.float32()))], names=["label", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int = MAX_LABELLED) -> Model:
@@ -148,9 +149,11 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int
     n = known.count()
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(1, n)))) if n > most else known
     pairs = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")  # about `most` rows of two numbers
-    rows = pairs.mapInArrow(_feature_batches, "label int, x array<float>").toArrow()
-    x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, N_FEATURES)
-    return fit(x, np.array(rows.column("label").to_pylist(), np.int64))
+    rows = pairs.mapInArrow(_feature_batches, "doc_id long, label int, x array<float>").toArrow()
+    x = rows.column("x").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, N_FEATURES)
+    doc, label = (rows.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label"))
+    order = np.lexsort([*x.T, doc])  # repeated doc_ids by their features
+    return fit(x[order], label[order])
 
 
 def _score_batches(model: Model):

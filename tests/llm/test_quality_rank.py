@@ -31,6 +31,26 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
     assert np.allclose(a.score(x), b.score(x))
 
 
+def test_partitioning_changes_nothing(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = learn(docs, labels), learn(docs.repartition(7, "text"), labels.repartition(3, "quality"))
+    assert (a.weights == b.weights).all() and a.threshold == b.threshold and a.spread == b.spread
+
+
+def test_weights_against_gradient_descent():
+    """The same loss over the same kind of pairs, minimised the plain way, orders documents alike."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, N_FEATURES))
+    x[:, 95] = 8
+    y = (x[:, 0] + 0.5 * x[:, 2] + rng.normal(size=300) > 0).astype(int)
+    m = fit(x, y, pairs=4000, ridge=0.05)
+    z, w = m.scaled(x), np.zeros(N_FEATURES)
+    d = z[rng.choice(np.flatnonzero(y == 1), 20_000)] - z[rng.choice(np.flatnonzero(y == 0), 20_000)]
+    for _ in range(400):
+        w -= 0.3 * (0.05 * w - d.T @ (1 / (1 + np.exp(d @ w))) / len(d))
+    assert np.corrcoef(z @ w, m.raw(x))[0, 1] > 0.98
+
+
 def test_odd_rows(spark, odd, odd_rows, none):
     labels = spark.createDataFrame([(2, 0), (3, 1), (4, 1), (4, 0), (5, None), (6, 0), (99, 1), (None, 1)], "doc_id long, quality int")
     model = learn(odd, labels)
