@@ -13,7 +13,7 @@ All is built-in functions: no Python runs on the executors.
 
 Defined results: null roles and texts are empty; turns are ordered by turn, role and text with nulls first; repeated rows are
 repeated turns; rows with a null conv_id are one conversation; an empty table gives no rows; other columns are ignored. A
-conversation is one value of the result, so its turns meet in one task.
+conversation is one value of the result, so its turns meet in one task; the work there is linear in its length.
 """
 
 from __future__ import annotations
@@ -72,40 +72,37 @@ def parse(formatted: Column) -> Column:
     return F.zip_with(opens, bodies, lambda o, b: F.struct(role_of(o).alias("role"), F.when(is_escaped(o), unescape(b)).otherwise(b).alias("text"))).cast(TURNS)
 
 
-def loss_spans(formatted: Column) -> Column:
-    """array<struct<start,end,escaped>>: where assistant bodies stand in the formatted text, in code points, end exclusive."""
+def loss_mask(formatted: Column) -> Column:
+    """array<struct<skip,take,rest,escaped,body>>, one for each turn: code points of the formatted text that are not under the loss,
+    then those that are (an assistant's body), then the others up to the next turn. All of them in a row are the whole text (and one
+    line end that the last turn lacks). `body`: what is taken, as it stands in the text."""
     whole, opens, bodies = (F.regexp_extract_all(formatted, F.lit(TURN), F.lit(g)) for g in (0, 1, 2))
-    none = F.array().cast("array<struct<start:int,end:int,escaped:boolean>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["opens"]) + 1
-        span = F.struct(start.alias("start"), (start + F.length(x["bodies"])).alias("end"), is_escaped(x["opens"]).alias("escaped"))
-        spans = F.when(x["opens"].isin("<s>", "<s*>"), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + F.length(x["whole"]) + 1).alias("at"), spans.alias("spans"))
+    def turn(o: Column, x: Column) -> Column:
+        taken = F.when(o.isin("<s>", "<s*>"), x["body"]).otherwise(F.lit(""))
+        skip = F.length(o) + 1
+        rest = F.length(x["whole"]) + 1 - skip - F.length(taken)
+        return F.struct(skip.alias("skip"), F.length(taken).alias("take"), rest.alias("rest"), is_escaped(o).alias("escaped"), taken.alias("body"))
 
-    parts = F.zip_with(F.arrays_zip(opens.alias("opens"), bodies.alias("bodies")), whole, lambda x, w: F.struct(x["opens"].alias("opens"), x["bodies"].alias("bodies"), w.alias("whole")))
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    return F.zip_with(opens, F.zip_with(bodies, whole, lambda b, w: F.struct(b.alias("body"), w.alias("whole"))), turn)
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """(conv_id, turns, formatted, loss_spans): turns as read back from `formatted`."""
+    """(conv_id, turns, formatted, loss_mask): turns as read back from `formatted`."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     given = rows.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(turn)), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).cast(TURNS).alias("given"))
     plain = given.withColumn("plain", render(F.col("given"), False))
     chosen = plain.withColumn("formatted", F.when(parse(F.col("plain")) == F.col("given"), F.col("plain")).otherwise(render(F.col("given"), True)))
     read = chosen.withColumn("turns", parse(F.col("formatted")))
     same = F.when(F.col("turns") == F.col("given"), F.col("turns")).otherwise(F.raise_error(F.concat(F.lit("not read back: conversation "), F.col("conv_id").cast("string"))))
-    return read.select("conv_id", same.cast(TURNS).alias("turns"), "formatted", loss_spans(F.col("formatted")).alias("loss_spans"))
+    return read.select("conv_id", same.cast(TURNS).alias("turns"), "formatted", loss_mask(F.col("formatted")).alias("loss_mask"))
 
 
 def digest_columns(made: DataFrame) -> DataFrame:
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
 
-    def masked(x: Column) -> Column:
-        part = F.substring(F.col("formatted"), x["start"] + 1, x["end"] - x["start"])
-        return F.when(x["escaped"], unescape(part)).otherwise(part)
-
-    out = made.withColumn("_loss", F.array_join(F.transform("loss_spans", masked), ""))
+    loss = F.transform("loss_mask", lambda x: F.when(x["escaped"], unescape(x["body"])).otherwise(x["body"]))
+    out = made.withColumn("_loss", F.array_join(loss, ""))
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -55,7 +55,20 @@ def test_plain_texts_stay_as_they_are(spark):
     df = spark.createDataFrame([(1, 0, "user", "a < b & [c]"), (1, 1, "assistant", "yes")], "conv_id long, turn long, role string, text string")
     r = format_conversations(df).first()
     assert r["formatted"] == "[INST] a < b & [c] [/INST]\n<s> yes </s>"
-    assert [(x["start"], x["end"]) for x in r["loss_spans"]] == [(31, 34)] and r["formatted"][31:34] == "yes"
+    assert [tuple(x) for x in r["loss_mask"]] == [(7, 0, 20, False, ""), (4, 3, 6, False, "yes")] and r["formatted"][27 + 4 : 27 + 7] == "yes"
+
+
+def test_mask_covers_the_text_and_long_conversations_pass(spark):
+    rows = [(1, i, ("user", "assistant", "system", "tool")[i % 4], f"text {i} </s>😀") for i in range(4000)]
+    r = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    at, taken = 0, []
+    for x in r["loss_mask"]:
+        at += x["skip"]
+        if x["take"]:
+            assert r["formatted"][at : at + x["take"]] == x["body"]
+            taken.append(x["body"])
+        at += x["take"] + x["rest"]
+    assert at == len(r["formatted"]) + 1 and len(taken) == 1000
 
 
 @settings(max_examples=25, deadline=None)
