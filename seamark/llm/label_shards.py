@@ -9,6 +9,8 @@ At the end sizes are made exact: a shard keeps its documents in order, those wit
 rest fill the free places of other shards in the same order, so that what was together mostly stays so. Counts then differ by one at
 most (law `rows`), and places in a shard are gapless.
 
+A node or text with very many rows is dealt to several tasks, which its label is handed to.
+
 Defined results: a null text has no bytes and no links; empty texts are equal texts; repeated rows and null doc_ids are documents
 of their own, and equal texts among them are linked; an empty table gives no rows; other columns are ignored.
 """
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import global_index, materialise
+from .common import global_index, join_dealt, kept, materialise, scratch
 
 SHARDS, ROUNDS, HEAD = 24, 8, 8
 _SHARES = 1 << 20
@@ -39,8 +41,9 @@ def node_table(docs: DataFrame) -> DataFrame:
 
 def equal_text_links(nodes: DataFrame) -> DataFrame:
     """(a, b): each copy of a text with the least node that has it."""
-    first = nodes.where("content is not null").groupBy("content").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("content", "b")
-    copies = nodes.select(F.col("node").alias("a"), "content").join(materialise(first, "first", narrow=True), "content").where("a != b")
+    first = nodes.where("content is not null").groupBy("content").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    first = materialise(first, "first", narrow=True)
+    copies = join_dealt(nodes.select(F.col("node").alias("a"), "content"), first.select("content", "b"), "content", F.col("a"), counts=first.select("content", "n")).where("a != b")
     return materialise(copies.select("a", "b"), "links", narrow=True)
 
 
@@ -68,8 +71,9 @@ def propagate(links: DataFrame, quota: np.ndarray, rounds: int = ROUNDS) -> Data
     ends = materialise(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ends", narrow=True)
     nodes = materialise(ends.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("near")), "linked", narrow=True)
     labels = materialise(nodes.select("node", start_label(F.col("node"), shards).alias("label")), "labels", narrow=True)
+    degrees = materialise(ends.groupBy("b").agg(F.count("*").alias("n")), "degrees", narrow=True)
     for at in range(rounds):
-        votes = materialise(_votes(ends, labels), "votes", narrow=True)
+        votes = materialise(_votes(ends, labels, degrees), "votes", narrow=True)
         asks = labels.join(votes, "node").join(nodes, "node").where((F.col("best") != F.col("label")) & (F.col("most") > F.col("own")) & ((F.col("near") < F.col("node")) if at % 2 == 0 else (F.col("near") == F.col("node"))))
         asks = materialise(asks.select("node", "label", "best"), "asks", narrow=True)
         asked, held = np.zeros((shards, shards)), np.zeros(shards)
@@ -85,13 +89,13 @@ def propagate(links: DataFrame, quota: np.ndarray, rounds: int = ROUNDS) -> Data
         limit = F.element_at(F.array(*[F.lit(int(x)) for x in share.ravel()]), F.col("label") * shards + F.col("best") + 1)
         moves = asks.where(F.pmod(F.xxhash64("node", F.lit(at)), F.lit(_SHARES)) < limit).select("node", F.col("best").alias("to"))
         labels = materialise(labels.join(moves, "node", "left").select("node", F.coalesce("to", "label").alias("label")), "labels", narrow=True)
-    inside = _votes(ends, labels).select("node", F.col("own").alias("inside"))
+    inside = _votes(ends, labels, degrees).select("node", F.col("own").alias("inside"))
     return labels.join(nodes, "node").join(inside, "node").select("node", "label", "inside", "near")
 
 
-def _votes(ends: DataFrame, labels: DataFrame) -> DataFrame:
+def _votes(ends: DataFrame, labels: DataFrame, degrees: DataFrame) -> DataFrame:
     """(node, own, best, most): neighbours with the node's label, the commonest label of neighbours (ties: least) and how many have it."""
-    told = ends.join(labels.select(F.col("node").alias("b"), F.col("label").alias("said")), "b").groupBy("a", "said").agg(F.count("*").alias("n"))
+    told = join_dealt(ends, labels.select(F.col("node").alias("b"), F.col("label").alias("said")), "b", F.col("a"), counts=degrees).groupBy("a", "said").agg(F.count("*").alias("n"))
     own = told.join(labels.select(F.col("node").alias("a"), "label"), "a")
     return own.groupBy(F.col("a").alias("node")).agg(F.sum(F.when(F.col("said") == F.col("label"), F.col("n")).otherwise(0)).alias("own"), F.max_by("said", F.struct("n", -F.col("said"))).alias("best"), F.max("n").alias("most"))
 
@@ -115,20 +119,23 @@ def balance(labelled: DataFrame, quota: np.ndarray) -> DataFrame:
     stays = F.col("_rank") < _at(quota, F.col("label"))
     rows = ordered.withColumn("_rank", rank).withColumn("_k", k).withColumn("_to", F.when(stays, F.col("label")).otherwise(to))
     slot = F.when(stays, F.col("_rank")).otherwise(_at(held - (np.cumsum(lack) - lack), F.col("_to")) + F.col("_k"))
-    return rows.select("node", F.col("_to").cast("int").alias("shard"), slot.cast("int").alias("slot"))
+    return rows.select("node", F.col("_to").cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, links=equal_text_links) -> DataFrame:
     """(node, doc_id, size, text_crc32, content, shard, slot); `links` makes (a, b) from the node table."""
-    nodes = node_table(docs)
-    quota = quotas(nodes.count(), shards)
-    joined = links(nodes)
-    if joined.isEmpty():
-        none = nodes.select("node", start_label(F.col("node"), shards).alias("label"), F.lit(0).cast("long").alias("inside"), F.col("node").alias("near"))
-        return nodes.join(balance(materialise(none, "labelled", narrow=True), quota), "node")
-    linked = materialise(propagate(joined, quota, rounds), "linked", narrow=True)
-    alone = nodes.select("node").join(linked.select("node"), "node", "left_anti").select("node", start_label(F.col("node"), shards).alias("label"), F.lit(0).cast("long").alias("inside"), F.col("node").alias("near"))
-    return nodes.join(balance(materialise(linked.unionByName(alone), "labelled", narrow=True), quota), "node")
+    with scratch(docs.sparkSession):
+        nodes = node_table(docs)
+        quota = quotas(nodes.count(), shards)
+        joined = links(nodes)
+        alone = nodes.select("node")
+        labelled = None
+        if not joined.isEmpty():
+            labelled = materialise(propagate(joined, quota, rounds), "linked", narrow=True)
+            alone = alone.join(labelled.select("node"), "node", "left_anti")
+        alone = alone.select("node", start_label(F.col("node"), shards).alias("label"), F.lit(0).cast("long").alias("inside"), F.col("node").alias("near"))
+        labelled = materialise(alone if labelled is None else labelled.unionByName(alone), "labelled", narrow=True)
+        return kept(nodes.join(balance(labelled, quota), "node"), "shards", narrow=True)
 
 
 def op9_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

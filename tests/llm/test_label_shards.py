@@ -3,8 +3,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from seamark.llm import common
 from seamark.llm.label_shards import accepted, op9_label_shards, propagate, quotas, shard_documents
 
 
@@ -48,7 +50,9 @@ def test_odd_rows(spark, odd, odd_rows, none):
     assert [(r["size"], r["slot"]) for r in few] == [(8, 0)]
 
 
-def test_a_group_of_a_third_of_all_rows(spark):
+@pytest.mark.parametrize("most", [20_000, 30])
+def test_a_group_of_a_third_of_all_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(common.join_dealt, "__defaults__", tuple(most if x == 20_000 else x for x in common.join_dealt.__defaults__))
     rows = [(i, "same") for i in range(400)] + [(1000 + i, f"pair {i // 2}") for i in range(400)] + [(5000 + i, f"own {i}") for i in range(403)]
     random.Random(2).shuffle(rows)
     out = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()
