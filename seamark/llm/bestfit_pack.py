@@ -5,8 +5,8 @@ Best-fit decreasing places whole runs of equal lengths into whole runs of bins w
 slots (length, first rank, count, first sequence, offset). Every piece then takes the slot of its rank within its length. The
 rank comes from a range-partitioned order, so no length, however frequent, meets in one task.
 
-Defined results: a null text is empty (one token, the end id); repeated rows are packed each; an empty table gives no rows; other
-columns are ignored.
+Defined results: a null text is empty (one token, the end id); null doc_ids and repeated rows are packed each, those that can't be
+told apart in some order; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
