@@ -2,14 +2,22 @@
 
 Scores are negative and lower is better: minus the sum over terms of idf * f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avgdl)), with
 idf = ln((N - n + 0.5) / (n + 0.5)), or 1e-6 where that isn't above 0. A quoted term is a phrase of adjacent tokens.
+
+An index is a table of postings, of single tokens and of pairs of adjacent ones, with their places, and a table of lengths. It may be
+made of texts on the spot or kept (see the store): then a query reads only its own terms.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import no_rows
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -25,6 +33,40 @@ def postings(tokens: DataFrame) -> DataFrame:
     return tokens.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
+def placed_postings(tokens: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(term, id, dl, tf, places, and the columns `keep`): tokens and pairs of adjacent tokens (with a space between), and where in the
+    text each stands. A text's postings are made from the text alone, without a shuffle."""
+    t = F.col("tokens")
+    n = F.size(t)
+    pairs = F.zip_with(F.slice(t, 1, F.greatest(n - 1, F.lit(0))), F.slice(t, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    fields = ", ".join(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in ["id", *keep])
+    return tokens.select("id", *keep, F.concat(t, pairs).alias("terms"), n.alias("dl")).mapInArrow(_placed(["id", *keep]), f"{fields}, dl long, term string, tf long, places array<int>")
+
+
+def _placed(keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                yield piece(whole.slice(start, 256))
+
+    def piece(b: pa.RecordBatch) -> pa.RecordBatch:
+        row, terms, tf, places, ends, dl = [], [], [], [], [0], b.column("dl").to_pylist()
+        for i, (said, n) in enumerate(zip(b.column("terms").to_pylist(), dl, strict=True)):
+            by: dict[str, list[int]] = {}
+            for at, term in enumerate(said or ()):
+                by.setdefault(term, []).append(at if at < n else at - n)
+            row += [i] * len(by)
+            terms += by
+            for at in by.values():
+                tf.append(len(at))
+                places += at
+                ends.append(len(places))
+        some = pa.array(row, pa.int64())
+        return pa.RecordBatch.from_arrays([*(b.column(c).take(some) for c in keep), pa.array([dl[i] for i in row], pa.int64()), pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))], names=[*keep, "dl", "term", "tf", "places"])
+
+    return run
+
+
 def doc_stats(tokens: DataFrame) -> DataFrame:
     return tokens.select("id", F.size("tokens").cast("long").alias("dl"))
 
@@ -39,21 +81,61 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
 
 
-def bm25(terms: DataFrame, tokens: DataFrame, require_all: bool = False) -> DataFrame:
-    """(query_id, id, bm25) of documents that have a term (or all). `terms`: (query_id, term), single tokens or phrases.
+@dataclass
+class TextIndex:
+    """Counts made from (id, tokens) at query time: postings are cut to the queries' terms before anything is shuffled."""
+
+    tokens: DataFrame
+
+    def stats(self) -> DataFrame:
+        return corpus_stats(doc_stats(self.tokens))
+
+    def counts(self, phrases: DataFrame) -> DataFrame:
+        """(phrase, id, dl, tf) of the given phrases (tokens joined by a space)."""
+        single, several = phrases.where(~F.col("phrase").contains(" ")), phrases.where(F.col("phrase").contains(" "))
+        terms_at = self.tokens.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("phrase"))
+        found = terms_at.join(single, "phrase", "left_semi").groupBy("phrase", "id", "dl").agg(F.count("*").alias("tf"))
+        return found.unionByName(_phrase_counts(several, self.tokens))
+
+
+@dataclass
+class StoredIndex:
+    """Counts read from kept `postings` (term, id, dl, tf, places) and `lengths` (id, dl)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+    def stats(self) -> DataFrame:
+        return corpus_stats(self.lengths)
+
+    def counts(self, phrases: DataFrame) -> DataFrame:
+        short, long = phrases.where(F.size(F.split("phrase", " ")) <= 2), phrases.where(F.size(F.split("phrase", " ")) > 2)
+        found = self.postings.select(F.col("term").alias("phrase"), "id", "dl", "tf").join(short, "phrase", "left_semi")
+        if long.isEmpty():
+            return found
+        # A longer phrase is a run of pairs, each one place after the one before.
+        words = F.split("phrase", " ")
+        pairs = long.select("phrase", (F.size(words) - 1).alias("n"), F.posexplode(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("i", "term"))
+        starts = self.postings.join(pairs, "term").select("phrase", "n", "id", "dl", F.explode("places").alias("at"), "i").groupBy("phrase", "n", "id", "dl", (F.col("at") - F.col("i")).alias("start")).agg(F.count("*").alias("hits"))
+        return found.unionByName(starts.where("hits = n").groupBy("phrase", "id", "dl").agg(F.count("*").alias("tf")))
+
+
+def bm25(terms: DataFrame, index: DataFrame | TextIndex | StoredIndex, require_all: bool = False) -> DataFrame:
+    """(query_id, id, bm25) of documents that have a term (or all). `terms`: (query_id, term), single tokens or phrases; `index`: one of
+    the above, or (id, tokens).
 
-    Queries are the small side: posting lists are cut to their terms before anything is shuffled by document.
+    Queries are the small side: posting lists are cut to their terms first. A term's row goes to all queries that have it as one
+    array, so a common term is joined once.
     """
-    wanted = terms.select("query_id", "term", F.array_join(T.tokens(F.col("term")), " ").alias("phrase")).where("phrase != ''").dropDuplicates(["query_id", "phrase"])
-    single, several = wanted.where(~F.col("phrase").contains(" ")), wanted.where(F.col("phrase").contains(" "))
-    terms_at = tokens.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("phrase"))
-    found = terms_at.join(single.select("phrase").distinct(), "phrase", "left_semi").groupBy("phrase", "id", "dl").agg(F.count("*").alias("tf"))
-    found = found.unionByName(_phrase_counts(several.select("phrase").distinct(), tokens))
+    index = TextIndex(index) if isinstance(index, DataFrame) else index
+    wanted = terms.select("query_id", F.array_join(T.tokens(F.col("term")), " ").alias("phrase")).where("phrase != ''").dropDuplicates(["query_id", "phrase"])
+    found = index.counts(wanted.select("phrase").distinct())
     df = found.groupBy("phrase").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads what `found` has, so that its exchange is used again
     # One row of corpus statistics goes to every task.
-    scored = wanted.join(found, "phrase").join(df, "phrase").join(F.broadcast(corpus_stats(doc_stats(tokens))), F.lit(True))
+    asked = wanted.groupBy("phrase").agg(F.collect_list("query_id").alias("queries"))
+    scored = found.join(asked.join(df, "phrase"), "phrase").join(F.broadcast(index.stats()), F.lit(True))
     part = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = scored.groupBy("query_id", "id").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("matched"))
+    out = scored.select(F.explode("queries").alias("query_id"), "id", part.alias("part")).groupBy("query_id", "id").agg((-F.sum("part")).alias("bm25"), F.count("*").alias("matched"))
     if require_all:
         out = out.join(wanted.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id").where("matched = asked").drop("asked")
     return out.drop("matched")
@@ -74,9 +156,9 @@ def _phrase_counts(phrases: DataFrame, tokens: DataFrame) -> DataFrame:
         runs = tokens.where(F.size("tokens") >= n).select("id", F.size("tokens").cast("long").alias("dl"), F.explode(_runs(F.col("tokens"), n)).alias("phrase"))
         one = runs.join(phrases, "phrase", "left_semi").groupBy("phrase", "id", "dl").agg(F.count("*").alias("tf"))
         out = one if out is None else out.unionByName(one)
-    return tokens.sparkSession.createDataFrame([], f"phrase string, id {tokens.schema['id'].dataType.simpleString()}, dl long, tf long") if out is None else out
+    return no_rows(tokens.sparkSession, f"phrase string, id {tokens.schema['id'].dataType.simpleString()}, dl long, tf long") if out is None else out
 
 
-def bm25_top(terms: DataFrame, tokens: DataFrame, k: int, require_all: bool = False) -> DataFrame:
+def bm25_top(terms: DataFrame, index: DataFrame | TextIndex | StoredIndex, k: int, require_all: bool = False) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.round("bm25", 9), "id")  # sums of one set of terms may differ in their last bits
-    return bm25(terms, tokens, require_all).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return bm25(terms, index, require_all).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

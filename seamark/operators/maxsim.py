@@ -20,9 +20,12 @@ def maxsim(terms: DataFrame, segments: DataFrame, candidates: DataFrame) -> Data
 
 
 def with_fallback(scored: DataFrame, candidates: DataFrame, make_segments, terms: DataFrame) -> DataFrame:
-    """Candidates without stored segments are scored on segments made now."""
+    """Candidates without stored segments are scored on segments made now by `make_segments`, from (chunk_id) rows; those that have none
+    even then score 0."""
     missing = candidates.join(scored.select("chunk_id").distinct(), "chunk_id", "left_anti")
-    return scored.unionByName(maxsim(terms, make_segments(missing.select("chunk_id").distinct()), missing))
+    made = maxsim(terms, make_segments(missing.select("chunk_id").distinct()), missing)
+    none = missing.join(made, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit(0.0).alias("maxsim"))
+    return scored.unionByName(made).unionByName(none)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

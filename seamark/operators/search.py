@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -37,24 +38,27 @@ class SearchOptions:
 
 @dataclass
 class Index:
-    """chunks: (id, file_path, content, start_line, end_line, embedding, is_test); segments and files where they are made."""
+    """chunks: (id, file_path, content, start_line, end_line, embedding, is_test); segments, files and postings where they are made.
+    `make_segments`: segments for (chunk_id) rows that have none stored."""
 
     chunks: DataFrame
     segments: DataFrame | None = None
     files: DataFrame | None = None
+    postings: lexical.StoredIndex | None = None
+    make_segments: Callable[[DataFrame], DataFrame] | None = None
 
-    def tokens(self) -> DataFrame:
-        return lexical.document_tokens(self.chunks, "id", ["content", "file_path"])
+    def lexical(self) -> lexical.StoredIndex | lexical.TextIndex:
+        return self.postings or lexical.TextIndex(lexical.document_tokens(self.chunks, "id", ["content", "file_path"]))
 
 
 def candidates(queries: DataFrame, index: Index, opts: SearchOptions) -> DataFrame:
     """(query_id, id, distance): by file for questions about the repository where files are found, else hybrid or semantic."""
     n = opts.fetched
-    semantic = knn.exact(queries, index.chunks, hybrid.candidates(n) if opts.use_hybrid else n, opts.threshold)
+    semantic = knn.search(queries, index.chunks, hybrid.candidates(n) if opts.use_hybrid else n, opts.threshold)
     out = semantic.select("query_id", "id", "distance")
     if opts.use_hybrid:
         terms = queries.select("query_id", F.explode(T.bare_terms(F.col("query"))).alias("term"))
-        scored = hybrid.combine(semantic, lexical.bm25(terms, index.tokens()), n, opts.threshold, opts.semantic_weight, opts.bm25_weight)
+        scored = hybrid.combine(semantic, lexical.bm25(terms, index.lexical()), n, opts.threshold, opts.semantic_weight, opts.bm25_weight)
         out = scored.select("query_id", "id", F.col("score").alias("distance"))
     if index.files is not None:
         meta = queries.where(T.is_meta_query(F.col("query")))
@@ -79,7 +83,10 @@ def search(queries: DataFrame, index: Index, opts: SearchOptions = SearchOptions
         rows = rows.withColumn("maxsim", F.lit(None).cast("double")).withColumn("logit", F.lit(None).cast("double"))
         if late:
             some = rows.where(F.col("rank") <= fusion.LATE_CANDIDATES).select("query_id", F.col("id").alias("chunk_id"))
-            scored = maxsim.maxsim(terms, index.segments, some).withColumnRenamed("chunk_id", "id")
+            scored = maxsim.maxsim(terms, index.segments, some)
+            if index.make_segments:
+                scored = maxsim.with_fallback(scored, some, index.make_segments, terms)
+            scored = scored.withColumnRenamed("chunk_id", "id")
             rows = rows.drop("maxsim").join(scored, ["query_id", "id"], "left")
         if cross:
             by = Window.partitionBy("query_id").orderBy(F.col("maxsim").desc_nulls_last() if late else F.col("rank"), F.col("rank"))

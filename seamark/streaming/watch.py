@@ -20,17 +20,15 @@ def change_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def apply_changes(store: Store, to_chunks: Callable[[DataFrame], DataFrame]):
-    """For foreachBatch: of each path the last change counts; deletes first, then all chunks of changed files are replaced."""
+    """For foreachBatch: of each path the last change counts. A batch is one commit, and only its files are read and written; a batch that
+    runs again gives the same index."""
 
     def run(batch: DataFrame, _: int) -> None:
         last = latest(batch, "file_path", "at").persist()
         gone, changed = last.where("op = 'delete'"), last.where("op = 'upsert'")
-        if not gone.isEmpty():
-            store.delete_files(gone.select("file_path"))
-        if not changed.isEmpty():
-            store.upsert_chunks(to_chunks(changed.select("file_path", "content")))
-        if not last.isEmpty():
-            store.compute_file_vectors()
+        kinds = {r["op"] for r in last.select("op").distinct().collect()}  # two at most
+        if kinds:
+            store.apply(to_chunks(changed.select("file_path", "content")) if "upsert" in kinds else None, last.select("file_path") if "upsert" in kinds else gone.select("file_path"))
         last.unpersist()
 
     return run
