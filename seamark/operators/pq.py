@@ -51,7 +51,11 @@ class ProductQuantiser:
         n = some.count()
         if n > sample:
             some = some.where(F.pmod(F.xxhash64(F.to_json(vec_col)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-        x = np.array([r[0] for r in some.select(vec_col).collect()], np.float64)
+        x = [r[0] for r in some.select(vec_col).collect()]
+        dims = max((len(v) for v in x), default=parts)
+        x = np.array([v for v in x if len(v) == dims], np.float64).reshape(-1, dims)
+        if not len(x):
+            return cls(np.zeros((parts, 1, dims // parts)))
         if x.shape[1] % parts:
             raise ValueError(f"{x.shape[1]} elements are not {parts} equal parts")
         d = x.shape[1] // parts
@@ -96,13 +100,15 @@ class ProductQuantiser:
         return spark.createDataFrame(rows, "sub int, c int, centroid array<double>")
 
     def encode_rows(self, rows: DataFrame, vec_col: str = "embedding") -> DataFrame:
-        """Adds codes array<smallint> in place of the vectors."""
-        names = [c for c in rows.columns if c != vec_col]
+        """Adds codes array<smallint> in place of the vectors. Rows without a vector of the right length are left out."""
+        names, dims = [c for c in rows.columns if c != vec_col], self.books.shape[0] * self.books.shape[2]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from .knn import matrix
+
             for b in batches:
-                x = np.asarray(b.column(vec_col).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(list(self.encode(x)), pa.list_(pa.int16()))], names=[*names, "codes"])
+                x, at = matrix(b.column(vec_col), dims)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in names), pa.array(list(self.encode(x)), pa.list_(pa.int16()))], names=[*names, "codes"])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != vec_col)
         return rows.where(F.col(vec_col).isNotNull()).mapInArrow(run, f"{fields}, codes array<smallint>")

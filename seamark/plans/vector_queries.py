@@ -11,6 +11,8 @@ from ..operators import knn, maxsim, pooling, segments
 from ..operators.pq import ProductQuantiser
 from .tables import query_vectors, table, vectors
 
+#: Lists of the index, and how many a query looks at. (The test vectors have hardly any clusters, so these are many.)
+LISTS, PROBES = 128, 56
 _D = "CAST({} AS DOUBLE[])"
 _COS = "(1 - list_inner_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])) / (sqrt(list_inner_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[]))) * sqrt(list_inner_product(CAST({1} AS DOUBLE[]), CAST({1} AS DOUBLE[])))))"
 _Q = "q AS (SELECT vec_id AS query_id, embedding AS qv, label AS ql FROM embeddings WHERE vec_id % 50 = 0)"
@@ -32,7 +34,7 @@ SELECT query_id, r.id, round(d, 6) + 0.0 AS distance, rank, lang FROM r LEFT JOI
 
 
 def knn_bruteforce(spark: SparkSession, sf: str) -> DataFrame:
-    return knn.brute_force(query_vectors(spark, sf), vectors(spark, sf), 5, 0.95).select("query_id", "id", r6(F.col("distance")).alias("distance"), "rank")
+    return knn.search(query_vectors(spark, sf), vectors(spark, sf), 5, 0.95).select("query_id", "id", r6(F.col("distance")).alias("distance"), "rank")
 
 
 KNN_BRUTE = f"""WITH {_Q}, d AS (SELECT query_id, vec_id AS id, {_COS.format('qv', 'embedding')} AS d FROM q, embeddings),
@@ -41,9 +43,8 @@ SELECT query_id, id, round(d, 6) + 0.0 AS distance, rank FROM r WHERE rank <= 5"
 
 
 def knn_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "embeddings").count()
-    found = knn.exact(query_vectors(spark, sf), vectors(spark, sf), n, 0.85)
-    return found.groupBy("query_id").agg(F.count("*").alias("n"), r6(F.max("distance")).alias("farthest"))
+    found = knn.within(query_vectors(spark, sf), vectors(spark, sf), 0.85)
+    return found.select("query_id", "n", r6(F.col("farthest")).alias("farthest"))
 
 
 KNN_THRESHOLD = f"""WITH {_Q}, d AS (SELECT query_id, {_COS.format('qv', 'embedding')} AS d FROM q, embeddings)
@@ -160,10 +161,10 @@ QUANTISE_BINARY = f"""SELECT vec_id AS id, {_BITS.format('embedding[1:32]')} AS
 
 
 def hamming_topk(spark: SparkSession, sf: str) -> DataFrame:
-    rows = vectors(spark, sf).select("id", Q.binary_words(F.col("embedding")).alias("w"))
-    q = query_vectors(spark, sf).select("query_id", Q.binary_words(F.col("embedding")).alias("qw"))
-    pairs = q.join(rows, F.lit(True)).select("query_id", "id", Q.hamming(F.col("qw"), F.col("w")).alias("distance"))
-    return knn.ranked(pairs, 5, [F.col("distance"), F.col("id")])
+    words = Q.binary_words(F.col("embedding"))
+    rows = vectors(spark, sf).select(F.col("id").alias("_id"), words.alias("_vec"))
+    found = knn.nearest(query_vectors(spark, sf).select("query_id", words.alias("w")), rows, 5, knn.by_bits, query=("query_id", "w"), kind=int)
+    return found.withColumn("distance", F.col("distance").cast("long"))
 
 
 HAMMING_TOPK = f"""WITH b AS (SELECT vec_id AS id, {_BITS.format('embedding[1:32]')} AS w0, {_BITS.format('embedding[33:64]')} AS w1 FROM embeddings),
@@ -172,10 +173,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)
 
 
 def int8_dot_topk(spark: SparkSession, sf: str) -> DataFrame:
-    rows = vectors(spark, sf).select("id", Q.int8_minmax(F.col("embedding"), True).alias("q"))
-    few = query_vectors(spark, sf).select("query_id", F.col("embedding").alias("x"))
-    scored = few.join(rows, F.lit(True)).select("query_id", "id", Q.mixed_dot(F.col("x"), F.col("q.q"), F.col("q.scale"), F.col("q.min")).alias("score"))
-    return knn.ranked(scored, 5, [F.col("score").desc(), F.col("id")]).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+    coded = vectors(spark, sf).select("id", Q.int8_minmax(F.col("embedding"), True).alias("q"))
+    rows = coded.select(F.col("id").alias("_id"), F.col("q.q").alias("_vec"), F.col("q.scale").alias("_scale"), F.col("q.min").alias("_min"))
+    found = knn.nearest(query_vectors(spark, sf), rows, 5, knn.by_codes("dot"))
+    return found.select("query_id", "id", F.round(1 - F.col("distance"), 5).alias("score"), "rank")
 
 
 INT8_DOT_TOPK = """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, list_min(CAST(embedding AS DOUBLE[])) AS low, (list_max(CAST(embedding AS DOUBLE[])) - list_min(CAST(embedding AS DOUBLE[]))) / 255.0 AS scale FROM embeddings),
@@ -218,23 +219,31 @@ SELECT query_id, id AS chunk_id, round(sum(greatest(best, 0)) / 4, 5) AS maxsim
 
 
 def _recall(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(query_id, k, found): of the k true neighbours of a query, how many were found."""
     hits = truth.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     return hits.groupBy("query_id").agg(F.count("*").alias("k"), F.count("hit").alias("found"))
 
 
+def _recall_and_share(found: DataFrame, truth: DataFrame, n: int) -> DataFrame:
+    """Adds the share of all rows whose vectors a query looked at."""
+    looked = found.groupBy("query_id").agg(F.round(F.max("looked") / F.lit(float(max(1, n))), 4).alias("share"))
+    return _recall(found, truth).join(looked, "query_id")
+
+
 def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Recall at 10 of the list index against exact search, by query."""
+    """Recall at 10 of the list index against exact search, and the share of rows looked at, by query."""
     rows, q = vectors(spark, sf).select("id", "embedding"), query_vectors(spark, sf)
-    return _recall(knn.ListIndex(rows, 16).search(q, 10, 10), knn.exact(q, rows, 10))
+    return _recall_and_share(knn.ListIndex(rows, LISTS).search(q, 10, PROBES), knn.exact(q, rows, 10), rows.count())
 
 
 def lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for sketches by random planes."""
     rows, q = vectors(spark, sf).select("id", "embedding"), query_vectors(spark, sf)
-    return _recall(knn.lsh(q, rows, 10), knn.exact(q, rows, 10))
+    return _recall_and_share(knn.SketchIndex(rows).search(q, 10), knn.exact(q, rows, 10), rows.count())
 
 
 def pq_adc_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Table products over product codes: candidates, ranked exactly afterwards."""
+    """Candidates by table products over product codes, ranked by exact products."""
     rows = vectors(spark, sf).select("id", "embedding")
     pq, out = ProductQuantiser.train(rows), None
     coded = pq.encode_rows(rows.withColumn("vector", F.col("embedding")))
