@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,24 +41,17 @@ def estimate(text: str) -> int:
 
 
 def split_long_line(line: str, most: int) -> list[str]:
-    """Packs words up to a budget; a word beyond the budget stands alone; a blank line stays."""
+    """Words in parts whose estimates sum to `most` at most; a larger word is a part of its own; a blank line stays.
+
+    A part ends where the running sum of the estimates passes the sum before the part by more than `most`.
+    """
     words = line.split()
-    if not words:
-        return [line]
-    out: list[str] = []
-    held: list[str] = []
-    used = 0
-    for w in words:
-        n = estimate(w + " ")
-        if n > most and not held:
-            out.append(w)
-            continue
-        if held and used + n > most:
-            out.append(" ".join(held))
-            held, used = [], 0
-        held.append(w)
-        used += n
-    return out + ([" ".join(held)] if held else [])
+    sums = list(accumulate(estimate(f"{w} ") for w in words))
+    cuts = [0]
+    while cuts[-1] < len(words):
+        at = cuts[-1]
+        cuts.append(max(at + 1, bisect_right(sums, most + (sums[at - 1] if at else 0))))
+    return [" ".join(words[a:z]) for a, z in pairwise(cuts)] or [line]
 
 
 def pack_lines(lines: list[str], budget: int, overlap: int) -> Iterator[tuple[str, int, int]]:
@@ -149,41 +144,60 @@ def _leading_comment(lines: list[str], at: int, mark: str) -> str:
     return clean_doc("\n".join(lines[first:at]))
 
 
-def _block_end(lines: list[str], at: int) -> int:
-    """The last line of the braces that open at or after line `at`; a declaration that ends first is one line."""
-    depth, opened, quote = 0, False, ""
+#: What holds no code, by language: comments, then texts in their order of precedence. A lifetime ('a) is no text.
+_COMMENTS = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
+_DOUBLE, _ONE_CHARACTER = r'"(?:\\.|[^"\\\n])*"', r"'(?:\\(?:u\{[0-9A-Fa-f]+\}|u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|[0-7]{1,3}|.)|[^'\\\n])'"
+_NO_CODE = {
+    "Go": rf"{_COMMENTS}|`[^`]*`|{_DOUBLE}|{_ONE_CHARACTER}",
+    "Rust": rf'{_COMMENTS}|b?r(?P<r>#*)".*?"(?P=r)|"(?:\\.|[^"\\])*"|{_ONE_CHARACTER}',
+    "Java": rf'{_COMMENTS}|"""(?:\\.|.)*?"""|{_DOUBLE}|{_ONE_CHARACTER}',
+    "C++": rf'{_COMMENTS}|R"(?P<r>[^(\s]*)\(.*?\)(?P=r)"|{_DOUBLE}|{_ONE_CHARACTER}',
+    "": rf"{_COMMENTS}|`(?:\\.|[^`\\])*`|{_DOUBLE}|'(?:\\.|[^'\\\n])*'",
+}
+_NO_CODE = {name: re.compile(p, re.DOTALL) for name, p in (_NO_CODE | {"C": _NO_CODE["C++"]}).items()}
+#: Types that are written with braces, which open no body.
+_BRACE_TYPES = re.compile(r"\b(?:interface|struct)\s*\{\s*\}")
+
+
+def code_only(content: str, language: str) -> str:
+    """The content with blanks for comments and texts, at the same places."""
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+    code = _NO_CODE.get(language, _NO_CODE[""]).sub(blank, content)
+    return _BRACE_TYPES.sub(blank, code) if language == "Go" else code
+
+
+def _block_end(lines: list[str], at: int, same_line: bool = False) -> int:
+    """The last line of the braces that open at or after line `at`, those within parentheses aside; a declaration that ends first is one
+    line. `lines` hold code only. `same_line`: no declaration goes on after a line that ends outside of parentheses."""
+    depth = inside = 0
     for i in range(at, len(lines)):
-        line = lines[i]
-        for k, c in enumerate(line):
-            if quote:
-                if c == quote and line[k - 1 : k] != "\\":
-                    quote = ""
-            elif c in "\"'`":
-                quote = c
-            elif line.startswith("//", k):
-                break
+        for c in re.findall(r"[(){};]", lines[i]):
+            if c in "()":
+                inside += 1 if c == "(" else -1 if inside else 0
+            elif inside and not depth:
+                continue
             elif c == "{":
-                depth, opened = depth + 1, True
+                depth += 1
             elif c == "}":
                 depth -= 1
-                if opened and depth == 0:
+                if depth <= 0:
                     return i
-            elif c == ";" and not opened:
+            elif not depth:
                 return i
-        if quote in "\"'":
-            quote = ""
-    return len(lines) - 1 if opened else at
+        if same_line and not depth and not inside:
+            return i
+    return len(lines) - 1 if depth else at
 
 
 def by_braces(path: str, content: str, language: Language) -> list[Chunk]:
-    """Every declaration, in order; one within another is a chunk of its own too."""
-    lines, out = content.split("\n"), []
+    """Every declaration, in order; one within another is a chunk of its own too. Comments and texts declare nothing."""
+    lines, code, out = content.split("\n"), code_only(content, language.name).split("\n"), []
     patterns = [(kind, re.compile(p)) for kind, p in language.kinds]
-    package = next((m[1] for m in map(re.compile(r"^package\s+(\w+)").match, lines) if m), "")
-    for i, line in enumerate(lines):
+    package = next((m[1] for m in map(re.compile(r"^package\s+(\w+)").match, code) if m), "")
+    for i, line in enumerate(code):
         for kind, p in patterns:
             if m := p.match(line):
-                end = _block_end(lines, i)
+                end = _block_end(code, i, language.name == "Go")
                 doc = _leading_comment(lines, i, language.comment)
                 groups = m.groupdict()
                 name = groups.get("name") or ""

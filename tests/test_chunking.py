@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from seamark.operators import chunking as C
 from seamark.operators import segments as S
@@ -37,6 +38,58 @@ def test_long_lines():
     assert " ".join(p.content for p in parts[1:-1]).split() == ["word"] * 2000
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=30), st.integers(1, 12))
+def test_long_lines_are_filled_word_by_word(lengths, most):
+    words, want, used = ["x" * n for n in lengths], [], 0
+    for w in words:
+        n = C.estimate(w + " ")
+        if want and used + n <= most:
+            want[-1] += f" {w}"
+        else:
+            want.append(w)
+            used = 0
+        used += n
+    assert C.split_long_line(" ".join(words), most) == (want or [""])
+
+
+@pytest.mark.parametrize("path,src,ends", [
+    ("a.rs", "pub fn first<'a>(x: Foo, y: Bar) -> usize {\n    let s = r#\"a } b\"#;\n    let c = '}';\n    /* } */\n    x.len() + y.len() + 100\n}\nfn second() { let t = \"several\n}\n\"; t.len(); }\n", [6, 9]),
+    ("a.go", "package a\n\nfunc F(x interface{}, f func(a struct{}) error) map[string]struct{} {\n\ts := `\n}\nfunc G() {\n`\n\treturn nil // } done here\n}\n\ntype Any = interface{}\n\nfunc H(a string) string {\n\treturn a + \"some more text to be long enough\" + \"}\"\n}\n", [9, 15]),
+    ("a.js", "function f({a, b}, c = '}') {\n  const t = `x ${a} }\n function no() {`;\n  return a + b + c + 'some text to be long';\n}\n// function comment() { it is none, it is none, it is none }\n", [5]),
+    ("A.java", "class A {\n  String t = \"\"\"\n    } class B { not a class at all, just a text\n  \"\"\";\n  char c = '}'; char d = '\\''; int x = 1 + 2 + 3;\n}\n", [6]),
+    ("a.cpp", "int f(int a, int b) {\n  auto s = R\"x(}} int g(int a, int b) { )x\";\n  return a + b + 1000 + 2000;\n}\n", [4]),
+])
+def test_braces_in_texts_and_comments_count_nothing(path, src, ends):
+    assert [c.end_line for c in C.chunk_file(path, src)] == ends
+
+
+@pytest.mark.parametrize("budget,overlap", [(300, 3), (160, 0), (200, 1)])
+def test_size_chunks_against_the_plain_rule(sf, budget, overlap):
+    """Line after line into the open chunk, a line beyond the budget by words; a new chunk starts with the last lines of the one before."""
+    import duckdb
+
+    for (text,) in duckdb.sql(f"select text from '{sf}/documents.parquet'").fetchall():
+        want, held, room = [], [], budget - 50
+        lines = text.split("\n")
+        for i, line in enumerate(lines):
+            n = C.estimate(line)
+            if n > room:
+                want += [("\n".join(lines[j] for j in held), held[0] + 1, held[-1] + 1)] if held else []
+                want += [(part, i + 1, i + 1) for part in C.split_long_line(line, room)]
+                held, used = [], 0
+                continue
+            if not held:
+                used = 0
+            elif used + n > room:
+                want.append(("\n".join(lines[j] for j in held), held[0] + 1, held[-1] + 1))
+                held = held[len(held) - min(overlap, len(held)) :]
+                used = C.estimate("\n".join(lines[j] for j in held)) if held else 0
+            held, used = [*held, i], used + n
+        want += [("\n".join(lines[j] for j in held), held[0] + 1, held[-1] + 1)] if held else []
+        assert [(c.content, c.start_line, c.end_line) for c in C.by_size("x", text, C.Config(budget, overlap))] == want
+
+
 def test_split_oversized_numbers_its_parts():
     c = C.Chunk("\n".join(f"line {i} of a long body" for i in range(100)), 11, 110, "Go function f in package p (f.go)")
     parts = C.split_oversized(c, C.Config(150))
@@ -81,13 +134,16 @@ def test_chunk_files_as_rows(spark):
 
 
 def test_segments(spark):
-    assert S.segments_of("") == [] and S.segments_of(None) == []
-    assert S.segments_of("only one line of text") == ["only one line of text"]
+    def segments(*texts):
+        rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, t string").select(S.segments(F.col("t")).alias("s")).collect()
+        return [r["s"] for r in rows]
+
     two = "func a() {\n  return something longer here\n}\nfunc b() {\n  return something else\n}"
-    assert len(S.segments_of(two)) == 2
-    assert len(S.segments_of("\n\n".join("a paragraph that is long enough " * 3 for _ in range(40)))) == 9  # of 40 the first, each fifth, the last
-    xs = [str(i) for i in range(25)]
-    assert S.sampled(xs) == ["0", "3", "6", "9", "12", "15", "18", "21", "24"]
+    none, null, single, pair, many = segments("", None, "only one line of text", two, "\n\n".join("a paragraph that is long enough " * 3 for _ in range(40)))
+    assert none == null == [] and single == ["only one line of text"] and len(pair) == 2
+    assert len(many) == 9  # of 40 the first, each fifth, the last
+    df = spark.createDataFrame([([str(i) for i in range(25)],)], "x array<string>")
+    assert df.select(S.sampled(F.col("x"))).first()[0] == ["0", "3", "6", "9", "12", "15", "18", "21", "24"]
     df = spark.createDataFrame([(1, "first line that is long\n\nsecond line that is long"), (2, None)], "id long, content string")
     assert [(r["chunk_id"], r["segment_idx"]) for r in S.segment_chunks(df).orderBy("segment_idx").collect()] == [("1", 0), ("1", 1)]
 
