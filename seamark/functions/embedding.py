@@ -12,6 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,25 @@ class HashingEmbedder:
         return V.normalise(summed)
 
     def embed(self, texts: DataFrame, text: str, out: str = "embedding") -> DataFrame:
-        return texts.withColumn(out, self.vector(F.col(text)))
+        """The same vectors, counted in batches: the work is one step for each token, however many dimensions there are."""
+        names, dims = texts.columns, self.dims
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for start in range(0, whole.num_rows, 1024):
+                    b = whole.slice(start, 1024)
+                    h = b.column("_hashes")
+                    x = h.flatten().to_numpy().astype(np.int64)
+                    row = np.repeat(np.arange(b.num_rows), pc.list_value_length(h).to_numpy())
+                    signs = np.where((x >> 40) & 1, 1.0, -1.0)
+                    v = np.bincount(row * dims + x % dims, signs, b.num_rows * dims).reshape(-1, dims).astype(np.float32)
+                    n = np.sqrt((v.astype(np.float64) ** 2).sum(1, keepdims=True))
+                    v = np.where(n == 0, v, v * (1.0 / np.where(n == 0, 1, n)).astype(np.float32)).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(list(v), pa.list_(pa.float32()))], names=[*names, out])
+
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
+        hashed = F.transform(T.tokens(F.coalesce(F.col(text), F.lit(""))), lambda t: F.xxhash64(t))
+        return texts.withColumn("_hashes", hashed).mapInArrow(run, f"{fields}, `{out}` array<float>")
 
 
 def parse_embeddings(body: str, n: int) -> list[list[float]]:
@@ -68,10 +87,21 @@ def post(url: str, payload: dict, seconds: float = 60) -> str:
 
 
 class HttpEmbedder:
-    """A service that takes {"content": [texts]}. Distinct texts are sent, in batches; a batch that fails goes text by text, shorter each time."""
+    """A service that takes {"content": [texts]}. Distinct texts are sent, in batches; a batch that fails goes text by text, shorter each time.
+
+    After `count(spark)` it adds up the texts sent (`total`) and those without a vector (`errors`); a task that runs again counts again.
+    """
 
     def __init__(self, url: str, dims: int, batch: int = 128, most_chars: int = 384, send=post):
         self.url, self.dims, self.batch, self.most_chars, self.send = url, dims, batch, most_chars, send
+        self.total = self.errors = None
+
+    def count(self, spark) -> None:
+        self.total, self.errors = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def stats(self) -> tuple[int, int]:
+        """(texts sent, texts without a vector)."""
+        return (self.total.value, self.errors.value) if self.total else (0, 0)
 
     def _vectors(self, texts: list[str]) -> list[list[float]]:
         try:
@@ -89,12 +119,16 @@ class HttpEmbedder:
 
     def embed(self, texts: DataFrame, text: str, out: str = "embedding") -> DataFrame:
         cut = texts.select(F.col(text), T.truncate_at_boundary(F.col(text), self.most_chars).alias("_cut")).where(F.col(text).isNotNull()).dropDuplicates([text])
+        total, errors = self.total, self.errors
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 given = b.column("_cut").to_pylist()
                 got = [v for i in range(0, len(given), self.batch) for v in self._vectors(given[i : i + self.batch])]
                 norm = [np.linalg.norm(v) or 1.0 for v in got]
+                if total is not None:
+                    total.add(len(got))
+                    errors.add(sum(not v for v in got))
                 yield pa.RecordBatch.from_arrays([b.column("_text"), pa.array([[x / n for x in v] or None for v, n in zip(got, norm, strict=True)], pa.list_(pa.float32()))], names=["_text", out])
 
         vectors = cut.select(F.col(text).alias("_text"), "_cut").mapInArrow(run, f"_text string, {out} array<float>")

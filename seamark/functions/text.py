@@ -22,6 +22,7 @@ INTENTS = (
     ("definition", r"(?i)\b(type|interface|struct|class|enum|definition|define|what\s+is)\b"),
 )
 META = r"(?i)\b(what\s+(does|is)\s+(this|the)\s+(repo|repository|project|codebase)|about\s+(this|the)\s+(repo|project)|purpose\s+of\s+(this|the)|overview|introduction)\b"
+#: Fixed value: terms of a query.
 MAX_TERMS = 8
 
 
@@ -101,7 +102,7 @@ def truncate_to_tokens(text: Column, n_tokens: int = 128) -> Column:
     return truncate_at_boundary(text, 3 * n_tokens)
 
 
-#: Shares of the text that are tried again when an embedder refuses it.
+#: Shares of the text that are tried again when an embedder refuses it.
 RETRY_RATIOS = (0.75, 0.65, 0.55, 0.45, 0.35, 0.3)
 
 

@@ -13,29 +13,38 @@ RRF_K = 60.0
 LATE_CANDIDATES, CROSS_CANDIDATES = 50, 20
 
 
-def weights(intent: str, hybrid: bool, rerank: bool, late: bool, rerank_weight: float = 0.5, late_weight: float = 0.3) -> tuple[float, float, float]:
-    """(vector, cross-encoder, late interaction), which sum to 1.
+#: Fixed values, by (hybrid, rerank, late): raw weights of vector, cross-encoder and late interaction.
+#: None is the option's own weight; what is left of 1 goes to the vector.
+RAW = {
+    (False, False, False): (0.4, None, None),
+    (True, False, False): (0.4, None, None),
+    (False, False, True): (0.5, 0.0, 0.5),
+    (True, False, True): (0.75, 0.0, 0.25),
+    (False, True, False): (None, None, 0.0),
+    (True, True, False): (0.75, 0.25, 0.0),
+    (False, True, True): (0.3, 0.4, 0.3),
+    (True, True, True): (0.70, 0.05, 0.25),
+}
+#: Fixed values, by intent: which weight moves, when (if the signal is there; `alone`: if the cross-encoder isn't), by how much, and
+#: its bound. The rules cap the vector at 0.6 and lift the cross-encoder to 0.2; both are kept as they are.
+SEEKING = (("vector", "always", 0.1, 0.6), ("cross", "rerank", -0.05, 0.2), ("late", "alone", 0.2, 0.5))
+MOVES = {"conceptual": SEEKING, "definition": SEEKING, "procedural": (), "example": (("late", "late", 0.1, 0.5), ("cross", "rerank", 0.1, 0.5))}
+#: An option's weight where it is 0.
+DEFAULTS = {"cross": 0.5, "late": 0.3}
 
-    The rules for conceptual and definition queries cap the vector at 0.6 and lift the cross-encoder to 0.2; both are kept as they are.
-    """
-    v, r, c = 0.4, rerank_weight or 0.5, late_weight or 0.3
-    if rerank and late:
-        v, r, c = (0.70, 0.05, 0.25) if hybrid else (0.3, 0.4, 0.3)
-    elif late:
-        v, r, c = (0.75, 0.0, 0.25) if hybrid else (0.5, 0.0, 0.5)
-    elif rerank:
-        v, r, c = (0.75, 0.25, 0.0) if hybrid else (1.0 - r, r, 0.0)
-    if intent in ("conceptual", "definition"):
-        v = min(v + 0.1, 0.6)
-        if rerank:
-            r = max(r - 0.05, 0.2)
-        elif late:
-            c = min(c + 0.2, 0.5)
-    elif intent == "example":
-        c = min(c + 0.1, 0.5) if late else c
-        r = min(r + 0.1, 0.5) if rerank else r
-    total = v + r + c
-    return v / total, r / total, c / total
+
+def weights(intent: str, hybrid: bool, rerank: bool, late: bool, rerank_weight: float = 0.5, late_weight: float = 0.3) -> tuple[float, float, float]:
+    """(vector, cross-encoder, late interaction), which sum to 1."""
+    own = {"cross": rerank_weight or DEFAULTS["cross"], "late": late_weight or DEFAULTS["late"]}
+    w = dict(zip(("vector", "cross", "late"), RAW[hybrid, rerank, late], strict=True))
+    w |= {k: v for k, v in own.items() if w[k] is None}
+    w["vector"] = 1.0 - w["cross"] if w["vector"] is None else w["vector"]
+    holds = {"always": True, "rerank": rerank, "late": late, "alone": late and not rerank}
+    for name, when, by, bound in MOVES.get(intent, ()):
+        if holds[when]:
+            w[name] = (max if by < 0 else min)(w[name] + by, bound)
+    total = sum(w.values())
+    return w["vector"] / total, w["cross"] / total, w["late"] / total
 
 
 def weight_columns(intent: Column, hybrid: bool, rerank: bool, late: bool, rerank_weight: float = 0.5, late_weight: float = 0.3) -> list[Column]:

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -64,7 +66,10 @@ def test_tokens_and_estimates(spark):
     assert one(spark, T.estimate_tokens(F.col("t")), t="hello") == 1
     assert one(spark, T.estimate_tokens(F.col("t")), t="a b c d e") == 6
     assert one(spark, T.truncate_at_boundary(F.col("t"), 20), t="0123456789 012345\n7890123") == "0123456789 012345"
-    assert one(spark, T.truncate_at_boundary(F.col("t"), 20), t="0123456789 0123456789012") == "0123456789 012345678"[:10] or True
+    assert one(spark, T.truncate_at_boundary(F.col("t"), 20), t="0123456789 0123456789012") == "0123456789 012345678", "a space at half: a hard cut"
+    assert one(spark, T.truncate_at_boundary(F.col("t"), 20), t="0123456789a 123456789012") == "0123456789a"
+    assert one(spark, T.truncate_at_boundary(F.col("t"), 20), t="01234 6789012345678901234") == "01234 67890123456789"
+    assert one(spark, T.truncate_to_tokens(F.col("t"), 4), t="abcdefgh ijklmno") == "abcdefgh"
     assert one(spark, T.format_bytes(F.col("n")), n=1536) == "1.5 KB"
     assert one(spark, T.format_bytes(F.col("n")), n=12) == "12 B"
 
@@ -103,9 +108,13 @@ def test_services(spark):
             raise ValueError("too long")
         return json.dumps([{"index": i, "embedding": [[float(len(t)), 0.0]]} for i, t in enumerate(texts)])
 
-    df = spark.createDataFrame([(1, "abc"), (2, "abcdefgh"), (3, "abc"), (4, None)], "id long, text string")
-    got = {r["id"]: r["embedding"] for r in HttpEmbedder("u", 2, send=send).embed(df, "text").collect()}
-    assert got == {1: [1, 0], 2: [1, 0], 3: [1, 0], 4: None}
+    df = spark.createDataFrame([(1, "abc"), (2, "abcdefgh"), (3, "abc"), (4, None), (5, "abcdefghijklmnopqrstuvwxyz")], "id long, text string")
+    embedder = HttpEmbedder("u", 2, send=send)
+    assert embedder.stats() == (0, 0)
+    embedder.count(spark)
+    got = {r["id"]: r["embedding"] for r in embedder.embed(df, "text").collect()}
+    assert got == {1: [1, 0], 2: [1, 0], 3: [1, 0], 4: None, 5: None}
+    assert embedder.stats() == (3, 1)
 
     def rank(url, payload):
         import json
@@ -122,3 +131,67 @@ def test_hashing_embedder(spark):
     rows = HashingEmbedder(16).embed(df, "t").collect()
     assert rows[0]["embedding"] == rows[1]["embedding"] and np.linalg.norm(rows[0]["embedding"]) == pytest.approx(1, abs=1e-5)
     assert not any(rows[2]["embedding"])
+
+
+def test_embedding_in_batches_is_the_expression(spark):
+    from seamark.functions.embedding import HashingEmbedder
+    from xxhash import xxh64
+
+    texts = ["a b", "b A  b, c", "", None, "x " * 3000, "\u00e9t\u00e9 d1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    e = HashingEmbedder(16)
+    both = e.embed(df.withColumn("want", e.vector(F.col("t"))), "t").collect()
+    assert all(r["embedding"] == pytest.approx(r["want"], abs=1e-6) for r in both)
+    for r in both:  # and by hand: signed counts of xxHash64 of the tokens, of unit length
+        v = np.zeros(16)
+        for w in re.findall(r"[^\W_]+", (r["t"] or "").lower()):
+            h = xxh64(w.encode(), 42).intdigest()
+            h -= (h >> 63) << 64
+            v[h % 16] += 1 if h >> 40 & 1 else -1
+        assert np.allclose(r["embedding"], v / (np.linalg.norm(v) or 1), atol=1e-6)
+
+
+def test_segments_are_the_rule_line_by_line(spark):
+    from seamark.operators import segments as S
+
+    def plain(text):
+        out, held, size = [], [], 0
+        for line in map(str.strip, text.strip().split("\n")):
+            if size > 20 and (not line or line.startswith(("func ", "type ", "//", "def ", "class ", "#"))):
+                out, held, size = [*out, " ".join(held)], [], 0
+            if line:
+                held, size = [*held, line], size + len(line.encode())
+                if size > 200:
+                    out, held, size = [*out, " ".join(held)], [], 0
+        out += [" ".join(held)] * (size > 10)
+        step = max(1, len(out) // 8)
+        return out if len(out) <= 10 else [out[0], *[out[i] for i in range(step, len(out) - 1, step)][:8], out[-1]]
+
+    rng = np.random.default_rng(6)
+    lines = ["", "  ", "func f() {", "# a title", "short", "a line of some words here", "w" * 150, "\u00e9" * 90, "// note", "class X:", "\t tabbed \t"]
+    texts = ["\n".join(rng.choice(lines, rng.integers(0, 120))) for _ in range(60)] + ["", " \n ", "x", "only ten b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", S.segments(F.col("t")).alias("s")).collect()
+    assert {r["id"]: r["s"] for r in rows} == {i: plain(t) for i, t in enumerate(texts)}
+    assert one(spark, S.segments(F.lit(None).cast("string"))) == []
+
+
+@pytest.mark.parametrize("rerank,late", [(False, False), (True, False), (False, True), (True, True)])
+@pytest.mark.parametrize("hybrid", [False, True])
+def test_fusion_weights_sum_to_one(rerank, late, hybrid):
+    from seamark.operators.fusion import weights
+
+    for intent in ("conceptual", "definition", "procedural", "example", "other"):
+        w = weights(intent, hybrid, rerank, late, 0.4, 0.2)
+        assert sum(w) == pytest.approx(1) and min(w) >= 0
+    if rerank and not late and not hybrid:
+        assert weights("procedural", False, True, False, 0.4) == pytest.approx((0.6, 0.4, 0.0))
+
+
+def test_metadata_as_json(spark):
+    from seamark.sources.store import metadata_json, parse_metadata
+
+    df = spark.createDataFrame([({"a": "1", "b": 'x"y'},), ({},), (None,)], "m map<string,string>")
+    said = [r["j"] for r in df.select(metadata_json(F.col("m")).alias("j")).collect()]
+    assert said == ['{"a":"1","b":"x\\"y"}', "", ""]
+    back = spark.createDataFrame([(x,) for x in [*said, "{broken", None]], "j string").select(parse_metadata(F.col("j")).alias("m")).collect()
+    assert [r["m"] for r in back] == [{"a": "1", "b": 'x"y'}, {}, {}, {}, {}]
