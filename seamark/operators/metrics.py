@@ -9,6 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..shared import new_folder
+
+#: Tokens that a result of a tool is estimated at.
+PER_RESULT = 10
+
 
 def gain(rel: Column) -> Column:
     return F.when(rel > 0, F.pow(F.lit(2.0), rel) - 1).otherwise(F.lit(0.0))
@@ -75,18 +81,38 @@ def diversity(files: Column) -> Column:
     return F.when(F.size(files) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(files)) / F.size(files))
 
 
-def compare(results: DataFrame, qrels: DataFrame) -> DataFrame:
+def compare(results: DataFrame, qrels: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """(query_id, tool, returned, relevant, found, precision over what was returned, recall, tokens): tools side by side.
 
-    results: (tool, query_id, file); qrels: (query_id, file, rel). Output is estimated at 10 tokens a result.
+    results: (tool, query_id, file); qrels: (query_id, file, rel), of the returned files at least if `totals` (query_id, relevant) are
+    given. Output is estimated at PER_RESULT tokens a result.
     """
     good = qrels.where("rel > 0").select("query_id", "file").distinct()
-    totals = good.groupBy("query_id").agg(F.count("*").alias("relevant"))
+    totals = good.groupBy("query_id").agg(F.count("*").alias("relevant")) if totals is None else totals
     hits = results.select("tool", "query_id", "file").distinct().join(good.withColumn("hit", F.lit(1)), ["query_id", "file"], "left")
     out = hits.groupBy("query_id", "tool").agg(F.count("*").alias("returned"), F.count("hit").alias("found")).join(totals, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
     precision = F.col("found") / F.col("returned")
     recall = F.when(F.col("relevant") > 0, F.col("found") / F.col("relevant")).otherwise(F.lit(0.0))
-    return out.select("query_id", "tool", "returned", "relevant", "found", precision.alias("precision"), recall.alias("recall"), (F.col("returned") * 10).alias("tokens"))
+    return out.select("query_id", "tool", "returned", "relevant", "found", precision.alias("precision"), recall.alias("recall"), (F.col("returned") * PER_RESULT).alias("tokens"))
+
+
+def run_dataset(dataset: DataFrame, results: DataFrame, attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(results by query and tool, summaries by tool) of a dataset that tools have answered.
+
+    dataset: (query_id, query, file, rel) with a row for each judgment; results: (tool, query_id, file, rank); attempts: (tool, query_id,
+    attempts), for tools that try one pattern after the other. Tokens: of the query, or of each attempt's command, and of the results.
+    """
+    judged = dataset.where("file is not null").select("query_id", F.element_at(F.split("file", "/"), -1).alias("base"), "rel").groupBy("query_id", "base").agg(F.max("rel").alias("rel"))
+    totals = judged.where("rel > 0").groupBy("query_id").agg(F.count("*").cast("int").alias("n_relevant"))
+    rows = results.withColumn("base", F.element_at(F.split("file", "/"), -1)).join(judged, ["query_id", "base"], "left").join(totals, "query_id", "left")
+    rows = rows.select("tool", "query_id", "rank", F.coalesce("rel", F.lit(0)).alias("rel"), F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"))
+    queries = dataset.select("query_id", "query").distinct()
+    asked = queries.join(attempts, "query_id", "left").withColumn("own", T.estimate_tokens(F.col("query")))
+    command = T.estimate_tokens(F.lit("rg pattern"))
+    m = per_query(rows, ["tool", "query_id"]).join(asked.select("tool", "query_id", F.col("attempts")), ["tool", "query_id"], "left").join(asked.select("query_id", "own").distinct(), "query_id")
+    tokens = F.coalesce(F.col("attempts") * command, F.col("own")) + F.col("n_results") * PER_RESULT
+    per = m.withColumn("tokens", tokens.cast("long")).drop("own", "attempts")
+    return per, summary(per, "tool", ["mrr", "ap", "p_5", "r_5", "ndcg_5", "ndcg_10"], ["tokens"])
 
 
 def overlap(results: DataFrame, a: str, b: str) -> DataFrame:
@@ -96,12 +122,46 @@ def overlap(results: DataFrame, a: str, b: str) -> DataFrame:
     return left.join(right.select("query_id", "file", F.lit(1).alias("hit")), ["query_id", "file"], "left").groupBy("query_id").agg(F.count("hit").alias("overlap"))
 
 
+def ranked_in_groups(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, value, i, n): the place (from 0) of each value in the order of its group, and the group's size; nulls are left out.
+
+    Rows are range-partitioned by group and value and written once in that order; counts of each part of a group give the places. So
+    neither a group, however large, nor all groups meet in one task.
+    """
+    spark = rows.sparkSession
+    path = new_folder(spark, "ranked")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    some = rows.select(F.col(by).alias("by"), F.col(value).alias("value")).where("value is not null")
+    some.repartitionByRange(parts, "by", "value").sortWithinPartitions("by", "value").withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    ordered = spark.read.parquet(path).withColumn("part", F.shiftright("at", 33))
+    counts = ordered.groupBy("by", "part").agg(F.count("*").alias("here"), F.min("at").alias("first"))  # a group has a row for each of its parts
+    w = Window.partitionBy("by")
+    before = F.coalesce(F.sum("here").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("before", before).withColumn("n", F.sum("here").over(w)).select(F.col("by").alias("g"), F.col("part").alias("p"), "before", "first", "n")
+    both = ordered.join(starts, F.col("by").eqNullSafe(F.col("g")) & (F.col("part") == F.col("p")))
+    return both.select(F.col("by").alias(by), F.col("value").alias(value), (F.col("before") + F.col("at") - F.col("first")).alias("i"), "n")
+
+
 def nearest_rank(rows: DataFrame, by: str, value: str) -> DataFrame:
     """p50 = sorted[n / 2] and p95 = sorted[min(int(0.95 n), n - 1)] of groups of 2 or more, by rank (no group is gathered)."""
-    w = Window.partitionBy(by)
-    at = rows.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    pick = lambda i: F.max(F.when(F.col("_i") == i, F.col(value)))
-    return at.where("_n >= 2").groupBy(by).agg(F.max("_n").alias("n"), pick(F.floor(F.col("_n") / 2)).alias("p50"), pick(F.least(F.floor(F.col("_n") * F.lit(0.95).cast("double")), F.col("_n") - 1)).alias("p95"))
+    at = ranked_in_groups(rows, by, value)
+    middle, high = F.floor(F.col("n") / 2), F.least(F.floor(F.col("n") * F.lit(0.95).cast("double")), F.col("n") - 1)
+    some = at.where((F.col("n") >= 2) & ((F.col("i") == middle) | (F.col("i") == high)))
+    pick = lambda i: F.max(F.when(F.col("i") == i, F.col(value)))
+    return some.groupBy(by).agg(F.max("n").alias("n"), pick(middle).alias("p50"), pick(high).alias("p95"))
+
+
+def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, a column for each share): values at the shares of groups, between two ranks in proportion."""
+    at = ranked_in_groups(rows, by, value)
+    out, wanted = [], F.lit(False)
+    for name, share in shares.items():
+        place = (F.col("n") - 1) * F.lit(share).cast("double")
+        low, high = F.floor(place), F.ceil(place)
+        wanted = wanted | (F.col("i") == low) | (F.col("i") == high)
+        a, z = F.max(F.when(F.col("i") == low, F.col(value))), F.max(F.when(F.col("i") == high, F.col(value)))
+        out.append((a + (z - a) * F.max(place - low)).alias(name))
+    return at.where(wanted).groupBy(by).agg(*out)
 
 
 def stage_timing(rows: DataFrame, stage: str, value: str, total: str = "total") -> DataFrame:
