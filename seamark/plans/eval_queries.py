@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import knn, metrics
 from ..sources import qrels as C
 from ..sources import results as R
+from ..shared import new_folder
 from ..sources import store as S
 from ..streaming import watch
 from .tables import PATH_SQL, documents, query_vectors, table, vectors
@@ -20,13 +21,24 @@ def _ranked_rels(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, rank, rel, n_relevant): neighbours judged by label (1) and, of good documents, 2; the query itself is not judged."""
     near = knn.exact(query_vectors(spark, sf), vectors(spark, sf).select("id", "embedding"), 10)
     good = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.lit(1).alias("good"))
-    judged = vectors(spark, sf).select("id", "label").join(good, "id", "left")
+    rows = vectors(spark, sf).select("id", "label")
+    judged = rows.join(good, "id", "left")
     q = query_vectors(spark, sf).select("query_id", F.col("label").alias("ql"))
-    totals = q.join(judged, F.col("ql") == F.col("label")).where("id != query_id").groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    totals = _relevant(q, rows, True)
     rel = F.when((F.col("id") != F.col("query_id")) & (F.col("label") == F.col("ql")), 1 + F.coalesce("good", F.lit(0))).otherwise(0)
     return near.join(judged, "id").join(q, "query_id").join(totals, "query_id", "left").select("query_id", "rank", rel.cast("int").alias("rel"), F.coalesce("n_relevant", F.lit(0)).cast("int").alias("n_relevant"), "label")
 
 
+def _relevant(q: DataFrame, rows: DataFrame, others_only: bool) -> DataFrame:
+    """(query_id, n_relevant): rows of a query's label, counted by label first; without those of the query's own id if `others_only`."""
+    counts = rows.groupBy(F.col("label").alias("ql")).agg(F.count("*").alias("n"))
+    out = q.join(counts, "ql")
+    if others_only:
+        own = rows.groupBy(F.col("id").alias("query_id"), F.col("label").alias("ql")).agg(F.count("*").alias("own"))
+        out = out.join(own, ["query_id", "ql"], "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0)))
+    return out.select("query_id", F.col("n").alias("n_relevant"))
+
+
 _RELS = f"""{_Q}, d AS (SELECT query_id, ql, vec_id AS id, label, {_COS.format('qv', 'embedding')} AS d FROM q, embeddings), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM d),
 tot AS (SELECT query_id, count(*) FILTER (vec_id <> query_id AND label = ql) AS n_relevant FROM q, embeddings GROUP BY query_id),
 rels AS (SELECT c.query_id, rank, label, CASE WHEN id <> c.query_id AND label = ql THEN 1 + CASE WHEN quality = 1 THEN 1 ELSE 0 END ELSE 0 END AS rel, n_relevant FROM c JOIN tot ON tot.query_id = c.query_id LEFT JOIN labels ON doc_id = id WHERE rank <= 10)"""
@@ -81,7 +93,9 @@ SELECT query_id, round(len(list_intersect(list_distinct(f[1:5]), list_distinct(f
 
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    means = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    parts = metrics.quantiles(e, "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    return means.join(parts, "event_type").select("event_type", "n", "mean", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 LATENCY = "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type"
@@ -141,7 +155,7 @@ def grep_baseline(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark")
     patterns = b.select(F.col("item_id").alias("query_id"), F.posexplode(T.pattern_words(F.col("text"))).alias("ord", "pattern"))
     files = table(spark, sf, "documents").select(F.format_string("%08d", "doc_id").alias("file_path"), F.col("text").alias("content"))
-    return R.grep(files, patterns, 10)
+    return R.grep(files, patterns, 10).drop("ord")
 
 
 GREP = """WITH w AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(text, '[ ?.,;]+'), lambda w: strlen(w) >= 3) AS w FROM benchmark), p AS (SELECT query_id, i AS ord, w[i] AS pattern FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)),
@@ -160,12 +174,23 @@ SELECT count(DISTINCT source) AS files, count(*) AS chunks, count(embedding) AS
 
 
 def upsert_delete(spark: SparkSession, sf: str) -> DataFrame:
-    """The table after new versions of every tenth document took the place of old ones and every seventh source was deleted."""
-    old = table(spark, sf, "documents").select("doc_id", "source", F.length("text").alias("n"))
-    new = old.where("doc_id % 10 = 0").withColumn("n", F.col("n") + 1000)
-    gone = old.where("hash(source) is not null and cast(substring(source, 4) as int) % 7 = 0").select("source").distinct()
-    kept = old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
-    return kept.join(gone, "source", "left_anti").select("doc_id", "source", "n")
+    """What a store holds after new versions of every tenth document took the place of old ones and every seventh source was deleted."""
+    d = table(spark, sf, "documents")
+
+    def chunks(rows: DataFrame, text: Column) -> DataFrame:
+        v = F.array(F.lit(1.0), F.col("doc_id").cast("double")).cast("array<float>")
+        path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+        return rows.select(F.col("doc_id").cast("string").alias("id"), path.alias("file_path"), text.alias("content"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), v.alias("embedding"), F.create_map(F.lit("source"), "source").alias("metadata"), F.lit(False).alias("is_test"))
+
+    store = S.Store(spark, new_folder(spark, "store"))
+    store.upsert_chunks(chunks(d, F.col("text")))
+    store.upsert_chunks(chunks(d.where("doc_id % 10 = 0"), F.concat(F.repeat(F.lit("+"), 1000), "text")))
+    store.delete_files(chunks(d.where("cast(substring(source, 4) as int) % 7 = 0"), F.col("text")).select("file_path"))
+    left = store.read("chunks")
+    lengths = store.read("lengths").select("id", "dl")
+    files = store.read("files").select("file_path", "chunk_count")
+    both = left.join(lengths, "id").join(files, "file_path")  # whatever belongs to a chunk is there with it
+    return both.select(F.col("id").cast("long").alias("doc_id"), F.col("metadata")["source"].alias("source"), F.length("content").alias("n"))
 
 
 UPSERT_DELETE = "SELECT doc_id, source, CAST(length(text) + CASE WHEN doc_id % 10 = 0 THEN 1000 ELSE 0 END AS INTEGER) AS n FROM documents WHERE CAST(source[4:] AS INTEGER) % 7 <> 0"
@@ -249,18 +274,20 @@ PREFIX = f"""WITH {_Q}, d AS (SELECT query_id, vec_id AS id, {_COS.format('qv',
 r AS (SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM c JOIN documents ON doc_id = id WHERE n <= 50 AND starts_with({PATH_SQL}, 'pkg/'))
 SELECT query_id, id, round(d, 6) + 0.0 AS distance, rank FROM r WHERE rank <= 5"""
 
-def _two_tools(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _two_tools(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Ten nearest by cosine, and five nearest among even ids; judged by label."""
     rows, q = vectors(spark, sf).select("id", "embedding"), query_vectors(spark, sf)
     a, b = knn.exact(q, rows, 10), knn.exact(q, rows.where("id % 2 = 0"), 5)
     both = a.select(F.lit("all").alias("tool"), "query_id", F.col("id").alias("file")).unionByName(b.select(F.lit("even").alias("tool"), "query_id", F.col("id").alias("file")))
-    judged = q.select("query_id", F.col("label").alias("ql")).join(vectors(spark, sf).select(F.col("id").alias("file"), "label"), F.col("ql") == F.col("label")).select("query_id", "file", F.lit(1).alias("rel"))
-    return both, judged
+    labels = vectors(spark, sf).select(F.col("id").alias("file"), "label")
+    judged = both.select("query_id", "file").distinct().join(labels, "file").join(q.select("query_id", F.col("label").alias("ql")), "query_id").select("query_id", "file", (F.col("ql") == F.col("label")).cast("int").alias("rel"))
+    totals = _relevant(q.select("query_id", F.col("label").alias("ql")), labels.withColumnRenamed("file", "id"), False).withColumnRenamed("n_relevant", "relevant")
+    return both, judged, totals
 
 
 def paired_tools(spark: SparkSession, sf: str) -> DataFrame:
-    both, judged = _two_tools(spark, sf)
-    c = metrics.compare(both, judged).join(metrics.overlap(both, "even", "all"), "query_id")
+    both, judged, totals = _two_tools(spark, sf)
+    c = metrics.compare(both, judged, totals).join(metrics.overlap(both, "even", "all"), "query_id")
     return c.select("query_id", "tool", "returned", "relevant", "found", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "tokens", "overlap")
 
 
@@ -273,8 +300,8 @@ FROM r JOIN t ON r.query_id = t.query_id JOIN o ON o.query_id = r.query_id GROUP
 
 
 def mean_tool_quality(spark: SparkSession, sf: str) -> DataFrame:
-    both, judged = _two_tools(spark, sf)
-    s = metrics.summary(metrics.compare(both, judged), "tool", ["precision", "recall"], ["tokens"])
+    both, judged, totals = _two_tools(spark, sf)
+    s = metrics.summary(metrics.compare(both, judged, totals), "tool", ["precision", "recall"], ["tokens"])
     return s.select("tool", "queries", "total_tokens", F.round(metrics.f1(F.col("avg_precision"), F.col("avg_recall")), 6).alias("f1_of_means"))
 
 

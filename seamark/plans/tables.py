@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lexical import StoredIndex, document_tokens, placed_postings
+from ..shared import file_system, local_rows, new_folder
+
 #: Queries are all vectors whose id is divisible by 50, against all rows.
 EVERY = 50
 
@@ -37,7 +41,24 @@ QUERIES = [
 
 
 def literal_queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, query string")
+    return local_rows(spark, {"query_id": (list(range(len(QUERIES))), pa.int64()), "query": (QUERIES, pa.string())})
+
+
+_INDEXES: dict[tuple, StoredIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The kept postings of `documents` (id: doc_id). Made once for a session and a state of the table, then read."""
+    fs, at = file_system(spark, f"{sf_dir}/documents.parquet")
+    state = fs.getContentSummary(at)
+    key = (spark.sparkContext.applicationId, sf_dir, state.getLength(), fs.getFileStatus(at).getModificationTime())
+    if key not in _INDEXES:
+        tokens = document_tokens(table(spark, sf_dir, "documents"), "doc_id", ["text"])
+        path = new_folder(spark, "text-index")
+        placed_postings(tokens).repartitionByRange(F.col("term")).sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        tokens.select("id", F.size("tokens").cast("long").alias("dl")).write.parquet(f"{path}/lengths")
+        _INDEXES[key] = StoredIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    return _INDEXES[key]
 
 
 QUERIES_SQL = "(SELECT CAST(query_id AS BIGINT) AS query_id, query FROM (VALUES " + ", ".join(f"({i}, '{q.replace(chr(39), chr(39) * 2)}')" for i, q in enumerate(QUERIES)) + ") AS t(query_id, query))"

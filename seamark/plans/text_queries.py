@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..functions.embedding import HashingEmbedder
 from ..operators import chunking, dedup, fusion, hybrid, knn, lexical, search, segments
-from .tables import PATH_SQL, QUERIES_SQL, documents, literal_queries, query_vectors, table, vectors
+from ..shared import local_rows
+from .tables import PATH_SQL, QUERIES_SQL, documents, literal_queries, query_vectors, table, text_index, vectors
 from .vector_queries import _COS, _Q
 
 _STOPS = ", ".join(f"'{w}'" for w in T.LEXICAL_STOPS)
@@ -46,7 +48,8 @@ BM25_CORPUS_STATS = f"WITH {_TOK} SELECT count(*) AS n_docs, round(avg(len(t)),
 
 def bm25_document_frequency(spark: SparkSession, sf: str) -> DataFrame:
     df = lexical.postings(_doc_tokens(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("df").desc(), "term"))).where("rank <= 100")
+    first = df.orderBy(F.col("df").desc(), "term").limit(100)  # the only rows that meet in one task
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.col("df").desc(), "term")))
 
 
 BM25_DF = f"""WITH {_TOK}, p AS (SELECT id, unnest(t) AS term FROM tok), f AS (SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM p GROUP BY term)
@@ -54,7 +57,7 @@ SELECT * FROM (SELECT term, df, cf, row_number() OVER (ORDER BY df DESC, term) A
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.bm25_top(_bench_terms(spark, sf), _doc_tokens(spark, sf), 10).select("query_id", "id", F.round("bm25", 6).alias("bm25"), "rank")
+    return lexical.bm25_top(_bench_terms(spark, sf), text_index(spark, sf), 10).select("query_id", "id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 _BM25 = f"""{_TOK}, qt AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark), p AS (SELECT id, unnest(t) AS term FROM tok),
@@ -65,7 +68,7 @@ BM25_TOPK = f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY quer
 
 
 def bm25_all_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.bm25(_bench_terms(spark, sf), _doc_tokens(spark, sf), True).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
+    return lexical.bm25(_bench_terms(spark, sf), text_index(spark, sf), True).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
 
 
 BM25_ALL = f"WITH {_BM25}, asked AS (SELECT query_id, count(*) AS asked FROM qt GROUP BY query_id) SELECT w.query_id, id, round(bm25, 6) AS bm25 FROM w JOIN asked ON w.query_id = asked.query_id WHERE matched = asked"
@@ -75,7 +78,7 @@ def bm25_phrases(spark: SparkSession, sf: str) -> DataFrame:
     t = T.tokens(F.col("text"))
     runs = F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat_ws("-", a, b))
     pairs = table(spark, sf, "benchmark").where(F.size(t) > 1).select(F.col("item_id").alias("query_id"), F.explode(runs).alias("term"))
-    return lexical.bm25(pairs, _doc_tokens(spark, sf)).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
+    return lexical.bm25(pairs, text_index(spark, sf)).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
 
 
 BM25_PHRASES = f"""WITH {_TOK}, b AS (SELECT item_id AS query_id, {_TOKENS.format('text')} AS t FROM benchmark), q AS (SELECT DISTINCT query_id, t[i] || ' ' || t[i + 1] AS term FROM (SELECT *, unnest(range(1, len(t))) AS i FROM b)), u AS (SELECT DISTINCT term FROM q),
@@ -87,14 +90,15 @@ FROM q JOIN tf ON q.term = tf.term JOIN df ON df.term = tf.term JOIN dl ON dl.id
 
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     q = query_vectors(spark, sf)
-    texts = table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), F.explode(T.tokens(F.col("text"))).alias("term"))
-    terms = q.select("query_id", F.pmod(F.floor(F.col("query_id") / 50), F.lit(40)).alias("item")).join(texts, "item").select("query_id", "term")
+    items = table(spark, sf, "benchmark")
+    texts = items.select(F.col("item_id").alias("item"), F.explode(T.tokens(F.col("text"))).alias("term"))
+    terms = q.select("query_id", F.pmod(F.floor(F.col("query_id") / 50), F.lit(max(1, items.count()))).alias("item")).join(texts, "item").select("query_id", "term")
     semantic = knn.exact(q, vectors(spark, sf), hybrid.candidates(10), 1.0)
-    return hybrid.combine(semantic, lexical.bm25(terms, _doc_tokens(spark, sf)), 10, 1.0).select("query_id", "id", F.round("distance", 6).alias("distance"), F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"), "rank")
+    return hybrid.combine(semantic, lexical.bm25(terms, text_index(spark, sf)), 10, 1.0).select("query_id", "id", F.round("distance", 6).alias("distance"), F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"), "rank")
 
 
 HYBRID_TOPK = f"""WITH {_Q}, d AS (SELECT query_id, vec_id AS id, {_COS.format('qv', 'embedding')} AS d FROM q, embeddings), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS n FROM d WHERE d <= 1.0),
-{_BM25.replace("SELECT DISTINCT item_id AS query_id, unnest", "SELECT DISTINCT query_id, unnest").replace("FROM benchmark)", "FROM q JOIN benchmark ON item_id = (query_id // 50) % 40)")},
+{_BM25.replace("SELECT DISTINCT item_id AS query_id, unnest", "SELECT DISTINCT query_id, unnest").replace("FROM benchmark)", "FROM q JOIN benchmark ON item_id = (query_id // 50) % (SELECT count(*) FROM benchmark))")},
 s AS (SELECT c.query_id, c.id, d, coalesce(bm25, 0.0) AS bm25, 0.6 * d + 0.4 * coalesce(bm25, 0.0) AS score FROM c LEFT JOIN w ON w.query_id = c.query_id AND w.id = c.id WHERE n <= 50),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM s)
 SELECT query_id, id, round(d, 6) AS distance, round(bm25, 6) AS bm25, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
@@ -178,7 +182,8 @@ PATH_BOOST = f"WITH r AS (SELECT doc_id, query_id, lower({PATH_SQL}) AS p, {_INT
 
 def fusion_weights(spark: SparkSession, sf: str) -> DataFrame:
     rows = [(i, h, r, c, *map(float, fusion.weights(i, h, r, c))) for i in ("conceptual", "definition", "procedural", "example") for h in (False, True) for r, c in ((False, True), (True, False), (True, True))]
-    df = spark.createDataFrame(rows, "intent string, hybrid boolean, rerank boolean, late boolean, wv double, wr double, wc double")
+    kinds = {"intent": pa.string(), "hybrid": pa.bool_(), "rerank": pa.bool_(), "late": pa.bool_(), "wv": pa.float64(), "wr": pa.float64(), "wc": pa.float64()}
+    df = local_rows(spark, {name: ([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
     return df.select("intent", "hybrid", "rerank", "late", *[F.round(c, 4).alias(c) for c in ("wv", "wr", "wc")])
 
 
@@ -253,10 +258,31 @@ def document_segments(spark: SparkSession, sf: str) -> DataFrame:
     return segments.segment_chunks(table(spark, sf, "documents"), "doc_id", "text").select(F.col("chunk_id").cast("long").alias("doc_id"), "segment_idx", "text")
 
 
+_STATE = "STRUCT(out_ VARCHAR[], held VARCHAR, size BIGINT)"
+_TRIM = r"regexp_replace({0}, '^[\s\x0b\x{{85}}\p{{Z}}]+|[\s\x0b\x{{85}}\p{{Z}}]+$', '', 'g')"
+_BEGINS = " OR ".join(f"starts_with(x.held, '{w}')" for w in segments.STARTS)
+
+
+def _closed(of: str) -> str:
+    return f"{{'out_': list_append({of}.out_, {of}.held), 'held': '', 'size': 0}}::{_STATE}"
+
+
+#: A fold over the trimmed lines, which come as states that hold one line.
+DOCUMENT_SEGMENTS = f"""WITH d AS (SELECT doc_id, {_TRIM.format("text")} AS t FROM documents),
+l AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda y: {{'out_': []::VARCHAR[], 'held': {_TRIM.format("y")}, 'size': 0}}::{_STATE}) AS lines FROM d),
+f AS (SELECT doc_id, list_reduce(list_prepend({{'out_': []::VARCHAR[], 'held': '', 'size': 0}}::{_STATE}, lines), lambda a, x: list_transform(list_transform(
+ [CASE WHEN a.size > {segments.CUT} AND (x.held = '' OR {_BEGINS}) THEN {_closed("a")} ELSE a END],
+ lambda c: CASE WHEN x.held = '' THEN c ELSE {{'out_': c.out_, 'held': CASE WHEN c.size = 0 THEN x.held ELSE c.held || ' ' || x.held END, 'size': c.size + strlen(x.held)}}::{_STATE} END),
+ lambda e: CASE WHEN e.size > {segments.FULL} THEN {_closed("e")} ELSE e END)[1]) AS s FROM l),
+o AS (SELECT doc_id, CASE WHEN s.size > {segments.LAST} THEN list_append(s.out_, s.held) ELSE s.out_ END AS o FROM f), n AS (SELECT *, len(o) AS n, greatest(len(o) // 8, 1) AS step FROM o),
+p AS (SELECT doc_id, CASE WHEN n <= {segments.MOST} THEN o ELSE list_concat([o[1]], list_transform(list_filter(range(1, 9), lambda i: i * step < n - 1), lambda i: o[i * step + 1]), [o[n]]) END AS o FROM n)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS segment_idx, o[i] AS text FROM (SELECT *, unnest(range(1, len(o) + 1)) AS i FROM p)"""
+
+
 def hashed_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    e = HashingEmbedder(32)
-    b = table(spark, sf, "benchmark")
-    return e.embed(b, "text").select("item_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("v"))
+    """Vectors of all documents, whole texts."""
+    d = HashingEmbedder(32).embed(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return d.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("v"))
 
 
 def search_full(spark: SparkSession, sf: str) -> DataFrame:
@@ -275,5 +301,5 @@ QUERIES = {f.__name__: f for f in (token_estimate, bm25_corpus_stats, bm25_docum
 ORACLE_SQL = {
     "token_estimate": TOKEN_ESTIMATE, "bm25_corpus_stats": BM25_CORPUS_STATS, "bm25_document_frequency": BM25_DF, "bm25_topk": BM25_TOPK, "bm25_all_terms": BM25_ALL, "bm25_phrases": BM25_PHRASES, "hybrid_topk": HYBRID_TOPK,
     "search_terms": SEARCH_TERMS, "query_terms": QUERY_TERMS, "query_intent": QUERY_INTENT, "path_rules": PATH_RULES, "path_boost": PATH_BOOST, "fusion_weights": FUSION_WEIGHTS, "rrf_fusion": RRF_FUSION,
-    "dedup_intervals": DEDUP_INTERVALS, "truncate_text": TRUNCATE_TEXT,
+    "dedup_intervals": DEDUP_INTERVALS, "truncate_text": TRUNCATE_TEXT, "document_segments": DOCUMENT_SEGMENTS,
 }

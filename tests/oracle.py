@@ -43,9 +43,21 @@ def rows_of_duck(con, sql):
     return [columns[i] for i in order], Counter(tuple(plain(r[i]) for i in order) for r in got.fetchall())
 
 
+#: Types that hold the same values, as DuckDB names them.
+SAME = {"tinyint": "int", "smallint": "int", "int": "int", "integer": "int", "bigint": "long", "hugeint": "long", "float": "double", "string": "varchar", "varchar": "varchar", "timestamp_ntz": "timestamp", "binary": "blob"}
+
+
+def kind(t):
+    t = t.lower()
+    return "double" if t.startswith("decimal") else SAME.get(t, "nested" if any(x in t for x in "[(<") else t)
+
+
 def compare(spark, name, query, sql, sf_dir, con=None):
-    a, b = rows_of_spark(query(spark, sf_dir)), rows_of_duck(con or duck(sf_dir), sql)
+    df, con = query(spark, sf_dir), con or duck(sf_dir)
+    a, b = rows_of_spark(df), rows_of_duck(con, sql)
     assert a[0] == b[0], f"{name}: columns {a[0]} and {b[0]}"
+    mine, theirs = {c: kind(t) for c, t in df.dtypes}, {r[0]: kind(r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    assert mine == theirs, f"{name}: types {sorted(set(mine.items()) ^ set(theirs.items()))}"
     if a[1] != b[1]:
         left, right = list((a[1] - b[1]).items())[:3], list((b[1] - a[1]).items())[:3]
         raise AssertionError(f"{name}: {sum(a[1].values())} and {sum(b[1].values())} rows; only Spark: {left}; only DuckDB: {right}")

@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seamark.plans import catalog
 from tests.oracle import compare, duck
@@ -19,10 +21,67 @@ def test_other_queries_give_rows(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
-def test_approximate_indexes_find_nine_of_ten(spark):
-    for name in ("ivf_recall", "lsh_recall"):
-        rows = catalog.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
-        assert sum(r["found"] for r in rows) >= 0.9 * sum(r["k"] for r in rows), name
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+@pytest.mark.parametrize(("name", "share"), [("ivf_recall", 0.5), ("lsh_recall", 0.21)])
+def test_approximate_indexes_find_nine_of_ten(spark, name, share, size):
+    rows = catalog.QUERIES[name](spark, f"/root/testdata/{size}").collect()
+    assert sum(r["found"] for r in rows) >= 0.9 * sum(r["k"] for r in rows)
+    assert sum(r["share"] for r in rows) / len(rows) <= share
+
+
+def test_product_codes_are_the_nearest_centres(spark, sf):
+    from seamark.operators.pq import ProductQuantiser
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id as id", "embedding")
+    pq = ProductQuantiser.train(rows)
+    data = {r["id"]: np.array(r["embedding"], float) for r in rows.collect()}
+    for r in pq.encode_rows(rows).where("id < 60").collect():
+        for part, code in enumerate(r["codes"]):
+            gaps = [float(((data[r["id"]][4 * part : 4 * part + 4] - c) ** 2).sum()) for c in pq.books[part]]
+            assert gaps[code] <= min(gaps) + 1e-12
+    odd = spark.createDataFrame([(1, [0.5] * 64), (2, [1.0]), (3, None)], "id long, embedding array<float>")
+    assert [r["id"] for r in pq.encode_rows(odd).collect()] == [1]
+
+
+def test_pooled_segments_against_plain_steps(spark, sf):
+    got = {}
+    for r in catalog.QUERIES["segment_pool"](spark, sf).collect():
+        got.setdefault(int(r["chunk_id"]), {})[r["segment_idx"]] = (r["text"], r["first"])
+    for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect():
+        x = np.array(r["embedding"], float).reshape(4, 16)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        groups = []
+        for i in range(4):  # no chains here are longer than this finds, with 4 segments
+            near = [g for g in groups if any(u[i] @ u[j] >= 0.90 for j in g)]
+            groups = [g for g in groups if g not in near] + [sorted([i, *(j for g in near for j in g)])]
+        groups.sort()
+        v = []
+        for g in groups:
+            m = u[g].mean(0)
+            v.append(x[g[0]] if len(g) == 1 else m / np.linalg.norm(m))
+        picked = [0] if len(v) > 3 else list(range(len(v)))
+        n = [y / np.linalg.norm(y) for y in v]
+        while len(picked) < min(3, len(v)):
+            gap = [min(1 - n[i] @ n[j] for j in picked) if i not in picked else -9 for i in range(len(v))]
+            picked.append(int(np.argmax(gap)))
+        want = {k: (f"s{groups[i][0]}", round(float(v[i][0]), 6)) for k, i in enumerate(picked)}
+        mine = got[r["vec_id"]]
+        assert {k: t for k, (t, _) in mine.items()} == {k: t for k, (t, _) in want.items()}
+        assert all(abs(mine[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_the_kept_index_gives_what_texts_give(spark, sf):
+    """Scores from kept postings and from texts at query time are the same, for words, pairs and longer phrases."""
+    from seamark.operators import lexical
+    from seamark.plans import tables
+
+    terms = spark.createDataFrame([(1, "the"), (1, "der-die"), (2, "a b c"), (3, "the"), (3, "THE"), (4, "")], "query_id long, term string")
+    said = spark.read.parquet(f"{sf}/documents.parquet").select(F.slice(F.split("text", " "), 3, 4).alias("w"), "doc_id").where("doc_id % 20 = 0").select((F.col("doc_id") + 10).alias("query_id"), F.concat_ws(" ", "w").alias("term"))
+    terms = terms.unionByName(said)
+    tokens = lexical.document_tokens(tables.table(spark, sf, "documents"), "doc_id", ["text"])
+    for every in (False, True):
+        a, b = ({(r["query_id"], r["id"]): r["bm25"] for r in lexical.bm25(terms, index, every).collect()} for index in (tokens, tables.text_index(spark, sf)))
+        assert len(a) > 5 and a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
 
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
