@@ -243,6 +243,24 @@ DEBOUNCE = """WITH s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INT
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS grp FROM s) SELECT user_id, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, count(*) AS n FROM g GROUP BY user_id, grp"""
 
 
+def watched_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """An index that has followed the events as a stream of changes: each user is a file, a purchase deletes it, all else rewrites it."""
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    op = F.when(F.col("event_type") == "purchase", F.lit("delete")).otherwise(F.lit("upsert"))
+    changes = stream.select(F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("file_path"), op.alias("op"), F.timestamp_seconds("event_id").alias("at"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("content"))
+
+    def chunks(files: DataFrame) -> DataFrame:
+        return files.select(F.concat("file_path", F.lit(":chunk_1")).alias("id"), "file_path", "content", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.array(F.lit(3.0), F.lit(4.0)).cast("array<float>").alias("embedding"), F.lit(None).cast("map<string,string>").alias("metadata"), F.lit(False).alias("is_test"))
+
+    store = S.Store(spark, new_folder(spark, "store"))
+    watch.watch(changes, store, chunks, new_folder(spark, "watched"), once=True).awaitTermination()
+    return store.read("chunks").join(store.read("files").select("file_path", "chunk_count"), "file_path").select("file_path", "content", "chunk_count")
+
+
+WATCHED = """WITH l AS (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id)
+SELECT 'user/' || user_id AS file_path, event_type || ' ' || event_id AS content, CAST(1 AS BIGINT) AS chunk_count FROM l WHERE event_type <> 'purchase'"""
+
+
 def latest_events(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("o", F.struct("ts", "event_id"))
     return S.latest(e, "user_id", "o").select("user_id", "event_id", "event_type")
@@ -323,9 +341,9 @@ def benchmark_corpora(spark: SparkSession, sf: str) -> DataFrame:
 CORPORA = """WITH j AS (SELECT doc_id FROM documents WHERE length(text) > 10 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
 SELECT lang, count(*) AS full, count(*) FILTER (doc_id IN (SELECT doc_id FROM j)) AS fast, count(*) FILTER (doc_id IN (SELECT doc_id FROM j)) AS asked FROM documents GROUP BY lang HAVING fast > 0"""
 
-QUERIES = {f.__name__: f for f in (ir_metrics, ir_binary_metrics, tool_summary, jaccard_diversity, latency_percentiles, nearest_rank_percentiles, stage_timing, token_savings, result_lines, result_ranges, grep_baseline, index_stats, upsert_delete, paged_chunks, ids_to_documents, semi_anti_sets, debounce_sessions, latest_events, printed_results, path_prefix_filter, paired_tools, mean_tool_quality, benchmark_corpora)}
+QUERIES = {f.__name__: f for f in (ir_metrics, ir_binary_metrics, tool_summary, jaccard_diversity, latency_percentiles, nearest_rank_percentiles, stage_timing, token_savings, result_lines, result_ranges, grep_baseline, index_stats, upsert_delete, paged_chunks, ids_to_documents, semi_anti_sets, debounce_sessions, watched_changes, latest_events, printed_results, path_prefix_filter, paired_tools, mean_tool_quality, benchmark_corpora)}
 ORACLE_SQL = {
     "ir_metrics": IR_METRICS, "ir_binary_metrics": IR_BINARY, "tool_summary": TOOL_SUMMARY, "jaccard_diversity": JACCARD, "latency_percentiles": LATENCY, "nearest_rank_percentiles": NEAREST_RANK, "stage_timing": STAGE_TIMING,
     "token_savings": TOKEN_SAVINGS, "result_lines": RESULT_LINES, "result_ranges": RESULT_RANGES, "grep_baseline": GREP, "index_stats": INDEX_STATS, "upsert_delete": UPSERT_DELETE, "paged_chunks": PAGED, "ids_to_documents": IDS_TO_DOCS,
-    "semi_anti_sets": SEMI_ANTI, "debounce_sessions": DEBOUNCE, "latest_events": LATEST, "printed_results": PRINTED, "path_prefix_filter": PREFIX, "paired_tools": PAIRED_TOOLS, "mean_tool_quality": MEAN_TOOL, "benchmark_corpora": CORPORA,
+    "semi_anti_sets": SEMI_ANTI, "debounce_sessions": DEBOUNCE, "watched_changes": WATCHED, "latest_events": LATEST, "printed_results": PRINTED, "path_prefix_filter": PREFIX, "paired_tools": PAIRED_TOOLS, "mean_tool_quality": MEAN_TOOL, "benchmark_corpora": CORPORA,
 }

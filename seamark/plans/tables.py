@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,18 +49,21 @@ def literal_queries(spark: SparkSession) -> DataFrame:
 _INDEXES: dict[tuple, StoredIndex] = {}
 
 
-def text_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
-    """The kept postings of `documents` (id: doc_id). Made once for a session and a state of the table, then read."""
+def kept_index(spark: SparkSession, sf_dir: str, name: str, tokens: Callable[[], DataFrame]) -> StoredIndex:
+    """Kept postings of (id, tokens) made from `documents`. Written once for a session and a state of the table, then read."""
     fs, at = file_system(spark, f"{sf_dir}/documents.parquet")
-    state = fs.getContentSummary(at)
-    key = (spark.sparkContext.applicationId, sf_dir, state.getLength(), fs.getFileStatus(at).getModificationTime())
+    key = (spark.sparkContext.applicationId, sf_dir, name, fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime())
     if key not in _INDEXES:
-        tokens = document_tokens(table(spark, sf_dir, "documents"), "doc_id", ["text"])
-        path = new_folder(spark, "text-index")
-        placed_postings(tokens).repartitionByRange(F.col("term")).sortWithinPartitions("term").write.parquet(f"{path}/postings")
-        tokens.select("id", F.size("tokens").cast("long").alias("dl")).write.parquet(f"{path}/lengths")
+        made, path = tokens(), new_folder(spark, "text-index")
+        placed_postings(made).repartitionByRange(F.col("term")).sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        made.select("id", F.size("tokens").cast("long").alias("dl")).write.parquet(f"{path}/lengths")
         _INDEXES[key] = StoredIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
     return _INDEXES[key]
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The kept postings of `documents` (id: doc_id)."""
+    return kept_index(spark, sf_dir, "documents", lambda: document_tokens(table(spark, sf_dir, "documents"), "doc_id", ["text"]))
+
+
 QUERIES_SQL = "(SELECT CAST(query_id AS BIGINT) AS query_id, query FROM (VALUES " + ", ".join(f"({i}, '{q.replace(chr(39), chr(39) * 2)}')" for i, q in enumerate(QUERIES)) + ") AS t(query_id, query))"

@@ -10,8 +10,9 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..functions.embedding import HashingEmbedder
 from ..operators import chunking, dedup, fusion, hybrid, knn, lexical, search, segments
-from ..shared import local_rows
-from .tables import PATH_SQL, QUERIES_SQL, documents, literal_queries, query_vectors, table, text_index, vectors
+from ..shared import local_rows, new_folder
+from ..sources.store import Store
+from .tables import PATH_SQL, QUERIES_SQL, documents, kept_index, literal_queries, query_vectors, table, text_index, vectors
 from .vector_queries import _COS, _Q
 
 _STOPS = ", ".join(f"'{w}'" for w in T.LEXICAL_STOPS)
@@ -285,6 +286,11 @@ def hashed_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("v"))
 
 
+def _chunk_index(spark: SparkSession, sf: str, chunks: DataFrame) -> lexical.StoredIndex:
+    """The kept postings of these chunks' contents and paths."""
+    return kept_index(spark, sf, "chunks", lambda: lexical.document_tokens(chunks, "id", ["content", "file_path"]))
+
+
 def search_full(spark: SparkSession, sf: str) -> DataFrame:
     """The orchestrated search over chunks made of documents and vectors, with late interaction."""
     chunks = documents(spark, sf).join(vectors(spark, sf).withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "file_path", F.col("text").alias("content"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), "embedding", P.is_test_file(F.col("file_path")).alias("is_test"))
@@ -292,14 +298,46 @@ def search_full(spark: SparkSession, sf: str) -> DataFrame:
     q = query_vectors(spark, sf).withColumn("n", n).join(literal_queries(spark).withColumnRenamed("query_id", "n"), "n").select("query_id", "query", "embedding")
     terms = q.select("query_id", F.lit(0).alias("term_idx"), F.col("embedding").alias("term_vec"))
     segs = chunks.select(F.col("id").alias("chunk_id"), F.lit(0).alias("segment_idx"), F.col("embedding").alias("segment_vec"))
-    index = search.Index(chunks, segs)
+    index = search.Index(chunks, segs, postings=_chunk_index(spark, sf, chunks))
     opts = search.SearchOptions(threshold=1.2, use_hybrid=True, use_late=True)
     return search.search(q, index, opts, terms).select("query_id", "rank", "file", "start", "end", F.round("score", 6).alias("score"), "is_test")
 
 
-QUERIES = {f.__name__: f for f in (token_estimate, bm25_corpus_stats, bm25_document_frequency, bm25_topk, bm25_all_terms, bm25_phrases, hybrid_topk, search_terms, query_terms, query_intent, path_rules, path_boost, fusion_weights, rrf_fusion, dedup_intervals, truncate_text, size_chunks, document_segments, hashed_embeddings, search_full)}
+#: Candidates by distance and BM25 (phrases where a term has several tokens), fused with the one segment's product. No two rows have
+#: one canonical path, so none is dropped for overlap; rows of test files go last, after the ten of each query are chosen.
+SEARCH_FULL = f"""WITH {_Q}, lit AS (SELECT query_id AS n, query, {_INTENT} AS intent FROM {QUERIES_SQL}), docs AS (SELECT doc_id, text, {PATH_SQL} AS p, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
+tok AS (SELECT doc_id, list_concat({_TOKENS.format('text')}, {_TOKENS.format('p')}) AS t FROM docs), st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM tok),
+words AS (SELECT DISTINCT n, array_to_string({_TOKENS.format('w')}, ' ') AS said, {_TOKENS.format('w')} AS ws FROM (SELECT n, unnest({_BARE.replace("regexp_matches(w, '[\\^*", "false AND regexp_matches(w, '[\\^*")}) AS w FROM lit) WHERE len({_TOKENS.format('w')}) > 0),
+tf AS (SELECT n, said, doc_id, len(t) AS dl, len(list_filter(range(1, len(t) - len(ws) + 2), lambda i: t[i:i + len(ws) - 1] = ws)) AS f FROM words, tok WHERE list_contains(t, ws[1])),
+df AS (SELECT said, count(DISTINCT doc_id) AS df FROM tf WHERE f > 0 GROUP BY said),
+bm AS (SELECT n, doc_id, -sum((CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) > 0 THEN ln((n_docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM tf JOIN df ON tf.said = df.said, st WHERE f > 0 GROUP BY n, doc_id),
+d AS (SELECT query_id, qv, doc_id, p, embedding, text, {_COS.format('qv', 'embedding')} AS d FROM q, docs), near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, CAST(doc_id AS VARCHAR)) AS k FROM d WHERE d <= 1.2),
+s AS (SELECT near.query_id, near.doc_id, near.p, text, intent, qv, embedding, 0.6 * d + 0.4 * coalesce(bm25, 0.0) AS score FROM near JOIN lit ON lit.n = near.query_id % 8 LEFT JOIN bm ON bm.n = near.query_id % 8 AND bm.doc_id = near.doc_id WHERE k <= 150),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, CAST(doc_id AS VARCHAR)) AS rank FROM s),
+w AS (SELECT *, p AS file, greatest(list_inner_product(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 0) AS ms FROM r WHERE rank <= 30),
+u AS (SELECT query_id, doc_id, file, text, score, rank, ((CASE WHEN intent IN ('conceptual', 'definition') THEN 0.6 / 1.05 WHEN intent = 'example' THEN 0.75 / 1.1 ELSE 0.75 END) / (60 + rank)
+ + (CASE WHEN intent IN ('conceptual', 'definition') THEN 0.45 / 1.05 WHEN intent = 'example' THEN 0.35 / 1.1 ELSE 0.25 END) / (60 + (1 - ms) * 50 + 1)) * CAST({_BOOST} AS DOUBLE) AS rrf FROM (SELECT * REPLACE (lower(p) AS p) FROM w)),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, rank) AS k FROM u), x AS (SELECT *, {_suffix("lower(string_split(file, '/')[-1])", P.TEST_SUFFIXES)} OR regexp_matches(regexp_extract(file, '^(.*)/[^/]*$', 1), '/({"|".join(P.TEST_DIRS)})(/|$)') AS is_test FROM v WHERE k <= 10)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, CAST(doc_id AS VARCHAR)) AS rank, file, CAST(1 AS INTEGER) AS start, CAST(len(string_split(text, chr(10))) AS INTEGER) AS end, round(score, 6) AS score, is_test FROM x WHERE NOT is_test"""
+
+
+def stored_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments of all documents as a store has them after chunks were written and indexed for late interaction."""
+    d = table(spark, sf, "documents")
+    e = HashingEmbedder(16)
+    chunks = e.embed(d.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.create_map(F.lit("lang"), "lang").alias("metadata"), F.lit(False).alias("is_test")), "content")
+    store = Store(spark, new_folder(spark, "store"))
+    store.upsert_chunks(chunks)
+    store.preindex(e)
+    return store.read("segments").select(F.col("chunk_id").cast("long").alias("doc_id"), "segment_idx", "text", (F.size("emb_i8") == 16).alias("coded"))
+
+
+STORED_SEGMENTS = f"SELECT *, true AS coded FROM ({DOCUMENT_SEGMENTS})"
+
+
+QUERIES = {f.__name__: f for f in (stored_segments, token_estimate, bm25_corpus_stats, bm25_document_frequency, bm25_topk, bm25_all_terms, bm25_phrases, hybrid_topk, search_terms, query_terms, query_intent, path_rules, path_boost, fusion_weights, rrf_fusion, dedup_intervals, truncate_text, size_chunks, document_segments, hashed_embeddings, search_full)}
 ORACLE_SQL = {
     "token_estimate": TOKEN_ESTIMATE, "bm25_corpus_stats": BM25_CORPUS_STATS, "bm25_document_frequency": BM25_DF, "bm25_topk": BM25_TOPK, "bm25_all_terms": BM25_ALL, "bm25_phrases": BM25_PHRASES, "hybrid_topk": HYBRID_TOPK,
     "search_terms": SEARCH_TERMS, "query_terms": QUERY_TERMS, "query_intent": QUERY_INTENT, "path_rules": PATH_RULES, "path_boost": PATH_BOOST, "fusion_weights": FUSION_WEIGHTS, "rrf_fusion": RRF_FUSION,
-    "dedup_intervals": DEDUP_INTERVALS, "truncate_text": TRUNCATE_TEXT, "document_segments": DOCUMENT_SEGMENTS,
+    "dedup_intervals": DEDUP_INTERVALS, "truncate_text": TRUNCATE_TEXT, "document_segments": DOCUMENT_SEGMENTS, "search_full": SEARCH_FULL, "stored_segments": STORED_SEGMENTS,
 }
