@@ -12,12 +12,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..shared import no_rows
+from ..shared import local_rows, no_rows
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -159,6 +161,82 @@ def _phrase_counts(phrases: DataFrame, tokens: DataFrame) -> DataFrame:
     return no_rows(tokens.sparkSession, f"phrase string, id {tokens.schema['id'].dataType.simpleString()}, dl long, tf long") if out is None else out
 
 
+#: Queries of a block, postings that a task takes at once, and scores that it holds.
+BLOCK, ROWS, CELLS = 1024, 1 << 18, 1 << 22
+
+
 def bm25_top(terms: DataFrame, index: DataFrame | TextIndex | StoredIndex, k: int, require_all: bool = False) -> DataFrame:
+    """(query_id, id, bm25, rank): the k best of each query. Ties (of nine digits) are put in the order of the id.
+
+    Postings of the queries' terms are dealt by document; a task adds them up for a block of queries and some documents at a time, and
+    only the k best of those go on. (With `require_all` all scores are made first.)
+    """
     order = Window.partitionBy("query_id").orderBy(F.round("bm25", 9), "id")  # sums of one set of terms may differ in their last bits
-    return bm25(terms, index, require_all).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = bm25(terms, index, True) if require_all else _best(terms, TextIndex(index) if isinstance(index, DataFrame) else index, k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _best(terms: DataFrame, index: TextIndex | StoredIndex, k: int) -> DataFrame:
+    spark, found = terms.sparkSession, None
+    for ids, phrases in _blocks(terms):
+        asked = local_rows(spark, {"phrase": (list(phrases), pa.string()), "number": (list(range(len(phrases))), pa.int32())})
+        counts = index.counts(asked.select("phrase"))
+        df = counts.groupBy("phrase").agg(F.count_if(F.col("tf") > 0).alias("df"))
+        part = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        scored = counts.join(asked.join(df, "phrase"), "phrase").join(F.broadcast(index.stats()), F.lit(True)).select("id", "number", part.alias("part"))
+        kind = scored.schema["id"].dataType.simpleString()
+        one = scored.repartition("id").sortWithinPartitions("id").mapInArrow(_add_up(ids, list(phrases.values()), k), f"query_id long, id {kind}, bm25 double")
+        found = one if found is None else found.unionByName(one)
+    return no_rows(spark, "query_id long, id long, bm25 double") if found is None else found
+
+
+def _blocks(terms: DataFrame) -> Iterator[tuple[np.ndarray, dict[str, list[int]]]]:
+    """(query ids, for each phrase which of them have it), BLOCK queries at a time: all that the driver holds of the queries."""
+    wanted = terms.select("query_id", F.array_join(T.tokens(F.col("term")), " ").alias("phrase")).where("phrase != ''").dropDuplicates(["query_id", "phrase"])
+    ids: list[int] = []
+    phrases: dict[str, list[int]] = {}
+    for r in wanted.orderBy("query_id").toLocalIterator():
+        if not ids or r["query_id"] != ids[-1]:
+            if len(ids) == BLOCK:
+                yield np.array(ids, np.int64), phrases
+                ids, phrases = [], {}
+            ids.append(r["query_id"])
+        phrases.setdefault(r["phrase"], []).append(len(ids) - 1)
+    if ids:
+        yield np.array(ids, np.int64), phrases
+
+
+def _add_up(query_ids: np.ndarray, asking: list[list[int]], k: int):
+    """Rows (id, number, part) in the order of id: sums for each query, of which the k best of some documents are given."""
+    size = np.array([len(x) for x in asking], np.int64)
+    first, who, n = np.cumsum(size) - size, np.concatenate([np.array(x, np.int64) for x in asking]), len(query_ids)
+
+    def best(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        coded = rows.column("id").combine_chunks().dictionary_encode()
+        doc, names = coded.indices.to_numpy(), coded.dictionary
+        number, part = rows.column("number").to_numpy(), rows.column("part").to_numpy()
+        step = max(1, CELLS // n)
+        for low in range(0, len(names), step):
+            a, z = np.searchsorted(doc, [low, low + step])
+            times = size[number[a:z]]
+            which = np.repeat(first[number[a:z]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            docs = min(step, len(names) - low)
+            total = -np.bincount(np.repeat(doc[a:z] - low, times) * n + who[which], np.repeat(part[a:z], times), docs * n).reshape(docs, n)
+            limit = np.partition(total, k - 1, axis=0)[k - 1] + 2e-9 if k < docs else np.zeros(n)
+            i, q = np.nonzero((total < 0) & (total <= limit))
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), names.take(pa.array(low + i)), pa.array(total[i, q])], names=["query_id", "id", "bm25"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= ROWS:
+                rows = pa.Table.from_batches(held)
+                last = pc.index(rows.column("id"), rows.column("id")[-1]).as_py()  # the last document may go on in the next batch
+                if last:
+                    yield from best(rows.slice(0, last))
+                    held = rows.slice(last).combine_chunks().to_batches()
+        if held:
+            yield from best(pa.Table.from_batches(held))
+
+    return run

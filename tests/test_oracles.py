@@ -100,3 +100,22 @@ def test_driver_contract(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("rows", [1 << 18, 50])
+def test_best_scores_by_blocks_are_the_best_of_all(spark, sf, monkeypatch, rows):
+    from seamark.operators import lexical
+    from seamark.plans import tables
+
+    for name, value in (("BLOCK", 7), ("ROWS", rows), ("CELLS", 40)):
+        monkeypatch.setattr(lexical, name, value)
+    terms = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("item_id as query_id", "explode(split(text, ' ')) as term").where("query_id < 20")
+    index = tables.text_index(spark, sf)
+    scores = {}
+    for r in lexical.bm25(terms, index).collect():
+        scores.setdefault(r["query_id"], []).append((round(r["bm25"], 9), r["id"]))
+    got = {}
+    for r in lexical.bm25_top(terms, index, 4).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert got == {q: [i for _, i in sorted(xs)[:4]] for q, xs in scores.items()}
+    assert lexical.bm25_top(terms.where("false"), index, 4).count() == 0
