@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import delete_folder, local_rows, new_folder, shared_root  # noqa: F401
+
 #: Rows of an Arrow batch between the JVM and Python: bounds a worker's memory when texts are very long.
 BATCH_ROWS = 256
 
@@ -28,37 +29,20 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a new local one in local mode, else an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            root = found.get()
-        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="seamark-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-#: Folders of intermediate tables that are open now, one list for each `scratch` around the call.
-_OPEN: list[list[str]] = []
+#: Folders of intermediate tables, one list for each `scratch` around the call (in this thread).
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("_OPEN", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are materialised inside are deleted at the end, by success or failure; a result is written by `kept`."""
-    _OPEN.append([])
+    mine: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), mine))
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        _OPEN.reset(token)
+        for path in mine:
             delete_folder(spark, path)
 
 
@@ -68,16 +52,16 @@ def materialise(df: DataFrame, label: str, codec: str = "zstd", narrow: bool = F
     `narrow`: rows of a few numbers; they are written by as many tasks as the cluster has cores, at most twice that.
     """
     path = new_folder(df.sparkSession, label)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
     return _written(df, path, codec, narrow)
 
 
 def kept(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """The same for what a `scratch` is to leave: it belongs to the scratch around that one, if there is one."""
     path = new_folder(df.sparkSession, label)
-    if len(_OPEN) > 1:
-        _OPEN[-2].append(path)
+    if len(_OPEN.get()) > 1:
+        _OPEN.get()[-2].append(path)
     return _written(df, path, "zstd", narrow)
 
 
@@ -88,11 +72,6 @@ def _written(df: DataFrame, path: str, codec: str, narrow: bool) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def local_rows(spark: SparkSession, columns: dict[str, tuple[list, pa.DataType]]) -> DataFrame:
-    """A small table from the driver, as Arrow: no Python runs on the executors for it."""
-    return spark.createDataFrame(pa.table({name: pa.array(values, kind) for name, (values, kind) in columns.items()}))
-
-
 def free_name(columns: list[str], name: str) -> str:
     """`name`, with as many underscores before it as it takes to be none of `columns` (in any case)."""
     taken = {c.lower() for c in columns}
@@ -101,12 +80,6 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
