@@ -44,7 +44,7 @@ PERCENT = 80
 #: Members of a bucket that are paired by a join; bytes of sets and rows of a block of a family; shingles multiplied at once.
 SMALL, BLOCK_BYTES, BLOCK_ROWS, COLUMNS = 64, 512 << 10, 256, 8_192
 #: Partners of a pivot that one task compares with it.
-PARTNERS = 4_096
+PARTNERS = 512
 #: Words of a shingle: as op 2's contract has it, and for all other uses.
 PAIRS_OF_WORDS, SHINGLE = 2, 5
 
@@ -246,8 +246,8 @@ class NearDuplicates:
             of = join_dealt(sketch.select("doc_id", "n_shingles", "set_id", "keys", "signature"), classes.drop("n"), "set_id", F.col("doc_id"), counts=counts)
             self.nodes = materialise(of.where("doc_id = id").dropDuplicates(["set_id"]).select("id", "n_shingles", "keys", "signature"), "nodes")
             self.members = self.nodes.select("id", "n_shingles", F.explode("keys").alias("key"))
-            buckets = self.members.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("first"), F.count("*").alias("n")).where("n > 1")
-            self.buckets = materialise(buckets.select("key", F.col("first.id").alias("pivot"), F.col("first.n_shingles").alias("pivot_n"), "n"), "buckets", narrow=True)
+            buckets = self.members.groupBy("key").agg(F.min("id").alias("pivot"), F.min_by("n_shingles", "id").alias("pivot_n"), F.count("*").alias("n")).where("n > 1")
+            self.buckets = materialise(buckets, "buckets")
             components = self._links()
             rows = join_dealt(sketch.select("doc_id", "n_shingles", "set_id"), classes.join(components, "id", "left").select("set_id", F.coalesce("component", "id").alias("of")), "set_id", F.col("doc_id"), "left", counts=counts)
             component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
