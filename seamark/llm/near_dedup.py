@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt, handed_out, join_dealt, kept, materialise, scratch, sieve, small_batches, without
+from .common import dealt, handed_out, join_dealt, kept, materialise, scratch, sieve, sieve_flag, small_batches, without
 from .components import connected_components
 from .tokens import _powers
 
@@ -243,8 +243,12 @@ class NearDuplicates:
             known = sketch.where("set_id is not null and doc_id is not null")
             classes = materialise(known.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes", narrow=True)
             counts = classes.where("n > 1").select("set_id", "n")
-            of = join_dealt(sketch.select("doc_id", "n_shingles", "set_id", "keys", "signature"), classes.drop("n"), "set_id", F.col("doc_id"), counts=counts)
-            self.nodes = materialise(of.where("doc_id = id").dropDuplicates(["set_id"]).select("id", "n_shingles", "keys", "signature"), "nodes")
+            # A set that stands once is its own class where it is; of the others only the rows that go on are shuffled further.
+            marked = sieve_flag(known, F.col("set_id"), counts.select("set_id"), "again")
+            first = classes.select("set_id", F.col("id").alias("doc_id"))
+            some = marked.where("again").join(first, ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
+            one = marked.where("not again").unionByName(some)
+            self.nodes = materialise(one.select(F.col("doc_id").alias("id"), "n_shingles", "keys", "signature"), "nodes")
             self.members = self.nodes.select("id", "n_shingles", F.explode("keys").alias("key"))
             buckets = self.members.groupBy("key").agg(F.min("id").alias("pivot"), F.min_by("n_shingles", "id").alias("pivot_n"), F.count("*").alias("n")).where("n > 1")
             self.buckets = materialise(buckets, "buckets")
