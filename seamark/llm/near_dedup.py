@@ -159,6 +159,19 @@ def _set_batches(size: int):
     return run
 
 
+def _value_batches(size: int):
+    """Texts become sets; a text that stands in several rows of a batch is cut once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("value").to_pylist()
+            distinct = list(dict.fromkeys(texts))
+            sets = dict(zip(distinct, (s.tobytes() for s in shingle_sets(distinct, size)), strict=True))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("b", "_part", "a")), pa.array([sets[t] for t in texts], pa.binary())], names=["b", "_part", "a", "value"])
+
+    return run
+
+
 def _agree(a: bytes, b: bytes) -> bool:
     return float((np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)).mean()) >= AGREE
 
@@ -321,12 +334,19 @@ class NearDuplicates:
         texts = sieve(self.docs.withColumnRenamed("doc_id", "id"), F.col("id"), ids).join(ids, "id", "left_semi")
         return materialise(texts.mapInArrow(_set_batches(self.size), "id long, shingles binary"), "sets")
 
-    def _tested(self, pairs: DataFrame, values: DataFrame, test, label: str) -> DataFrame:
-        """The pairs (a, b) whose values (id, value) pass `test`. The value of b goes to its partners once for each PARTNERS of them."""
+    def _tested(self, pairs: DataFrame, values: DataFrame, test, label: str, make=None) -> DataFrame:
+        """The pairs (a, b) whose values (id, value) pass `test`; `make` turns the values of rows that are needed into others.
+
+        A document has a row for each pair it is `a` of, and as `b` one for each PARTNERS of its partners. Rows of one pivot and part
+        meet in a task, the pivot's value first. Only values of documents in a pair are shuffled.
+        """
         given, many = dealt(pairs, "b", F.col("a"), PARTNERS)
-        partners = given.join(values.withColumnRenamed("id", "a"), "a").select("b", "_part", "a", "value")
-        pivots = handed_out(pairs.select("b").distinct(), "b", many).join(values.withColumnRenamed("id", "b"), "b").select("b", "_part", F.lit(None).cast("long").alias("a"), "value")
-        both = pivots.unionByName(partners).repartition("b", "_part").sortWithinPartitions("b", "_part", F.col("a").asc_nulls_first())
+        partners = given.select(F.col("a").alias("id"), "b", "_part", "a")
+        pivots = handed_out(pairs.select("b").distinct(), "b", many).select(F.col("b").alias("id"), "b", "_part", F.lit(None).cast("long").alias("a"))
+        roles = materialise(partners.unionByName(pivots), "roles", narrow=True)
+        rows = sieve(values, F.col("id"), roles.select("id")).join(roles, "id").select("b", "_part", "a", "value")
+        rows = rows if make is None else rows.mapInArrow(make, "b long, _part int, a long, value binary")
+        both = rows.repartition("b", "_part").sortWithinPartitions("b", "_part", F.col("a").asc_nulls_first())
         return materialise(both.mapInArrow(_pair_batches(test), "a long, b long"), label)
 
     def _agreeing(self, pairs: DataFrame) -> DataFrame:
@@ -334,9 +354,9 @@ class NearDuplicates:
         return self._tested(materialise(pairs, "pairs", narrow=True), self.nodes.select("id", F.col("signature").alias("value")), _agree, "star")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are alike enough."""
-        sets = self._full_sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-        return self._tested(pairs, sets.withColumnRenamed("shingles", "value"), _linked(self.percent), "links")
+        """The pairs whose full sets, made from the texts, are alike enough."""
+        texts = self.docs.select(F.col("doc_id").alias("id"), F.col("text").alias("value"))
+        return self._tested(pairs, texts, _linked(self.percent), "links", _value_batches(self.size))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
