@@ -61,9 +61,15 @@ def kept_index(spark: SparkSession, sf_dir: str, name: str, tokens: Callable[[],
     return _INDEXES[key]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of fewer files than the cluster has cores, dealt to all of them."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def text_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
     """The kept postings of `documents` (id: doc_id)."""
-    return kept_index(spark, sf_dir, "documents", lambda: document_tokens(table(spark, sf_dir, "documents"), "doc_id", ["text"]))
+    return kept_index(spark, sf_dir, "documents", lambda: document_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", ["text"]))
 
 
 QUERIES_SQL = "(SELECT CAST(query_id AS BIGINT) AS query_id, query FROM (VALUES " + ", ".join(f"({i}, '{q.replace(chr(39), chr(39) * 2)}')" for i, q in enumerate(QUERIES)) + ") AS t(query_id, query))"
