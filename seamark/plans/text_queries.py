@@ -94,8 +94,11 @@ def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "benchmark")
     texts = items.select(F.col("item_id").alias("item"), F.explode(T.tokens(F.col("text"))).alias("term"))
     terms = q.select("query_id", F.pmod(F.floor(F.col("query_id") / 50), F.lit(max(1, items.count()))).alias("item")).join(texts, "item").select("query_id", "term")
-    semantic = knn.exact(q, vectors(spark, sf), hybrid.candidates(10), 1.0)
-    return hybrid.combine(semantic, lexical.bm25(terms, text_index(spark, sf)), 10, 1.0).select("query_id", "id", F.round("distance", 6).alias("distance"), F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"), "rank")
+    # Candidates are few rows and are read several times. Only they are scored, from the texts: no index of all texts is written for that.
+    knn.exact(q, vectors(spark, sf), hybrid.candidates(10), 1.0).write.parquet(path := new_folder(spark, "candidates"))
+    semantic = spark.read.parquet(path)
+    scored = lexical.bm25_of(semantic, terms, table(spark, sf, "documents").select("doc_id", "text"), "doc_id", ["text"])
+    return hybrid.combine(semantic, scored, 10, 1.0).select("query_id", "id", F.round("distance", 6).alias("distance"), F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"), "rank")
 
 
 HYBRID_TOPK = f"""WITH {_Q}, d AS (SELECT query_id, vec_id AS id, {_COS.format('qv', 'embedding')} AS d FROM q, embeddings), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS n FROM d WHERE d <= 1.0),

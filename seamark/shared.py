@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -54,3 +55,18 @@ def _empty_folder(spark: SparkSession) -> str:
     fs, at = file_system(spark, path)
     fs.mkdirs(at)
     return path
+
+
+#: Bits of a sieve: at most 4 MB are broadcast.
+SIEVE_BITS = 1 << 25
+
+
+def may_be_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key may be in `keys` (one column): surely those that are, and few others. The join that follows shuffles only those."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    marked = keys.select(spot(F.col(keys.columns[0])).alias("_spot"))
+    made = marked.groupBy(F.bitmap_bucket_number("_spot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
+    at = F.bitmap_bit_position(spot(F.col(key)))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    tested = rows.withColumn("_bucket", F.bitmap_bucket_number(spot(F.col(key)))).join(F.broadcast(made), "_bucket")
+    return tested.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)

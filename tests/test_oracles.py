@@ -119,3 +119,32 @@ def test_best_scores_by_blocks_are_the_best_of_all(spark, sf, monkeypatch, rows)
         got.setdefault(r["query_id"], []).append(r["id"])
     assert got == {q: [i for _, i in sorted(xs)[:4]] for q, xs in scores.items()}
     assert lexical.bm25_top(terms.where("false"), index, 4).count() == 0
+
+
+def test_scores_of_given_pairs_are_those_of_all(spark, sf, tmp_path):
+    from seamark.operators import lexical
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    copy = docs.where("doc_id = 7").select(F.lit(100_007).cast("long").alias("doc_id"), "text")
+    docs = docs.unionByName(copy)
+    said = docs.select((F.col("doc_id") % 40).alias("query_id"), F.explode(F.slice(F.split("text", " "), 1, 30)).alias("term")).where("doc_id < 40")
+    terms = said.unionByName(spark.createDataFrame([(1, "the-of"), (3, "a b c"), (3, "THE"), (4, "")], "query_id long, term string"))
+    pairs = spark.range(40).withColumnRenamed("id", "query_id").join(docs.where("doc_id % 9 = 7").select(F.col("doc_id").alias("id")))
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    asked = {(r["query_id"], r["id"]) for r in pairs.collect()}
+    want = {(r["query_id"], r["id"]): r["bm25"] for r in lexical.bm25(terms, lexical.document_tokens(docs, "doc_id", ["text"])).collect()}
+    got = {(r["query_id"], r["id"]): r["bm25"] for r in lexical.bm25_of(pairs, terms, docs, "doc_id", ["text"]).collect()}
+    assert len(got) > 100 and got.keys() == want.keys() & asked and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert all(got[q, 7] == got[q, 100_007] for q in range(40) if (q, 7) in got and (q, 100_007) in got)
+
+
+def test_hybrid_search_writes_no_index(spark, sf, con, monkeypatch):
+    from seamark.plans import tables
+
+    def written(*_):
+        raise AssertionError("postings of all texts are several times the texts")
+
+    monkeypatch.setattr(tables, "kept_index", written)
+    monkeypatch.setattr(tables, "_INDEXES", {})
+    compare(spark, "hybrid_topk", catalog.QUERIES["hybrid_topk"], catalog.ORACLE_SQL["hybrid_topk"], sf, con)
