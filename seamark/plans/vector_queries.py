@@ -140,7 +140,7 @@ SELECT id, CAST(list_sum(list_transform(v, lambda x: CAST(trunc((x - low) / scal
 
 
 def quantise_unit(spark: SparkSession, sf: str) -> DataFrame:
-    q = vectors(spark, sf).select("id", Q.int8_unit(F.transform("embedding", lambda x: x * 5)).alias("q"))
+    q = vectors(spark, sf).select("id", Q.int8_unit(F.transform("embedding", lambda x: (x * 5).cast("float"))).alias("q"))
     return q.select("id", F.array_min("q").cast("int").alias("low"), F.array_max("q").cast("int").alias("high"), F.aggregate("q", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("total"), r6(F.element_at(Q.from_int8_unit(F.col("q")), 1).cast("double")).alias("first"))
 
 

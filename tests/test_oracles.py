@@ -148,3 +148,12 @@ def test_hybrid_search_writes_no_index(spark, sf, con, monkeypatch):
     monkeypatch.setattr(tables, "kept_index", written)
     monkeypatch.setattr(tables, "_INDEXES", {})
     compare(spark, "hybrid_topk", catalog.QUERIES["hybrid_topk"], catalog.ORACLE_SQL["hybrid_topk"], sf, con)
+
+
+def test_unit_codes_are_made_of_floats(spark, tmp_path):
+    """Five times this float lies under 93/127 as a double and at it as a float."""
+    near = 0.14645668864250183
+    rows = spark.createDataFrame([(1, [near, 0.5, -0.25], 0), (2, [-near, 0.01, 0.02], 0)], "vec_id long, embedding array<float>, label int")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/made")
+    next(tmp_path.glob("made/*.parquet")).rename(tmp_path / "embeddings.parquet")
+    compare(spark, "quantise_unit", catalog.QUERIES["quantise_unit"], catalog.ORACLE_SQL["quantise_unit"], str(tmp_path))
