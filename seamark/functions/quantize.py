@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vector import doubles
+from .vector import doubles, once
 
 MODES = {"int8": "int8", "scalar": "int8", "binary": "binary", "bit": "binary"}
 
@@ -18,21 +18,21 @@ def parse_mode(name: str) -> str:
     return MODES.get(name.strip().lower(), "none")
 
 
-def _range(v: Column) -> tuple[Column, Column]:
-    low, high = F.array_min(v).cast("double"), F.array_max(v).cast("double")
-    return low, F.when(high == low, F.lit(1.0)).otherwise(high - low) / 255.0
-
-
 def int8_minmax(v: Column, rounded: bool = False) -> Column:
     """struct<q array<tinyint>, scale double, min double>; a constant vector has scale 1/255."""
-    low, scale = _range(v)
+    def ranged(x: Column) -> Column:
+        low, high = F.array_min(x), F.array_max(x)
+        return F.struct(x.alias("x"), (F.when(high == low, F.lit(1.0)).otherwise(high - low) / 255.0).alias("scale"), low.alias("min"))
+
+    def coded(r: Column) -> Column:
+        def q(x: Column) -> Column:
+            y = (x - r["min"]) / r["scale"]
+            y = F.round(y) - 128 if rounded else y - 128
+            return F.greatest(F.lit(-128.0), F.least(F.lit(127.0), y)).cast("int").cast("tinyint")
 
-    def q(x: Column) -> Column:
-        y = (x - low) / scale
-        y = F.round(y) - 128 if rounded else y - 128
-        return F.greatest(F.lit(-128.0), F.least(F.lit(127.0), y)).cast("int").cast("tinyint")
+        return F.struct(F.transform(r["x"], q).alias("q"), r["scale"].alias("scale"), r["min"].alias("min"))
 
-    return F.struct(F.transform(doubles(v), q).alias("q"), scale.alias("scale"), low.alias("min"))
+    return once(once(doubles(v), ranged), coded)
 
 
 def from_int8_minmax(q: Column, scale: Column, low: Column) -> Column:

@@ -5,6 +5,8 @@ Elements are widened to double before they are multiplied. Vectors of different
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it: a lambda function makes what it names anew for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -39,8 +46,10 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Unit length in single precision; a zero vector stays."""
-    n = norm(v)
-    return F.when(n == 0, v).otherwise(F.transform(v, lambda x: (x * (F.lit(1.0) / n).cast("float")).cast("float")))
+    def by(w: Column, n: Column) -> Column:
+        return F.when(n == 0, w).otherwise(F.transform(w, lambda x: (x * (F.lit(1.0) / n).cast("float")).cast("float")))
+
+    return once(v, lambda w: once(norm(w), lambda n: by(w, n)))
 
 
 def dot_distance(a: Column, b: Column) -> Column:

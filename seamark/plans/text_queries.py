@@ -330,7 +330,7 @@ def stored_segments(spark: SparkSession, sf: str) -> DataFrame:
     e = HashingEmbedder(16)
     chunks = e.embed(d.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.create_map(F.lit("lang"), "lang").alias("metadata"), F.lit(False).alias("is_test")), "content")
     store = Store(spark, new_folder(spark, "store"))
-    store.upsert_chunks(chunks)
+    store.upsert_chunks(chunks, postings=False)  # no lexical search follows
     store.preindex(e)
     return store.read("segments").select(F.col("chunk_id").cast("long").alias("doc_id"), "segment_idx", "text", (F.size("emb_i8") == 16).alias("coded"))
 

@@ -2,7 +2,8 @@
 
 A commit writes only what it adds: a folder v<n> with new rows of any of the tables, and `gone`, the keys whose rows of earlier
 versions no longer count. A manifest, moved into place last, names the versions that live, so a reader sees all of a commit or
-nothing of it, and a failed commit leaves the index as it was. Reading is an anti-join of the rows with the newest `gone` of their key.
+nothing of it, and a failed commit leaves the index as it was. Reading is an anti-join of the rows with the newest `gone` of their key;
+versions after the last `gone` are read without one.
 When more than MOST_VERSIONS live, the live rows are written as one version and the old folders are deleted. One writer at a time.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from ..functions import text as T
 from ..functions import vector as V
 from ..operators import knn, lexical, pooling, segments
 from ..schemas import FILE_EMBEDDINGS, GONE, LENGTHS, POSTINGS, SEGMENTS, STORED_CHUNKS
-from ..shared import delete_folder, file_system, no_rows
+from ..shared import delete_folder, file_system, may_be_in, no_rows
 
 #: Of each table its schema, the column that its rows go by, and the kinds of `gone` that end them.
 TABLES = {
@@ -83,20 +85,20 @@ class Store:
     def read(self, table: str) -> DataFrame:
         """The live rows of a table."""
         schema, key, kinds = TABLES[table]
-        rows = gone = None
+        parts, gone, newest = [], None, 0
         for v in self._manifest()[0]:
             if (part := self._part(v, table, schema)) is not None:
-                part = part.withColumn("_v", F.lit(v))
-                rows = part if rows is None else rows.unionByName(part)
+                parts.append((v, part.withColumn("_v", F.lit(v))))
             if (part := self._part(v, "gone", GONE)) is not None:
                 part = part.where(F.col("kind").isin(*kinds)).select("key", F.lit(v).alias("at"))
-                gone = part if gone is None else gone.unionByName(part)
-        if rows is None:
-            return no_rows(self.spark, schema)
-        if gone is None:
-            return rows.drop("_v")
-        last = gone.groupBy("key").agg(F.max("at").alias("at"))
-        return rows.join(last, (F.col(key) == F.col("key")) & (F.col("_v") < F.col("at")), "left_anti").drop("_v")
+                gone, newest = part if gone is None else gone.unionByName(part), v
+        # Only what a later version may have ended is joined.
+        old, live = (reduce(DataFrame.unionByName, some) if some else None for some in ([x for v, x in parts if v < newest], [x for v, x in parts if v >= newest]))
+        if old is not None:
+            last = gone.groupBy("key").agg(F.max("at").alias("at"))
+            old = old.join(last, (F.col(key) == F.col("key")) & (F.col("_v") < F.col("at")), "left_anti")
+            live = old if live is None else old.unionByName(live)
+        return no_rows(self.spark, schema) if live is None else live.drop("_v")
 
     def compact(self) -> None:
         """The live rows as one version, for which old folders make room."""
@@ -117,11 +119,22 @@ class Store:
         out = chunks.select(*[c for c in names if c not in kinds], made[1].alias("_made"))
         return out.select(*[F.col("_made").alias(c) if c == made[0] else F.lit(None).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in names])
 
-    def apply(self, chunks: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
+    @staticmethod
+    def _lexical(chunks: DataFrame) -> dict[str, DataFrame]:
+        """Postings and lengths, made where the chunks are."""
+        tokens = lexical.document_tokens(chunks, "id", ["content", "file_path"], ["file_path"])
+        return {"postings": lexical.placed_postings(tokens, ["file_path"]), "lengths": tokens.select("id", "file_path", F.size("tokens").cast("long").alias("dl"))}
+
+    def _waiting(self):
+        """(Hadoop's file system, the folder that is there while chunks may have no postings yet)."""
+        return file_system(self.spark, f"{self.path}/waiting")
+
+    def apply(self, chunks: DataFrame | None = None, deleted: DataFrame | None = None, postings: bool = True) -> None:
         """One commit: chunks of the given files take the place of all their old ones, and all that belongs to `deleted` (file_path) goes.
 
         Vectors are normalised and kept by the store's mode; postings and lengths follow the chunks, file vectors of changed files are
-        made anew, segments of chunks that are no more go. Only rows of the given files are read and written.
+        made anew, segments of chunks that are no more go. Only rows of the given files are read and written. Without `postings` those
+        (several times the texts) are left to the first lexical search.
         """
         tables, gone = {}, []
         paths = [x.select("file_path") for x in (chunks, deleted) if x is not None]
@@ -131,9 +144,11 @@ class Store:
         if chunks is not None:
             chunks = chunks.persist()
             tables["chunks"] = self._stored(chunks)
-            tokens = lexical.document_tokens(chunks, "id", ["content", "file_path"]).join(chunks.select("id", "file_path"), "id")
-            tables["postings"] = lexical.placed_postings(tokens, ["file_path"])
-            tables["lengths"] = tokens.select("id", "file_path", F.size("tokens").cast("long").alias("dl"))
+            if postings:
+                tables |= self._lexical(chunks)
+            else:
+                fs, at = self._waiting()
+                fs.mkdirs(at)
             tables["files"] = self._file_vectors(chunks)
             old = old.join(chunks.select("id"), "id", "left_anti")
         gone.append(self._gone("chunk", old))
@@ -142,8 +157,8 @@ class Store:
         if chunks is not None:
             chunks.unpersist()
 
-    def upsert_chunks(self, chunks: DataFrame) -> None:
-        self.apply(chunks)
+    def upsert_chunks(self, chunks: DataFrame, postings: bool = True) -> None:
+        self.apply(chunks, postings=postings)
 
     def delete_files(self, paths: DataFrame) -> None:
         self.apply(deleted=paths)
@@ -163,13 +178,20 @@ class Store:
         return found.withColumn("distance", F.col("distance") / dims)
 
     def lexical_index(self) -> lexical.StoredIndex:
-        """Postings and lengths of the live chunks. An index that has chunks but no postings gets them first."""
-        if self.read("lengths").isEmpty() and not self.read("chunks").isEmpty():
-            chunks = self.read("chunks")
-            tokens = lexical.document_tokens(chunks, "id", ["content", "file_path"]).join(chunks.select("id", "file_path"), "id")
-            self._commit({"postings": lexical.placed_postings(tokens, ["file_path"]), "lengths": tokens.select("id", "file_path", F.size("tokens").cast("long").alias("dl"))})
+        """Postings and lengths of the live chunks. Chunks that have none get them first."""
+        fs, at = self._waiting()
+        if fs.exists(at) or self.read("lengths").isEmpty():
+            ids = self.read("chunks").select("id").join(self.read("lengths").select("id"), "id", "left_anti")
+            if not ids.isEmpty():
+                self._commit(self._lexical(self._these(self.read("chunks"), ids)))
+            fs.delete(at, True)
         return lexical.StoredIndex(self.read("postings"), self.read("lengths"))
 
+    @staticmethod
+    def _these(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+        """Chunks of these ids (id); the texts of few others are shuffled."""
+        return may_be_in(chunks, "id", ids).join(ids, "id", "left_semi")
+
     # Vectors of files, segments
 
     @staticmethod
@@ -192,8 +214,10 @@ class Store:
     def preindex(self, embedder, most: int | None = None) -> int:
         """Segments of all chunks that have none yet: cut, embedded, normalised, quantised, stored. `most`: pool each chunk to so many."""
         chunks = self.read("chunks").select("id", "content")
-        todo = chunks.join(self.read("segments").select(F.col("chunk_id").alias("id")).distinct(), "id", "left_anti")
-        rows = embedder.embed(segments.segment_chunks(todo), "text", "segment_vec").where("segment_vec is not null")
+        if self.has_segments():
+            done = self.read("segments").select(F.col("chunk_id").alias("id")).distinct()
+            chunks = self._these(chunks, chunks.select("id").join(done, "id", "left_anti"))
+        rows = embedder.embed(segments.segment_chunks(chunks), "text", "segment_vec").where("segment_vec is not null")
         rows = rows if most is None else segments.pool(rows, most)
         rows = rows.persist()
         n = rows.select("chunk_id").distinct().count()

@@ -195,3 +195,14 @@ def test_metadata_as_json(spark):
     assert said == ['{"a":"1","b":"x\\"y"}', "", ""]
     back = spark.createDataFrame([(x,) for x in [*said, "{broken", None]], "j string").select(parse_metadata(F.col("j")).alias("m")).collect()
     assert [r["m"] for r in back] == [{"a": "1", "b": 'x"y'}, {}, {}, {}, {}]
+
+
+def test_a_vectors_norm_and_range_are_made_once(spark):
+    """Within a lambda function what it names is made for each element: work by the cube of the dimensions."""
+    v = spark.createDataFrame([([3.0, 4.0],), (None,), ([0.0, 0.0],)], "a array<float>")
+    made = v.select(Q.int8_minmax(V.normalise(F.col("a"))).alias("q"), V.normalise(F.col("a")).alias("n"))
+    said = made._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("sqrt(") + said.count("SQRT(") == 2 and said.count("array_max(") == 2
+    rows = made.collect()
+    assert rows[0]["n"] == pytest.approx([0.6, 0.8]) and rows[0]["q"]["q"] == [-128, 127]
+    assert rows[1]["n"] is None and rows[1]["q"]["q"] is None and rows[2]["n"] == [0, 0]

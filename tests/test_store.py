@@ -250,3 +250,39 @@ def test_ranks_within_groups(spark):
         assert [i for i, _ in mine] == list(range(len(want))) and [v for _, v in mine] == want
     got = {r["g"]: r["p"] for r in metrics.quantiles(df, "g", "v", {"p": 0.3}).collect()}
     assert got["a"] == pytest.approx(np.quantile([v for g, v in rows if g == "a"], 0.3)) and got["c"] == 3.0 and "d" not in got
+
+
+def test_postings_left_out_are_made_by_the_first_lexical_search(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "i"))
+    store.upsert_chunks(chunks(spark, chunk("a", 1, "one two two"), chunk("b", 1, "three")))
+    store.upsert_chunks(chunks(spark, chunk("a", 1, "four"), chunk("c", 1, "five five"), chunk("d", 1, "six")), postings=False)
+    assert not (tmp_path / "i" / "v2" / "postings").exists()
+    store.delete_files(spark.createDataFrame([("d",)], "file_path string"))
+    assert store.lexical_index().stats().first()["n_docs"] == 3
+    kept, made = postings(store)
+    assert kept == made and len(kept) > 6
+    n = store._manifest()[2]
+    store.lexical_index()
+    assert store._manifest()[2] == n, "nothing is left to make"
+    store.delete_files(spark.createDataFrame([("c",)], "file_path string"))
+    assert postings(store)[0] == postings(store)[1]
+
+
+def plan(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_version_that_nothing_ended_is_read_without_a_join(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "i"))
+    store.upsert_chunks(chunks(spark, chunk("a", 1, "one"), chunk("b", 1, "two")), postings=False)
+    assert "Join" not in plan(store.read("chunks"))
+    store.upsert_chunks(chunks(spark, chunk("a", 1, "three")))
+    assert live(store, "chunks", "content") == [("three",), ("two",)]
+
+
+def test_segments_need_no_postings(spark, sf, tmp_path, monkeypatch):
+    from seamark.plans import catalog, text_queries
+
+    monkeypatch.setattr(text_queries, "new_folder", lambda spark, label: f"file://{tmp_path}/{label}")
+    assert catalog.QUERIES["stored_segments"](spark, sf).count() > 0
+    assert list(tmp_path.glob("store/v*/segments")) and not list(tmp_path.glob("store/v*/postings"))
